@@ -1,0 +1,38 @@
+"""Shared working storage: tables that every executor can read, written once.
+
+The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where
+that is unset (unit tests in local mode) a temporary folder is made.
+"""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_SETTING = "spark.checkpoint.dir"
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A new folder name below the shared folder, as a URI."""
+    base = spark.sparkContext.getConf().get(_SETTING) or spark.conf.get(_SETTING, None)
+    if not base:
+        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        spark.conf.set(_SETTING, base)
+    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back.
+
+    This cuts the lineage: what follows survives the loss of any executor without
+    running the earlier steps again.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
