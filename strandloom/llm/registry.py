@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandloom.llm import packing, wavelet
+from strandloom.llm import packing, simhash, wavelet
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op7_token_files": wavelet.op7_token_files,
+    "op9_simhash": simhash.op9_simhash,
 }
 SQL: dict[str, str] = {}

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.store import materialize, partitions, shared_dir
+from strandloom.sources.shared import materialize, partitions, shared_dir
 from strandloom.llm.tokens import default_tokenizer, encoder, in_blocks
 
 MAGIC = b"WVMX0001"
