@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strandloom.llm import packing, simhash, wavelet
+from strandloom.llm import packing, simhash, substring, wavelet
 
 QUERIES = {
     "op2_packing": packing.op2_packing,
     "op7_token_files": wavelet.op7_token_files,
     "op9_simhash": simhash.op9_simhash,
+    "op8_substring_dedup": substring.op8_substring_dedup,
 }
 SQL: dict[str, str] = {}
