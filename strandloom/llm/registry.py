@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from strandloom.llm import packing, simhash, substring, wavelet
+from strandloom.llm import packing, simhash, substring, token_counts, url_filter, wavelet
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_packing": packing.op2_packing,
     "op7_token_files": wavelet.op7_token_files,
     "op9_simhash": simhash.op9_simhash,
     "op8_substring_dedup": substring.op8_substring_dedup,
+    "op10_url_filter": url_filter.op10_url_filter,
 }
 SQL: dict[str, str] = {}
