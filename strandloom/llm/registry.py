@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from strandloom.llm import language, packing, simhash, substring, token_counts, url_filter, wavelet
+from strandloom.llm import language, packing, pii, simhash, substring, token_counts, url_filter, wavelet
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_packing": packing.op2_packing,
+    "op4_pii": pii.op4_pii,
     "op5_language_id": language.op5_language_id,
     "op7_token_files": wavelet.op7_token_files,
     "op9_simhash": simhash.op9_simhash,
