@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
@@ -36,3 +37,19 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def write_bytes(path: str, data: bytes) -> None:
+    """Write a file from a task: whole under another name first, then renamed."""
+    store, name = pafs.FileSystem.from_uri(path)
+    store.create_dir(name.rpartition("/")[0], recursive=True)
+    own = f"{name}.{uuid.uuid4().hex}"
+    with store.open_output_stream(own) as f:
+        f.write(data)
+    store.move(own, name)
+
+
+def read_bytes(path: str) -> bytes:
+    store, name = pafs.FileSystem.from_uri(path)
+    with store.open_input_stream(name) as f:
+        return f.read()
