@@ -125,17 +125,19 @@ class Tagger:
         dh = de @ self.p["o"].T
         n = self.hidden
         for s, own in (("f", dh[:, :, :n]), ("b", dh[:, :, n:])):
-            gx, gh = np.zeros_like(self.p[f"x{s}"]), np.zeros_like(self.p[f"h{s}"])
+            gh, steps_z, steps_x = np.zeros_like(self.p[f"h{s}"]), [], []
             dstate, dcell = np.zeros((batch, n)), np.zeros((batch, n))
             for t, state, before, gate, new, squashed in reversed(kept[s]):
                 d = own[t] + dstate
                 dcell = dcell + d * gate[:, 2 * n :] * (1 - squashed**2)
                 dgate = np.concatenate([dcell * new, dcell * before, d * squashed], axis=1) * gate * (1 - gate)
                 dz = np.concatenate([dgate, dcell * gate[:, :n] * (1 - new**2)], axis=1)
-                np.add.at(gx, x[t], dz)
+                steps_z.append(dz)
+                steps_x.append(x[t])
                 gh += state.T @ dz
                 dstate, dcell = dz @ self.p[f"h{s}"].T, dcell * gate[:, n : 2 * n]
-            g[f"x{s}"], g[f"h{s}"] = gx, gh
+            one_hot = np.concatenate(steps_x)[:, None] == np.arange(SYMBOLS)
+            g[f"x{s}"], g[f"h{s}"] = one_hot.T.astype(np.float64) @ np.concatenate(steps_z), gh
         size = steps * batch
         return float((total.sum() - gold) / size), {k: v / batch for k, v in g.items()}
 
