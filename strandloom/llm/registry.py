@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from strandloom.llm import language, packing, pii, simhash, substring, token_counts, url_filter, wavelet
+from strandloom.llm import decontaminate, language, neighbours, packing, pii, simhash, substring, token_counts, url_filter, wavelet
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_packing": packing.op2_packing,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_pii": pii.op4_pii,
     "op5_language_id": language.op5_language_id,
+    "op6_neighbours": neighbours.op6_neighbours,
     "op7_token_files": wavelet.op7_token_files,
     "op9_simhash": simhash.op9_simhash,
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
 }
-SQL: dict[str, str] = {}
+SQL = {"op3_decontamination": decontaminate.SQL}
