@@ -136,8 +136,9 @@ class Tagger:
                 steps_x.append(x[t])
                 gh += state.T @ dz
                 dstate, dcell = dz @ self.p[f"h{s}"].T, dcell * gate[:, n : 2 * n]
-            one_hot = np.concatenate(steps_x)[:, None] == np.arange(SYMBOLS)
-            g[f"x{s}"], g[f"h{s}"] = one_hot.T.astype(np.float64) @ np.concatenate(steps_z), gh
+            cells = np.concatenate(steps_x)[:, None] * 4 * n + np.arange(4 * n)
+            gx = np.bincount(cells.ravel(), np.concatenate(steps_z).ravel(), SYMBOLS * 4 * n)
+            g[f"x{s}"], g[f"h{s}"] = gx.reshape(SYMBOLS, 4 * n), gh
         size = steps * batch
         return float((total.sum() - gold) / size), {k: v / batch for k, v in g.items()}
 
