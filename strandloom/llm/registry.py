@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from strandloom.llm import decontaminate, language, neighbours, packing, pii, simhash, substring, token_counts, url_filter, wavelet
 
 QUERIES = {
@@ -15,5 +16,6 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "pipeline": corpus_pipeline.run,
 }
 SQL = {"op3_decontamination": decontaminate.SQL}
