@@ -8,12 +8,15 @@ text which occurs once (most of it) costs little:
 1. Anchors.  In each window of words the six-word run with the least hash is its
    anchor.  Equal windows have equal anchors, so only windows whose anchor occurs
    twice in the corpus can have an earlier equal.
-2. Those windows are indexed by a 128-bit digest of their words with their earliest
-   place.  A document looks its windows up, and consecutive windows found at
-   consecutive places of one block form a factor.  At factor boundaries, where the
-   source changes, windows that reach over the boundary are looked up like all others.
-
-A copy of a whole earlier text is one factor and needs no index.
+2. Those windows meet at their anchor, where the earliest place of each is its
+   source.  Consecutive windows found at consecutive places of one block form a
+   factor.  At factor boundaries, where the source changes, windows that reach over
+   the boundary are looked up like all others.
+
+A window's identity is its anchor's and its own 64-bit hash (128 bits in all).  Hot
+anchors are dealt over several tasks first, which settle what repeats among their own
+rows; what is left of them is dealt by window.  A copy of a whole earlier text is one
+factor and needs no index.  Texts travel compressed.
 """
 
 from __future__ import annotations
@@ -25,18 +28,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.tokens import in_blocks
 from strandloom.llm.words import Block, sliding
-from strandloom.sources.shared import materialize
+from strandloom.sources.shared import materialize, partitions
 
 WINDOW = 20
 ANCHOR = 6
 #: Order of a null doc_id: before all others.
 _NULL_ORDER = -(1 << 63)
 _KEY = ["ord", "t1", "t2"]
+#: Occurrences of an anchor in a task; an anchor with more is dealt over several.
+HOT_ROWS = 1000
+#: Hot anchors whose list is broadcast at most; above, the list is joined by key.
+BROADCAST_KEYS = 100_000
 
 
 def _minima(block: Block, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -68,33 +76,97 @@ def _anchors(window: int):
 
 
 def _windows(window: int):
-    digest = xxhash.xxh3_128_digest
+    """For each run of shared windows with one anchor: the anchor, the document, the first start, and the windows' hashes."""
+    digest = xxhash.xxh3_64_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_blocks(batches):
+        for batch in _unpressed(batches):
             texts = batch["text"].to_pylist()
             block = Block(texts)
-            _, least, whole = _minima(block, window)
-            row, start, digests = [], [], []
+            _, least, _ = _minima(block, window)
+            row, first_start, anchor, hashes, sizes = [], [], [], [], []
             for i, anchors in enumerate(batch["anchors"]):
                 first, n = int(block.first[i]), int(block.count[i])
                 if n < window:
                     continue
                 shared = np.sort(anchors.values.to_numpy())
                 own = least[first : first + n - window + 1].view(np.int64)
-                at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
-                found = np.flatnonzero(shared[at] == own)
+                found = np.flatnonzero(shared[np.minimum(np.searchsorted(shared, own), len(shared) - 1)] == own)
+                if not len(found):
+                    continue
                 words = texts[i].split()
                 line = b" ".join(words)
                 ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
                 begins = np.concatenate([[0], ends[:-1]])
-                digests += [digest(line[a:b]) for a, b in zip(begins[found].tolist(), (ends[found + window - 1] - 1).tolist(), strict=True)]
-                row.append(np.full(len(found), i))
-                start.append(found)
-            if not digests:
+                hashes.append(np.array([digest(line[a:b]) for a, b in zip(begins[found].tolist(), (ends[found + window - 1] - 1).tolist(), strict=True)], np.uint64).view(np.int64))
+                new = np.flatnonzero((np.diff(found, prepend=-2) != 1) | (np.diff(own[found], prepend=own[found[0]]) != 0))
+                new[0] = 0
+                sizes.append(np.diff(new, append=len(found)))
+                first_start.append(found[new])
+                anchor.append(own[found[new]])
+                row.append(np.full(len(new), i))
+            if row:
+                of, ends = pa.array(np.concatenate(row)), np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(anchor)), batch["ord"].take(of), batch["t1"].take(of), pa.array(np.concatenate(first_start).astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(hashes)))],
+                    names=["anchor", "ord", "t1", "start", "hashes"],
+                )
+
+    return run
+
+
+_SETTLED = "ord long, t1 long, starts array<int>, sources array<long>, source_starts array<int>, anchor long, left array<struct<hash:bigint,start:int>>"
+
+
+def _settle(block_rows: int = 50_000):
+    """Rows sorted by anchor and salt -> windows with an earlier equal among them, and the rest of salted rows."""
+
+    def settle(table: pa.Table) -> pa.RecordBatch:
+        sizes = pc.list_value_length(table["hashes"]).to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(table.num_rows), sizes)
+        start = table["start"].to_numpy()[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        word = table["hashes"].combine_chunks().flatten().to_numpy()
+        anchor, place = table["anchor"].to_numpy()[row], table["ord"].to_numpy()[row]
+        salt, salted = table["salt"].to_numpy()[row], table["salts"].to_numpy()[row] > 1
+        order = np.lexsort((start, place, word, salt, anchor))
+        same = np.zeros(len(order), bool)
+        if len(order) > 1:
+            a, b = order[1:], order[:-1]
+            same[1:] = (word[a] == word[b]) & (anchor[a] == anchor[b]) & (salt[a] == salt[b])
+        source = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+        later = (place[order] > place[source]) | (start[order] > start[source])
+        dup_of = np.full(len(order), -1)
+        dup_of[order[later]] = source[later]
+        dup, left = dup_of >= 0, salted & (dup_of < 0)
+        used = np.flatnonzero(np.bincount(row[dup | left], minlength=table.num_rows))
+
+        def lists(mask: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row[mask], minlength=table.num_rows)[used])]).astype(np.int32)
+            return [pa.ListArray.from_arrays(pa.array(ends), c if isinstance(c, pa.Array) else pa.array(c)) for c in columns]
+
+        src = dup_of[dup]
+        rest = pa.StructArray.from_arrays([pa.array(word[left]), pa.array(start[left].astype(np.int32))], names=["hash", "start"])
+        found = lists(dup, start[dup].astype(np.int32), place[src], start[src].astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(table["ord"].to_numpy()[used]), pa.array(table["t1"].to_numpy()[used]), *found, pa.array(table["anchor"].to_numpy()[used]), *lists(left, rest)],
+            names=["ord", "t1", "starts", "sources", "source_starts", "anchor", "left"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < block_rows:
                 continue
-            of, pair = pa.array(np.concatenate(row)), np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch[k].take(of) for k in _KEY] + [pa.array(np.concatenate(start)), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=[*_KEY, "start", "h1", "h2"])
+            table = pa.Table.from_batches(held).combine_chunks()
+            anchor = table["anchor"].to_numpy()
+            cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+            if cut:
+                yield settle(table.slice(0, cut).combine_chunks())
+            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+        if rows:
+            yield settle(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
@@ -121,30 +193,71 @@ def _source_rows(docs: DataFrame) -> DataFrame:
     )
 
 
+def _pressed(rows: DataFrame) -> DataFrame:
+    """The rows with compressed texts, to be shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1).compress
+        for batch in in_blocks(batches):
+            pressed = pa.array([None if t is None else press(t) for t in batch["text"].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pressed if n == "text" else batch[n] for n in batch.schema.names], names=batch.schema.names)
+
+    return rows.mapInArrow(run, rows.schema)
+
+
+def _unpressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpress = zstandard.ZstdDecompressor().decompress
+    for batch in in_blocks(batches, max_bytes=1 << 20):
+        texts = pa.array([None if t is None else unpress(t) for t in batch["text"].to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([texts if n == "text" else batch[n] for n in batch.schema.names], names=batch.schema.names)
+
+
+def _settled(groups: DataFrame, hot: DataFrame, n_hot: int) -> DataFrame:
+    """The windows of ``groups`` that have an earlier equal, with it."""
+    p = partitions(groups.sparkSession)
+    if n_hot:
+        groups = groups.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, "anchor", "left")
+    else:
+        groups = groups.withColumn("salts", F.lit(None).cast("int"))
+    salted = groups.withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("ord"), F.col("salts")))
+    dealt = lambda rows: rows.repartition(p, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_settle(), _SETTLED)
+    first = materialize(dealt(salted), "settled")
+    found = first.where(F.size("starts") > 0).select("ord", "t1", "starts", "sources", "source_starts")
+    if not n_hot:
+        return found
+    # what is left of hot anchors: one row for each window, dealt by the window
+    rest = first.where(F.size("left") > 0).select("anchor", "ord", "t1", F.explode("left").alias("w")).select(
+        "anchor", "ord", "t1", F.col("w.start").alias("start"), F.array("w.hash").alias("hashes"), F.lit(1).alias("salts"), F.col("w.hash").alias("salt")
+    )
+    return found.unionByName(dealt(rest).select("ord", "t1", "starts", "sources", "source_starts"))
+
+
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For each text with repeated words: its key, whether it is a whole copy, and its repeated windows with their earliest source.
+    """For each text with repeated words: its key, whether it is a whole copy, and its repeated windows with an earlier source.
 
-    Columns ``ord t1 t2 copy found``; ``found`` holds (start, source, source_start).
+    Columns ``ord t1 copy found``; ``found`` holds (starts, sources, source_starts) arrays.
     """
     rows = _source_rows(docs)
     anchors = materialize(rows.drop("doc_id").mapInArrow(_anchors(window), "ord long, t1 long, t2 long, anchors array<long>"), "anchors")
     firsts = materialize(anchors.groupBy("t1", "t2").agg(F.min("ord").alias("ord"), F.count("*").alias("n")), "first-copies")
-    copied = firsts.where("n > 1")
-    copies = anchors.select(*_KEY).join(copied.select("t1", "t2", F.col("ord").alias("first")), ["t1", "t2"]).where("ord > first").select(*_KEY).distinct()
-    single = anchors.join(firsts.select(*_KEY), _KEY, "left_semi").select(*_KEY, F.explode("anchors").alias("anchor"))
-    single = single if copied.limit(1).count() else anchors.select(*_KEY, F.explode("anchors").alias("anchor"))
-    shared = materialize(single.groupBy("anchor").count().where("count > 1").select("anchor"), "shared-anchors")
-    per_text = single.join(shared, "anchor", "left_semi").groupBy(*_KEY).agg(F.collect_set("anchor").alias("anchors"))
-    windows = materialize(rows.drop("doc_id").join(per_text, _KEY).mapInArrow(_windows(window), "ord long, t1 long, t2 long, start long, h1 long, h2 long"), "windows")
-    earliest = windows.groupBy("h1", "h2").agg(F.min(F.struct("ord", "start")).alias("e"), F.count("*").alias("n")).where("n > 1")
-    later = windows.join(earliest.select("h1", "h2", "e"), ["h1", "h2"]).where("ord > e.ord or (ord = e.ord and start > e.start)")
-    parts = later.groupBy(*_KEY).agg(F.collect_list(F.struct("start", F.col("e.ord").alias("source"), F.col("e.start").alias("source_start"))).alias("found"))
-    nothing = F.lit(None).cast("array<struct<start:bigint,source:bigint,source_start:bigint>>").alias("found")
-    return parts.select(*_KEY, F.lit(False).alias("copy"), "found").unionByName(copies.select(*_KEY, F.lit(True).alias("copy"), nothing))
+    copied = firsts.where("n > 1").select("t1", "t2", F.col("ord").alias("first"))
+    copies = materialize(anchors.select(*_KEY).join(copied, ["t1", "t2"]).where("ord > first").select(*_KEY).distinct(), "copies")
+    single = anchors.select("ord", F.explode("anchors").alias("anchor"))
+    if copies.limit(1).count():
+        single = anchors.join(copies, _KEY, "left_anti").select("ord", F.explode("anchors").alias("anchor"))
+    shared = materialize(single.groupBy("anchor").count().where("count > 1"), "shared-anchors")
+    hot = materialize(shared.where(F.col("count") > HOT_ROWS).select("anchor", F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("salts")), "hot-anchors")
+    per_text = single.join(shared.select("anchor"), "anchor", "left_semi").groupBy("ord").agg(F.collect_set("anchor").alias("anchors"))
+    groups = _pressed(rows.select("ord", "t1", "text")).join(per_text, "ord").mapInArrow(_windows(window), "anchor long, ord long, t1 long, start int, hashes array<long>")
+    found = _settled(groups, hot, hot.count())
+    parts = found.groupBy("ord", "t1").agg(F.collect_list(F.struct("starts", "sources", "source_starts")).alias("found"))
+    whole = copies.select("ord", "t1", F.lit(True).alias("copy")).distinct()
+    return parts.join(whole, ["ord", "t1"], "full_outer").select("ord", "t1", F.coalesce("copy", F.lit(False)).alias("copy"), "found")
 
 
 def _with_repeats(docs: DataFrame, window: int) -> DataFrame:
-    return _source_rows(docs).join(materialize(repeats(docs, window), "repeats"), _KEY, "left").select("doc_id", "text", "copy", "found")
+    told = materialize(repeats(docs, window), "repeats")
+    return _pressed(_source_rows(docs).drop("t2")).join(told, ["ord", "t1"], "left").select("doc_id", "text", "copy", "found")
 
 
 def _kept(text: bytes | None, copy: bool | None, starts: np.ndarray | None, window: int) -> tuple[int, list[bytes]]:
@@ -162,10 +275,8 @@ def _kept(text: bytes | None, copy: bool | None, starts: np.ndarray | None, wind
 
 
 def _each(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, list[bytes]]]:
-    found = batch["found"]
-    starts, ends = found.flatten().field("start").to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(found), 0).to_numpy(zero_copy_only=False))
-    for text, copy, end, begin in zip(batch["text"].to_pylist(), batch["copy"].to_pylist(), ends.tolist(), [0, *ends.tolist()[:-1]], strict=True):
-        yield _kept(text, copy, starts[begin:end], window)
+    for text, copy, found in zip(batch["text"].to_pylist(), batch["copy"].to_pylist(), batch["found"], strict=True):
+        yield _kept(text, copy, found.values.field("starts").flatten().to_numpy() if found.is_valid else None, window)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -179,7 +290,7 @@ def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_blocks(batches):
+        for batch in _unpressed(batches):
             out = list(_each(batch, window))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([b" ".join(k).decode("utf-8", "replace") for _, k in out], pa.string()), pa.array([n for n, _ in out], pa.int64()), pa.array([n - len(k) for n, k in out], pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
 
@@ -193,13 +304,13 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _unpressed(batches):
             out = []
             for doc, text, copy, found in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), batch["copy"].to_pylist(), batch["found"].to_pylist(), strict=True):
                 if copy and len((text or b"").split()) >= window:
                     out.append((doc, 0, len(text.split()), None, None))
                 elif found:
-                    out += [(doc, *f) for f in factors([(x["start"], x["source"], x["source_start"]) for x in found], window)]
+                    out += [(doc, *f) for f in factors([t for x in found for t in zip(x["starts"], x["sources"], x["source_starts"], strict=True)], window)]
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "source_id", "source_start"])
 
@@ -210,7 +321,7 @@ def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """What stays of every document, as counts and a digest; see :func:`dedup`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_blocks(batches):
+        for batch in _unpressed(batches):
             out = [(n, n - len(k), hashlib.sha256(b" ".join(k)).hexdigest()) for n, k in _each(batch, WINDOW)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c) for c in zip(*out, strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
