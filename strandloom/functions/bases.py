@@ -76,10 +76,13 @@ def text_bases(text: Column) -> Column:
     return F.translate(F.lower(F.regexp_replace(text, "[^A-Za-z]", "")), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTNCGTACGTAC")
 
 
+#: Fixed value: stand-in qualities of the letters a to z (Phred+33).
+LETTER_QUALITIES = "IIIIIIIII#+IIIIIIIIII56!I$"
+
+
 def text_quality(text: Column) -> Column:
-    """Phred+33 qualities for :func:`text_bases`: 26 letters from ``!`` (0) up, in steps of 3 signs modulo 41."""
-    signs = "".join(chr(33 + (i * 3) % 41) for i in range(26))
-    return F.translate(F.lower(F.regexp_replace(text, "[^A-Za-z]", "")), "abcdefghijklmnopqrstuvwxyz", signs)
+    """Qualities that go with :func:`text_bases`, one for each letter."""
+    return F.translate(F.lower(F.regexp_replace(text, "[^A-Za-z]", "")), "abcdefghijklmnopqrstuvwxyz", LETTER_QUALITIES)
 
 
 def sample_name(path: Column) -> Column:

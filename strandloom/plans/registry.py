@@ -1,4 +1,6 @@
-"""All queries by name and their SQL."""
+"""All queries of the engine by name, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from strandloom.plans.oracle import SQL
+from strandloom.plans.queries import QUERIES
+
+__all__ = ["QUERIES", "SQL"]
