@@ -41,6 +41,8 @@ ANCHOR = 6
 #: Order of a null doc_id: before all others.
 _NULL_ORDER = -(1 << 63)
 _KEY = ["ord", "t1", "t2"]
+#: Bytes of text whose words are held as arrays at once.
+BLOCK_BYTES = 1 << 20
 #: Occurrences of an anchor in a task; an anchor with more is dealt over several.
 HOT_ROWS = 1000
 #: Hot anchors whose list is broadcast at most; above, the list is joined by key.
@@ -60,7 +62,7 @@ def _anchors(window: int):
     span = window - ANCHOR + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_blocks(batches):
+        for batch in in_blocks(batches, max_bytes=BLOCK_BYTES):
             block = Block(batch["text"].to_pylist())
             runs, least, whole = _minima(block, window)
             least = np.where(whole, least, 0)
@@ -198,7 +200,7 @@ def _pressed(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1).compress
-        for batch in in_blocks(batches):
+        for batch in in_blocks(batches, max_bytes=BLOCK_BYTES):
             pressed = pa.array([None if t is None else press(t) for t in batch["text"].to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([pressed if n == "text" else batch[n] for n in batch.schema.names], names=batch.schema.names)
 
@@ -207,9 +209,15 @@ def _pressed(rows: DataFrame) -> DataFrame:
 
 def _unpressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpress = zstandard.ZstdDecompressor().decompress
-    for batch in in_blocks(batches, max_bytes=1 << 20):
-        texts = pa.array([None if t is None else unpress(t) for t in batch["text"].to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([texts if n == "text" else batch[n] for n in batch.schema.names], names=batch.schema.names)
+
+    def whole() -> Iterator[pa.RecordBatch]:
+        for batch in in_blocks(batches, max_bytes=BLOCK_BYTES // 4):
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                texts = pa.array([None if t is None else unpress(t) for t in part["text"].to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([texts if n == "text" else part[n] for n in part.schema.names], names=part.schema.names)
+
+    return in_blocks(whole(), max_bytes=BLOCK_BYTES)
 
 
 def _settled(groups: DataFrame, hot: DataFrame, n_hot: int) -> DataFrame:
@@ -241,6 +249,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     anchors = materialize(rows.drop("doc_id").mapInArrow(_anchors(window), "ord long, t1 long, t2 long, anchors array<long>"), "anchors")
     firsts = materialize(anchors.groupBy("t1", "t2").agg(F.min("ord").alias("ord"), F.count("*").alias("n")), "first-copies")
     copied = firsts.where("n > 1").select("t1", "t2", F.col("ord").alias("first"))
+    copied = F.broadcast(copied) if copied.count() <= BROADCAST_KEYS else copied
     copies = materialize(anchors.select(*_KEY).join(copied, ["t1", "t2"]).where("ord > first").select(*_KEY).distinct(), "copies")
     single = anchors.select("ord", F.explode("anchors").alias("anchor"))
     if copies.limit(1).count():
