@@ -6,6 +6,8 @@ reference the benchmark, and reads the turns of conversations by role.
 
 from __future__ import annotations
 
+from dataclasses import astuple, replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,6 +93,12 @@ def single_linkage(spark: SparkSession, d: str) -> DataFrame:
     return distance.single_linkage(distance.distances(i), i.names, max_snps=12, max_mismatches=0.995)
 
 
+def extended(spark: SparkSession, d: str) -> DataFrame:
+    """Variable columns over the samples of two indexes, in alphabetical order."""
+    both = index.merge([built(spark, d), index.build(reads(spark, d).select("sample", "seq"), K)])
+    return filters.columns(filters.apply_filters(replace(both, names=tuple(sorted(both.names))), filters.NO_CONST, 0.2))
+
+
 def iupac_table(spark: SparkSession, d: str) -> DataFrame:
     """All pairs of masks: codes, their union, complements, and the chance of equal bases."""
     ones = spark.range(1, 16).select(F.col("id").cast("int").alias("a"))
@@ -135,7 +143,7 @@ QUERIES = {
     "weed_min_freq_floor": lambda s, d: filters.columns(filters.apply_filters(index.weed(built(s, d), reference_contigs(s, d)), filters.NO_FILTER, 0.13, floor=True)),
     "delete_samples": lambda s, d: _digest(index.delete(built(s, d), ["src0", "src3"])),
     "merge_indexes": lambda s, d: _digest(index.add([_half(s, d, 0), _half(s, d, 1)])),
-    "extend_indexes": lambda s, d: filters.columns(filters.apply_filters(index.merge([built(s, d), index.build(reads(s, d).select("sample", "seq"), K)]), filters.NO_CONST, 0.2)),
+    "extend_indexes": extended,
     "read_subsample": lambda s, d: _rows(index.build(reads(s, d).drop("qual"), K, proportion=0.3)),
     "quality_strict": _reads_index("strict", 1),
     "quality_middle": _reads_index("middle", 1),
@@ -160,5 +168,5 @@ QUERIES = {
     "cov_counts": lambda s, d: coverage.kmer_counts(reads(s, d), K).where("n > 1").select(key_digits(K).alias("key"), "n"),
     "cov_histogram": lambda s, d: coverage.histogram(coverage.kmer_counts(contigs(s, d), 9)),
     "cov_density": lambda s, d: coverage.density(coverage.histogram(coverage.kmer_counts(contigs(s, d), 9)), 0.8, 20.0).select("count", "n_kmers", F.round("density", 9).alias("density"), "component"),
-    "cov_cutoff": lambda s, d: s.createDataFrame([(f := coverage.min_count(contigs(s, d), 9)).__dict__ | {}], "errors double, coverage double, cutoff int"),
+    "cov_cutoff": lambda s, d: s.createDataFrame([astuple(coverage.min_count(contigs(s, d), 9))], "errors double, coverage double, cutoff int"),
 }
