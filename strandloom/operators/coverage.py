@@ -29,7 +29,7 @@ def histogram(counts: DataFrame, min_bin: int = MIN_BIN) -> DataFrame:
     """
     bins = counts.where(F.col("n") <= MAX_COUNT).groupBy(F.col("n").alias("count")).agg(F.count("*").alias("n_kmers"))
     last = bins.where(F.col("n_kmers") >= min_bin).agg(F.max("count").alias("last"))
-    steps = last.where("last is not null").select(F.explode(F.sequence(F.lit(1), F.col("last").cast("int"))).cast("long").alias("count"))
+    steps = last.where("last is not null").select(F.explode(F.sequence(F.lit(1).cast("long"), F.col("last").cast("long"))).alias("count"))
     return steps.join(bins, "count", "left").select("count", F.coalesce("n_kmers", F.lit(0)).alias("n_kmers"))
 
 
