@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.bases import complement_mask, is_ambiguous, key_digits, mask_code, overlap, revcomp, sample_name, text_bases, text_quality
 from strandloom.functions.kmers import gapped_kmers
-from strandloom.operators import coverage, distance, filters, index, refmap
+from strandloom.operators import coverage, distance, filters, graph, index, refmap
 from strandloom.operators.index import Index
 
 K = 15
@@ -114,6 +114,34 @@ def names(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", path.alias("path")).select("page_id", sample_name(F.col("path")).alias("name"))
 
 
+def _colours(spark: SparkSession, d: str) -> DataFrame:
+    return graph.coloured_kmers(built(spark, d, 31))
+
+
+def graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    """For each number of samples: edges, distinct ends, first and last node."""
+    rows = graph.edges(_colours(spark, d)).withColumn("n_samples", F.size("samples"))
+    return rows.groupBy("n_samples").agg(F.count("*").alias("n_edges"), F.count_distinct("src").alias("n_src"), F.min("src").alias("first_src"), F.max("dst").alias("last_dst"))
+
+
+def graph_colours(spark: SparkSession, d: str) -> DataFrame:
+    return _colours(spark, d).groupBy(F.array_join("samples", ",").alias("samples")).agg(F.count("*").alias("n_kmers"))
+
+
+def _left_out(part: str):
+    """Variants between the document sources."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        called, calls, found = graph.left_out(built(spark, d, 31), max_missing=0.9, max_depth=1)
+        if part == "snps":
+            return called.select("gid", "pos", "column")
+        if part == "placed":
+            return graph.place(called, found, reference_contigs(spark, d), 30)
+        return calls if part == "indels" else found.select("entry", "exit", "kind", "path", "seq")
+
+    return run
+
+
 QUERIES = {
     "build_contigs": lambda s, d: contigs(s, d).select("sample", "contig", "seq", F.length("seq").cast("long").alias("length")),
     "revcomp_contigs": lambda s, d: reference_contigs(s, d).select("chrom", revcomp(F.col("seq")).alias("seq")),
@@ -169,4 +197,11 @@ QUERIES = {
     "cov_histogram": lambda s, d: coverage.histogram(coverage.kmer_counts(contigs(s, d), 9)),
     "cov_density": lambda s, d: coverage.density(coverage.histogram(coverage.kmer_counts(contigs(s, d), 9)), 0.8, 20.0).select("count", "n_kmers", F.round("density", 9).alias("density"), "component"),
     "cov_cutoff": lambda s, d: s.createDataFrame([astuple(coverage.min_count(contigs(s, d), 9))], "errors double, coverage double, cutoff int"),
+    "graph_edges": graph_edges,
+    "graph_colours": graph_colours,
+    "graph_entry_nodes": lambda s, d: graph.entry_nodes(graph.edges(_colours(s, d))),
+    "graph_groups": _left_out("groups"),
+    "indel_calls": _left_out("indels"),
+    "left_out_snps": _left_out("snps"),
+    "kmer_placement": _left_out("placed"),
 }
