@@ -134,9 +134,9 @@ _BINS = f"SELECT n AS count, count(*) AS n_kmers FROM (SELECT key, count(*) AS n
 _HISTOGRAM = f"WITH b AS ({_BINS}) SELECT g.count, coalesce(n_kmers, 0) AS n_kmers FROM (SELECT unnest(range(1, (SELECT max(count) FROM b WHERE n_kmers >= 50) + 1)) AS count) g LEFT JOIN b ON b.count = g.count"
 _WHOLE = f"SELECT chrom, start, pos, key, mask, is_rc, palindrome FROM (SELECT contig AS chrom, * FROM ({{rows}}))"
 
-_COLOURS = f"""WITH i AS ({_index(_documents(), 31)}), f AS (SELECT sample, translate(substr(key, 1, 15) || d || substr(key, 16), '0123', 'ACTG') AS full FROM i, (VALUES (1, '0'), (2, '1'), (8, '2'), (4, '3')) b(m, d) WHERE mask & m <> 0),
-  c AS MATERIALIZED (SELECT full, string_agg(DISTINCT sample, ',' ORDER BY sample) AS samples, count(DISTINCT sample) AS n FROM (SELECT * FROM f UNION ALL SELECT sample, translate(reverse(full), 'ACGT', 'TGCA') FROM f) GROUP BY full),
-  e AS (SELECT substr(full, 1, 30) AS src, substr(full, 2) AS dst, samples, n FROM c)"""
+_COLOURS = f"""WITH i AS ({_index(_documents(), 31)}), f AS (SELECT sample, translate(substr(key, 1, 15) || d || substr(key, 16), '0123', 'ACTG') AS w FROM i, (VALUES (1, '0'), (2, '1'), (8, '2'), (4, '3')) b(m, d) WHERE mask & m <> 0),
+  c AS MATERIALIZED (SELECT w, string_agg(DISTINCT sample, ',' ORDER BY sample) AS samples, count(DISTINCT sample) AS n FROM (SELECT * FROM f UNION ALL SELECT sample, translate(reverse(w), 'ACGT', 'TGCA') FROM f) GROUP BY w),
+  e AS (SELECT substr(w, 1, 30) AS src, substr(w, 2) AS dst, samples, n FROM c)"""
 
 SQL = {
     "build_contigs": f"SELECT source AS sample, doc_id AS contig, {_text('text', _BASES)} AS seq, length({_text('text', _BASES)}) AS length FROM documents WHERE text IS NOT NULL",
