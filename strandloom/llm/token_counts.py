@@ -105,7 +105,7 @@ class LongestMatch:
 class Counter:
     """Counts of the words of a worker process; holds at most ``max_words`` between calls."""
 
-    def __init__(self, path: str, max_words: int = 500_000) -> None:
+    def __init__(self, path: str, max_words: int = 250_000) -> None:
         self.match, self.max_words = LongestMatch(vocabulary(path)), max_words
         self.reset()
 

@@ -19,11 +19,17 @@ import regex
 #: Words whose characters all lie in these ranges are split by rule before they
 #: reach the tokenizer; others are handed over as they are.
 _PLAIN = re.compile("[!-~À-ÖØ-öø-ɏ]+")
-_BEYOND = re.compile("[ɐ-\U0010ffff]")
+#: Texts with these are not lower-cased ahead: their case folding is left to the
+#: tokenizer, and special tokens are written with ``<|``.
+_BEYOND = re.compile("[ɐ-\U0010ffff]|<\\|")
 #: Fixed value: the pre-tokenizer pattern of the vocabulary file.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+def _plain(word: str) -> bool:
+    return _PLAIN.fullmatch(word) is not None and "<|" not in word
+
+
 def default_tokenizer() -> str:
     import public_tokenizers
 
@@ -73,7 +79,7 @@ class _Numbers(dict):
 class Encoder:
     """Encodes lists of texts; holds at most ``max_words`` words in memory between calls."""
 
-    def __init__(self, path: str, max_words: int = 500_000) -> None:
+    def __init__(self, path: str, max_words: int = 250_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -103,7 +109,7 @@ class Encoder:
         new, self.words.new = [w.decode() for w in self.words.new], []
         if not new:
             return
-        parts = [_PIECES.findall(w) if _PLAIN.fullmatch(w) else [w] for w in new]
+        parts = [_PIECES.findall(w) if _plain(w) else [w] for w in new]
         flat = [p for own in parts for p in own]
         entry = np.fromiter(map(self.pieces.__getitem__, flat), np.int64, len(flat))
         self._learn_pieces()
@@ -116,7 +122,7 @@ class Encoder:
         new, self.pieces.new = self.pieces.new, []
         if not new:
             return
-        if all(map(_PLAIN.fullmatch, new)):
+        if all(map(_plain, new)):
             one = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
             of = one.word_ids
             if None not in of and of and of[-1] == len(new) - 1:
