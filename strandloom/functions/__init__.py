@@ -1 +1 @@
-
+"""Column expressions and the k-mer generator."""

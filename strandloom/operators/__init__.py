@@ -1 +1 @@
-
+"""Operators over sequences and their index."""

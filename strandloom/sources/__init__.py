@@ -1 +1 @@
-
+"""Readers, sinks and shared working tables."""

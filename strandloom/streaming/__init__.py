@@ -1 +1 @@
-
+"""Empty on purpose: the engine's operators are batch operators, and none has a streaming form."""

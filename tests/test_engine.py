@@ -74,7 +74,7 @@ def test_index_filters_and_orientation(spark):
     cols = filters.columns(filters.apply_filters(one, min_freq=1)).collect()
     assert len(cols) == 1 and set(cols[0].bases) in ({BASE[30], other(BASE[30])}, {rc(BASE[30]), rc(other(BASE[30]))})
     turned = index.build(seqs(spark, [("a", rc(a)), ("b", b)]), 15)
-    assert sorted(map(tuple, turned.kmers.collect()))[:5] == sorted(map(tuple, one.kmers.collect()))[:5] or turned.kmers.count() > 0
+    assert sorted(map(tuple, turned.kmers.collect())) == sorted(map(tuple, one.kmers.collect()))
     assert {r.sample: r.n_kmers for r in index.sample_counts(one).collect()} == {"a": 48, "b": 48}
     assert index.summary(one).first().n_kmers == 48 + 14
     back = index.delete(index.merge([one, index.build(seqs(spark, [("c", BASE)]), 15)]), ["c"])
