@@ -184,8 +184,8 @@ SQL = {
       SELECT sample1 AS sample, string_agg(printf('%.6f', distance), chr(9) ORDER BY sample2) AS row FROM f GROUP BY sample1""",
     "distance_lines": _distances() + r" SELECT sample1, sample2, printf('%s\t%s\t%.2f\t%.5f\t%d\t%d', sample1, sample2, distance, mismatches, match_count, mismatch_count) AS line FROM told".replace(r"\t", "\t"),
     "single_linkage": _distances().replace("WITH i", "WITH RECURSIVE i", 1) + """, l AS (SELECT sample1 AS a, sample2 AS b FROM told WHERE distance <= 12 AND mismatches <= 0.995), both_ways AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-      reach AS (SELECT sample, sample AS at FROM n UNION SELECT sample, b FROM reach JOIN both_ways ON a = at),
-      own AS (SELECT sample, min(at) AS cluster FROM reach GROUP BY sample) SELECT sample, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM own""",
+      reach AS (SELECT sample, sample AS seen FROM n UNION SELECT sample, b FROM reach JOIN both_ways ON a = seen),
+      own AS (SELECT sample, min(seen) AS cluster FROM reach GROUP BY sample) SELECT sample, cluster, count(*) OVER (PARTITION BY cluster) AS size FROM own""",
     "ref_index": f"SELECT contig AS chrom, pos, key, mask, is_rc FROM ({_kmers(_REFERENCE, _K)})",
     "ref_repeats": f"SELECT key, count(*) AS n FROM ({_kmers(_REFERENCE, 9)}) GROUP BY key HAVING count(*) > 1",
     "ref_repeat_mask": f"WITH r AS MATERIALIZED ({_kmers(_REFERENCE, 9)}) SELECT DISTINCT contig AS chrom, (pos + unnest(range(-4, 5)))::INTEGER AS pos FROM r WHERE key IN (SELECT key FROM r GROUP BY key HAVING count(*) > 1)",
