@@ -14,8 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strandloom.llm.tokens import in_blocks
 from strandloom.llm.words import mix
@@ -39,6 +41,8 @@ SCRIPT_SHARE = 0.01
 #: Log-likelihood that a change of language costs.
 SWITCH_PENALTY = 12.0
 UNKNOWN = "und"
+#: Bytes of text whose letters are held as arrays at once.
+BLOCK_BYTES = 1 << 20
 
 _table: np.ndarray | None = None
 
@@ -99,7 +103,7 @@ def _counts(languages: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, scripts = np.zeros((len(languages), FEATURES), np.int64), np.zeros((len(languages), len(SCRIPT_NAMES)), np.int64)
         number = {name: i for i, name in enumerate(languages)}
-        for batch in in_blocks(batches):
+        for batch in in_blocks(batches, max_bytes=BLOCK_BYTES):
             lang = np.array([number[x] for x in batch["lang"].to_pylist()])
             words = Words(batch["text"].to_pylist())
             of = lang[words.text]
@@ -175,37 +179,43 @@ def label_words(words: Words, model: Model) -> np.ndarray:
     return viterbi(narrowed - narrowed.max(axis=1, keepdims=True), words.first, words.count)
 
 
+def label_texts(texts: list[str | None], model: Model | None) -> tuple[list[str], np.ndarray]:
+    """Language and score of each text."""
+    words = Words(texts)
+    pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    if model and len(words.start):
+        letters = np.zeros((len(texts), len(model.languages)), np.int64)
+        np.add.at(letters, (words.text, label_words(words, model)), words.letters)
+        top, total = letters.argmax(axis=1), letters.sum(axis=1)
+        score = letters.max(axis=1) / np.maximum(total, 1)
+        pred = [model.languages[k] if n else UNKNOWN for k, n in zip(top.tolist(), total.tolist(), strict=True)]
+    return pred, score
+
+
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of ``docs`` but ``text`` and ``lang`` pass through; adds ``lang_pred`` and ``score``.
+    """``lang_pred`` and ``score`` beside the columns of ``docs`` other than ``text`` and ``lang``.
 
     ``score`` is the share of the letters labelled with the predicted language.  A text
     that is null or has no letter, and every text without a model, is ``und`` with
     score 0.  Ties go to the language first in the alphabet.
     """
-    keep = [f for f in docs.schema.fields if f.name not in ("lang", "lang_pred", "score")]
-    names = [f.name for f in keep if f.name != "text"]
+    rest = [f for f in docs.schema.fields if f.name not in ("text", "lang", "lang_pred", "score")]
+    names = [f.name for f in rest]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_blocks(batches):
-            words = Words(batch["text"].to_pylist())
-            pred, score = [UNKNOWN] * batch.num_rows, np.zeros(batch.num_rows)
-            if model and len(words.start):
-                letters = np.zeros((batch.num_rows, len(model.languages)), np.int64)
-                np.add.at(letters, (words.text, label_words(words, model)), words.letters)
-                top, total = letters.argmax(axis=1), letters.sum(axis=1)
-                score = letters.max(axis=1) / np.maximum(total, 1)
-                pred = [model.languages[k] if n else UNKNOWN for k, n in zip(top.tolist(), total.tolist(), strict=True)]
+        for batch in in_blocks(batches, max_bytes=BLOCK_BYTES):
+            pred, score = label_texts(batch["text"].to_pylist(), model)
             yield pa.RecordBatch.from_arrays([batch[n] for n in names] + [pa.array(pred, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep if f.name != "text")
-    return docs.select(*[f.name for f in keep]).mapInArrow(run, f"{out}, lang_pred string, score double")
+    out = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return docs.select(*names, F.col("text").cast("string").alias("text")).mapInArrow(run, out)
 
 
 def spans(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``start``, ``end`` (code points of the lower-cased text), ``lang`` of each run of words in one language."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in in_blocks(batches):
+        for batch in in_blocks(batches, max_bytes=BLOCK_BYTES):
             words = Words(batch["text"].to_pylist())
             label = label_words(words, model)
             new = np.flatnonzero((np.diff(words.text, prepend=-1) != 0) | (np.diff(label, prepend=-1) != 0))
@@ -227,8 +237,16 @@ def fit_on(docs: DataFrame) -> Model | None:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """The rows whose text is in some language; a null ``lang`` gets the predicted one."""
-    told = predict(docs.select(F.struct(*docs.columns).alias("row"), F.col("text").cast("string")), fit_on(docs)).where(F.col("lang_pred") != UNKNOWN)
-    return told.select(*[F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
+    model = fit_on(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_blocks(batches, max_bytes=BLOCK_BYTES):
+            pred, _ = label_texts(batch["text"].to_pylist(), model)
+            pred = pa.array([None if p == UNKNOWN else p for p in pred], pa.string())
+            columns = [pc.coalesce(batch[n], pred.cast(batch[n].type)) if n == "lang" else batch[n] for n in batch.schema.names]
+            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).filter(pred.is_valid())
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op5_language_id(spark, sf_dir: str) -> DataFrame:

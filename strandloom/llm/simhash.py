@@ -157,7 +157,8 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept"))
     keep = materialize(keep.groupBy("kept").count(), "kept")
     repeated = keep.where("count > 1").limit(1).count() > 0
-    left = docs.join(keep.select("kept"), F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
+    # the list grows with the documents, so it is joined by id at every size
+    left = docs.join(keep.select("kept").hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
     return left.dropDuplicates(["doc_id"]) if repeated else left
 
 
