@@ -82,13 +82,11 @@ def pack(docs: DataFrame, length: int = SEQUENCE_LENGTH, end_id: int = END_ID, t
     ``doc_id``) are packed once per row.  An empty table gives no pieces.  The
     order of documents is that of the input's partitions.
     """
-    spark = docs.sparkSession
     stored = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_encode(tokenizer or default_tokenizer(), end_id), _STORED), "packing")
     offsets, at = {}, 0
     for part, total in stored.groupBy("part").agg(F.sum("n")).orderBy("part").collect():  # one row for each input partition
         offsets[part] = at
         at += total
-    del spark
     return stored.mapInArrow(_cut(offsets, length, keep_ids), _PIECE)
 
 
