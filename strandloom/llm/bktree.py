@@ -89,20 +89,8 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def _linker(words: int, radius: int, block_rows: int = 20_000):
-    """Rows sorted by shard -> a link from each row to its group's first row."""
-
-    def links(shard: np.ndarray, role: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
-        prints = np.frombuffer(b"".join(raw), ">u8").astype(np.uint64).reshape(-1, words)
-        label, member, query = np.arange(len(raw)), np.flatnonzero(role & 1), np.flatnonzero(role & 2)
-        _, of, size = np.unique(shard, return_inverse=True, return_counts=True)
-        member, query = member[size[of[member]] > 1], query[size[of[query]] > 1]
-        if len(member) and len(query):
-            forest = BKForest(prints[member], shard[member])
-            for q, m in forest.search(prints[query], shard[query], radius):
-                _merge(label, query[q], member[m])
-        moved = np.flatnonzero(label != np.arange(len(raw))).tolist()
-        return pa.RecordBatch.from_arrays([pa.array([raw[i] for i in moved], pa.binary()), pa.array([raw[i] for i in label[moved].tolist()], pa.binary())], names=["a", "b"])
+def _by_shard(work, block_rows: int = 20_000):
+    """Rows sorted by shard -> what ``work`` makes of tables of whole shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
@@ -115,27 +103,131 @@ def _linker(words: int, radius: int, block_rows: int = 20_000):
             shard = table["shard"].to_numpy()
             cut = int(np.searchsorted(shard, shard[-1]))  # the last shard may go on
             if cut:
-                part = table.slice(0, cut)
-                yield links(shard[:cut], part["role"].to_numpy(), part["print"].to_pylist())
+                yield from work(table.slice(0, cut))
             held, rows = table.slice(cut).to_batches(), table.num_rows - cut
         if rows:
-            table = pa.Table.from_batches(held)
-            yield links(table["shard"].to_numpy(), table["role"].to_numpy(), table["print"].to_pylist())
+            yield from work(pa.Table.from_batches(held))
 
     return run
 
 
+def _found(table: pa.Table, words: int, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Portions of (query row, member row) within ``radius`` in one shard."""
+    prints = np.frombuffer(b"".join(table["print"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+    shard, role = table["shard"].to_numpy(), table["role"].to_numpy()
+    member, query = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
+    _, of, size = np.unique(shard, return_inverse=True, return_counts=True)
+    member, query = member[size[of[member]] > 1], query[size[of[query]] > 1]
+    if len(member) and len(query):
+        forest = BKForest(prints[member], shard[member])
+        for q, m in forest.search(prints[query], shard[query], radius):
+            yield query[q], member[m]
+
+
+def _linker(words: int, radius: int):
+    """Rows sorted by shard -> a link from each row to its group's first row."""
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        label = np.arange(table.num_rows)
+        for a, b in _found(table, words, radius):
+            _merge(label, a, b)
+        moved = np.flatnonzero(label != np.arange(len(label)))
+        raw = table["print"].combine_chunks()
+        yield pa.RecordBatch.from_arrays([pa.array(raw.take(pa.array(at)).to_pylist(), pa.binary()) for at in (moved, label[moved])], names=["a", "b"])
+
+    return _by_shard(work)
+
+
+def spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Numbers of the edges of a smallest spanning forest of n nodes, ties by ends."""
+    order = np.lexsort((np.maximum(a, b), np.minimum(a, b), d))
+    label, left, chosen = np.arange(n), order, [order[:0]]
+    while True:
+        x, y = label[a[left]], label[b[left]]
+        differ = x != y
+        left, x, y = left[differ], x[differ], y[differ]
+        if not len(left):
+            return np.concatenate(chosen)
+        best = np.full(n, len(left))
+        np.minimum.at(best, x, np.arange(len(left)))
+        np.minimum.at(best, y, np.arange(len(left)))
+        own = left[np.unique(best[best < len(left)])]
+        chosen.append(own)
+        _merge(label, a[own], b[own])
+
+
+def _pairer(words: int, radius: int, known: bool):
+    """Rows sorted by shard -> pairs of nodes to verify.
+
+    Pairs whose sizes alone rule out a similarity of 0.8 are left out.  At first the
+    pairs of a smallest spanning forest of each shard; where labels are ``known``, all
+    pairs with different ones.
+    """
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        node, size = table["node"].to_numpy(), table["size"].to_numpy()
+        label = table["label"].to_numpy()
+        raw = None if known else np.frombuffer(b"".join(table["print"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+        held, rows = [np.empty((2, 0), np.int64)], 0
+
+        def forest(pairs: np.ndarray) -> np.ndarray:
+            a, b = pairs
+            return pairs[:, spanning(a, b, hamming(raw[a], raw[b]), len(node))]
+
+        for a, b in _found(table, words, radius):
+            fit = (node[a] != node[b]) & (label[a] != label[b]) & (10 * np.minimum(size[a], size[b]) >= 8 * np.maximum(size[a], size[b]))
+            a, b = a[fit], b[fit]
+            if known:
+                yield _ends(node, a, b)
+                continue
+            held.append(np.stack([a, b]))
+            rows += len(a)
+            if rows > 500_000:
+                held = [forest(np.concatenate(held, axis=1))]
+                rows = held[0].shape[1]
+        if not known:
+            yield _ends(node, *forest(np.concatenate(held, axis=1)))
+
+    return _by_shard(work)
+
+
+def _ends(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
+
+
 def _keyed(keys, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 4096):
-                own = batch.slice(at, 4096)["print"]
-                found = keys(np.frombuffer(b"".join(own.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words))
-                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), own.take(pa.array(np.repeat(np.arange(len(own)), found.shape[1])))], names=["key", "print"])
+                own = batch.slice(at, 4096)
+                found = keys(np.frombuffer(b"".join(own["print"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, words))
+                row = pa.array(np.repeat(np.arange(len(own)), found.shape[1]))
+                yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), *(c.take(row) for c in own.columns)], names=["key", *own.schema.names])
 
     return run
 
 
+def _dealt(nodes: DataFrame, keys, words: int, shard_rows: int) -> DataFrame:
+    """``nodes`` (``print`` and more) in their shards: ``shard``, ``role``, and the columns of ``nodes``."""
+    spark = nodes.sparkSession
+    schema = "key long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.schema)
+    hot = nodes.select("print").mapInArrow(_keyed(keys, words), "key long, print binary")
+    hot = hot.groupBy("key").count().where(F.col("count") > shard_rows).select("key", F.ceil(F.col("count") / shard_rows).cast("int").alias("trees"))
+    hot = materialize(hot, "hot-shards")
+    n_hot = hot.count()
+    keyed = nodes.mapInArrow(_keyed(keys, words), schema)
+    if n_hot:
+        keyed = keyed.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, "key", "left")
+    else:
+        keyed = keyed.withColumn("trees", F.lit(None).cast("int"))
+    trees = F.coalesce("trees", F.lit(1))
+    home = F.pmod(F.xxhash64("print"), trees)
+    rows = keyed.select("key", *nodes.columns, home.alias("home"), F.explode(F.sequence(F.lit(0), trees - 1)).alias("tree")).select(
+        F.xxhash64("key", "tree").alias("shard"), F.when(F.col("home") == F.col("tree"), 3).otherwise(2).alias("role"), *nodes.columns
+    )
+    return rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "print")
+
+
 def near_components(prints: DataFrame, keys, words: int, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``node``, ``component`` of fingerprints linked within ``radius``.
 
@@ -146,19 +238,13 @@ def near_components(prints: DataFrame, keys, words: int, radius: int, shard_rows
     links come as one link to a representative per row, so a tight group of m gives m
     links, not m * m, and no connection is lost.
     """
-    spark = prints.sparkSession
-    keyed = materialize(prints.mapInArrow(_keyed(keys, words), "key long, print binary"), "shard-keys")
-    hot = keyed.groupBy("key").count().where(F.col("count") > shard_rows).select("key", F.ceil(F.col("count") / shard_rows).cast("int").alias("trees"))
-    hot = materialize(hot, "hot-shards")
-    n_hot = hot.count()
-    if n_hot:
-        keyed = keyed.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, "key", "left")
-    else:
-        keyed = keyed.withColumn("trees", F.lit(None).cast("int"))
-    trees = F.coalesce("trees", F.lit(1))
-    home = F.pmod(F.xxhash64("print"), trees)
-    rows = keyed.select("key", "print", home.alias("home"), F.explode(F.sequence(F.lit(0), trees - 1)).alias("tree")).select(
-        F.xxhash64("key", "tree").alias("shard"), F.when(F.col("home") == F.col("tree"), 3).otherwise(2).alias("role"), "print"
-    )
-    dealt = rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "print")
-    return connected_components(dealt.mapInArrow(_linker(words, radius), "a binary, b binary"))
+    return connected_components(_dealt(prints, keys, words, shard_rows).mapInArrow(_linker(words, radius), "a binary, b binary"))
+
+
+def near_pairs(nodes: DataFrame, keys, words: int, radius: int, known: bool, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Distinct ``a`` < ``b``: pairs of nodes within ``radius`` that are to be verified.
+
+    ``nodes``: ``node`` long, ``label`` long, ``print``, ``size`` (shingles of the set).
+    See :func:`_pairer` for ``known``.
+    """
+    return _dealt(nodes, keys, words, shard_rows).mapInArrow(_pairer(words, radius, known), "a long, b long").distinct()

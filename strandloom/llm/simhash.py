@@ -7,7 +7,7 @@ all shards with all queries):
 * ``pigeonhole``: for a radius r the bits are cut into r + 1 blocks; two
   fingerprints that differ in at most r bits agree on a whole block.  Exact.
 * ``sampled``: for larger radii, tables of randomly chosen bits, as many as reach the
-  stated recall.
+  stated recall within the radius.  What they bring together is only a candidate.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.bktree import near_components
+from strandloom.llm.bktree import BROADCAST_KEYS, near_components, near_pairs
+from strandloom.operators.components import connected_components
 from strandloom.sources.shared import materialize
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
@@ -54,15 +55,6 @@ def fingerprint64(text: bytes | None, size: int = 3, seed: int = 42) -> bytes:
     return majority(np.array([digest(s, seed) for s in found], ">u8").view(np.uint8).reshape(-1, 8))
 
 
-def fingerprint128(text: bytes | None, size: int = 5) -> bytes:
-    """128 bits over the distinct shingles, XXH3; zero without words."""
-    found = set(shingles((text or b"").lower(), size))
-    if not found:
-        return bytes(16)
-    digest = xxhash.xxh3_128_digest
-    return majority(np.frombuffer(b"".join(map(digest, found)), np.uint8).reshape(-1, 16))
-
-
 def pigeonhole(radius: int, bits: int = 64):
     """Shard keys for 64-bit fingerprints: radius + 1 blocks of nearly equal width."""
     cuts = [bits * i // (radius + 1) for i in range(radius + 2)]
@@ -104,59 +96,128 @@ def _prints(make):
 def components(docs: DataFrame, make, keys, words: int, radius: int) -> DataFrame:
     """``doc_id``, ``print``, ``component_id`` (smallest doc_id of the component) of each row of ``docs``.
 
-    ``keys`` may be a function of the number of distinct fingerprints.  Null texts
-    count as empty; texts without words all have fingerprint zero; repeated rows come
+    Null texts count as empty; texts without words all have fingerprint zero; repeated rows come
     back once each; other columns of ``docs`` play no part; an empty table gives none.
     """
-    spark = docs.sparkSession
     own = materialize(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(_prints(make), "doc_id long, print binary"), "fingerprints")
     least = materialize(own.groupBy("print").agg(F.min("doc_id").alias("doc_id")), "distinct-fingerprints")
-    linked = materialize(near_components(least.select("print"), keys(least.count()) if isinstance(keys, _Sized) else keys, words, radius), "components")
+    linked = materialize(near_components(least.select("print"), keys, words, radius), "components")
     named = least.join(linked.withColumnRenamed("node", "print"), "print", "left").withColumn("component", F.coalesce("component", "print"))
     smallest = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     labels = materialize(named.join(smallest, "component").select("print", "component_id"), "labels")
-    del spark
     return own.join(labels, "print").select("doc_id", "print", "component_id")
 
 
-class _Sized:
-    """Shard keys whose width follows the number of fingerprints."""
-
-    def __init__(self, make) -> None:
-        self.make = make
-
-    def __call__(self, n: int):
-        return self.make(n)
-
-
-#: Near-duplicates at a similarity of 0.8 or more: four fifths of 128 bits agree.
-STAGE_RADIUS = 25
-#: The share of differing bits that a Jaccard similarity of 0.8 gives on average.
-STAGE_DIFFER = math.acos(2 * 0.8 / 1.8) / math.pi
-
-
-def stage_keys(recall: float = 0.95):
-    """Tables that bring two texts of similarity 0.8 together with probability ``recall``."""
-
-    def make(n: int):
-        bits = max(16, math.ceil(math.log2(max(n, 1) / 16)))
-        hit = (1 - STAGE_DIFFER) ** bits
-        return sampled(bits, math.ceil(math.log(1 - recall) / math.log(1 - hit)), 2)
-
-    return _Sized(make)
+#: Bits in which fingerprints of candidates for a similarity of 0.8 may differ.
+STAGE_RADIUS = 32
+#: Links of one node in a group of the join that verifies them.
+NODE_LINKS = 200
+
+
+def recall_at(similarity: float, bits: int, tables: int, radius: int = STAGE_RADIUS) -> float:
+    """The chance that 128-bit fingerprints of two texts are within ``radius`` and share a table; bits differ by the angle of the sets."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    chance = lambda d: math.comb(128, d) * p**d * (1 - p) ** (128 - d)
+    return sum(chance(d) * (1 - (1 - math.comb(128 - d, bits) / math.comb(128, bits)) ** tables) for d in range(radius + 1))
+
+
+def stage_tables(n: int, wanted: tuple = ((0.8, 0.95), (0.9, 0.999))) -> tuple[int, int]:
+    """(bits, tables) for n fingerprints: the fewest tables with the wanted recall at each similarity, radius counted."""
+    bits, tables = max(16, math.ceil(math.log2(max(n, 1) / 16))), 1
+    while any(recall_at(similarity, bits, tables) < recall for similarity, recall in wanted):
+        tables += 1
+    return bits, tables
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A key and a fingerprint of each text's distinct five-word shingles, and their number."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            keys, prints, sizes = [], [], []
+            for text in part["text"]:
+                found = sorted(map(xxhash.xxh3_128_digest, set(shingles((text.as_py() or b"").lower(), 5))))
+                line = b"".join(found)
+                keys.append(xxhash.xxh3_128_digest(line))
+                prints.append(majority(np.frombuffer(line, np.uint8).reshape(-1, 16)) if found else bytes(16))
+                sizes.append(len(found))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], part["row"], pa.array(keys, pa.binary()), pa.array(prints, pa.binary()), pa.array(sizes, pa.int32())], names=["doc_id", "row", "set", "print", "size"])
+
+
+def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct five-word shingles of each text, as 64-bit hashes."""
+    digest = xxhash.xxh3_64_intdigest
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            own = [np.fromiter(map(digest, set(shingles((t.as_py() or b"").lower(), 5))), np.uint64).view(np.int64) for t in part["text"]]
+            yield pa.RecordBatch.from_arrays([part["node"], pa.array(own, pa.list_(pa.int64()))], names=["node", "hashes"])
+
+
+def _with_hashes(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
+    """``pairs`` with the shingles of their ``side``; a node of many pairs is dealt out in several groups."""
+    many = pairs.groupBy(F.col(side).alias("node")).count().where(F.col("count") > NODE_LINKS)
+    many = materialize(many.select("node", F.ceil(F.col("count") / NODE_LINKS).cast("int").alias("salts")), "many-links")
+    n = many.count()
+    many = F.broadcast(many) if n <= BROADCAST_KEYS else many
+    salts = F.coalesce("salts", F.lit(1))
+    left = pairs.withColumn("node", F.col(side)).join(many, "node", "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), salts)).drop("salts")
+    right = sets.join(many, "node", "left").select("node", F.col("hashes").alias(f"{side}_hashes"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+    return left.join(right.hint("merge"), ["node", "salt"]).drop("node", "salt")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a b near``: whether the Jaccard similarity of the shingles is 0.8 or more."""
+    both = _with_hashes(_with_hashes(pairs, sets, "a"), sets, "b")
+    shared = F.size(F.array_intersect("a_hashes", "b_hashes"))
+    return both.select("a", "b", (9 * shared >= 4 * (F.size("a_hashes") + F.size("b_hashes"))).alias("near"))
+
+
+def _linked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node`` and ``component`` of the nodes with a verified link.
+
+    Candidates are first the pairs of a smallest spanning forest of every shard.  Where
+    those fail, pairs beside them may still hold: of nodes with candidates, all pairs
+    that are not in one component by then are verified too.
+    """
+    keys = sampled(*stage_tables(nodes.count()), 2)
+    own = nodes.where("size > 0").select("node", F.col("node").alias("label"), "print", "size")
+    pairs = materialize(near_pairs(own, keys, 2, STAGE_RADIUS, False), "candidates")
+    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidate-ends")
+    wanted = nodes.join(ends, "node").select("node", F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__row"))
+    texts = rows.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("row").eqNullSafe(F.col("__row"))).select("node", "text")
+    sets = materialize(texts.mapInArrow(_hashes, "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes")), "shingles")
+    first = materialize(_verified(pairs, sets), "verified")
+    links = first.where("near").select("a", "b")
+    found = connected_components(links)
+    failed = first.where("not near").select("a", "b")
+    if not failed.limit(1).count():
+        return found
+    found = materialize(found, "components")
+    own = own.drop("label").join(ends, "node").join(found.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    more = near_pairs(materialize(own.select("node", "label", "print", "size"), "open"), keys, 2, STAGE_RADIUS, True)
+    more = materialize(more.join(failed, ["a", "b"], "left_anti"), "more-candidates")
+    second = materialize(_verified(more, sets).where("near").select("a", "b"), "more-verified")
+    return connected_components(found.select("node", "component").unionByName(second.toDF("node", "component"))) if second.limit(1).count() else found
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` without near-duplicates: of each group the row with the smallest doc_id stays.
 
-    Texts of five-word shingles (lower case) count as near at a similarity of 0.8 or
-    more, measured on 128-bit fingerprints.  Rows with a null doc_id stay unless a
-    group has others.  Of rows that share the kept doc_id one stays.
+    Texts are near if the Jaccard similarity of their distinct five-word shingles (lower
+    case) is 0.8 or more; groups are the components of such links.  Candidates come from
+    128-bit fingerprints, each is verified.  Of rows that share the kept doc_id one stays.
     """
-    found = components(docs, fingerprint128, stage_keys(), 2, STAGE_RADIUS)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept"))
-    keep = materialize(keep.groupBy("kept").count(), "kept")
-    repeated = keep.where("count > 1").limit(1).count() > 0
+    row = F.md5(F.col("text").cast("binary"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.col("text").cast("binary").alias("text"))
+    own = materialize(rows.mapInArrow(_sets, "doc_id long, row string, set binary, print binary, size int"), "fingerprints")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
+    nodes = own.groupBy("set").agg(F.min("print").alias("print"), F.min("size").alias("size"), F.min(place).alias("first"))
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "print", "size", "first"), "distinct-sets")
+    named = nodes.join(_linked(rows, nodes), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    keep = materialize(named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept")), "kept")
+    keep = materialize(keep.groupBy("kept").count(), "kept-ids")
+    repeated = own.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     # the list grows with the documents, so it is joined by id at every size
     left = docs.join(keep.select("kept").hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
     return left.dropDuplicates(["doc_id"]) if repeated else left

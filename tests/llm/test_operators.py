@@ -388,6 +388,51 @@ def test_near_dedup_stage(spark, docs):
     assert simhash.near_dedup(docs).columns == docs.columns
 
 
+def test_near_dedup_by_brute_force(spark):
+    """Pairs at, above and below 0.8, short and long; links that only a weaker pair of a shard gives."""
+    rng = random.Random(41)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    texts, number = {}, 0
+    for size in (12, 40, 300):
+        for share in (0.03, 0.1, 0.15, 0.19, 0.24, 0.3, 0.4):
+            for _ in range(12):
+                own = [word() for _ in range(size)]
+                cut = max(1, round((size - 4) * share))
+                for t in (own, own[:-cut], own[cut // 2 :]):
+                    texts[number], number = " ".join(t), number + 1
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    sets = {i: {tuple(t.split()[p : p + 5]) for p in range(max(1, len(t.split()) - 4))} for i, t in texts.items()}
+    label = {i: i for i in texts}
+    for i in range(0, number, 3):
+        for _ in range(3):
+            for a, b in ((i, i + 1), (i, i + 2), (i + 1, i + 2)):
+                if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                    label[a] = label[b] = min(label[a], label[b])
+    want = {i for i in texts if label[i] == i}
+    got = {r.doc_id for r in simhash.near_dedup(table).collect()}
+    assert want <= got  # nothing under the threshold goes
+    print("kept twice:", len(got - want), "of", len(texts) - len(want))
+    assert len(got - want) <= 0.05 * (len(texts) - len(want))
+
+
+def test_stage_recall_counts_the_radius():
+    bits, tables = simhash.stage_tables(1000)
+    assert simhash.recall_at(0.8, bits, tables) >= 0.95 and simhash.recall_at(0.9, bits, tables) >= 0.999
+    assert simhash.recall_at(0.8, 16, 39, 25) < 0.85
+
+
+def test_spanning_forest_is_smallest():
+    rng = np.random.default_rng(8)
+    a, b, d = rng.integers(0, 40, 150), rng.integers(0, 40, 150), rng.integers(0, 9, 150)
+    parent, want, links = list(range(40)), 0, 0
+    for i in np.argsort(d, kind="stable"):
+        x, y = parent[a[i]], parent[b[i]]
+        if x != y:
+            parent, want, links = [x if p == y else p for p in parent], want + d[i], links + 1
+    got = bktree.spanning(a, b, d, 40)
+    assert len(got) == links and d[got].sum() == want
+
+
 # 10
 
 
