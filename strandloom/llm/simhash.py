@@ -206,7 +206,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
     Texts are near if the Jaccard similarity of their distinct five-word shingles (lower
     case) is 0.8 or more; groups are the components of such links.  Candidates come from
-    128-bit fingerprints, each is verified.  Of rows that share the kept doc_id one stays.
+    128-bit fingerprints, each is verified.  Rows are told apart by doc_id and text, so
+    null and repeated ids of different texts are judged one by one; a row with a null
+    doc_id stays only if its group has no other, and of rows of one doc_id and text one
+    stays.
     """
     row = F.md5(F.col("text").cast("binary"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row.alias("row"), F.col("text").cast("binary").alias("text"))
@@ -215,12 +218,11 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     nodes = own.groupBy("set").agg(F.min("print").alias("print"), F.min("size").alias("size"), F.min(place).alias("first"))
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "print", "size", "first"), "distinct-sets")
     named = nodes.join(_linked(rows, nodes), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    keep = materialize(named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept")), "kept")
-    keep = materialize(keep.groupBy("kept").count(), "kept-ids")
-    repeated = own.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    # the list grows with the documents, so it is joined by id at every size
-    left = docs.join(keep.select("kept").hint("merge"), F.col("doc_id").eqNullSafe(F.col("kept")), "left_semi")
-    return left.dropDuplicates(["doc_id"]) if repeated else left
+    keep = materialize(named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__row")), "kept")
+    repeated = own.groupBy("doc_id", "row").count().where("count > 1").limit(1).count() > 0
+    # the list grows with the documents, so it is joined by row at every size
+    left = docs.withColumn("__text", row).join(keep.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("__text").eqNullSafe(F.col("__row")), "left_semi")
+    return (left.dropDuplicates(["doc_id", "__text"]) if repeated else left).drop("__text")
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:

@@ -433,6 +433,16 @@ def test_spanning_forest_is_smallest():
     assert len(got) == links and d[got].sum() == want
 
 
+def test_near_dedup_judges_rows(spark):
+    """Null and repeated ids of different texts."""
+    text = [prose(80, 60 + i) for i in range(4)]
+    rows_ = [(None, text[0]), (None, text[1]), (None, text[0]), (7, text[2]), (7, text[3]), (7, text[3]), (8, text[2]), (9, text[1])]
+    table = spark.createDataFrame(rows_, "doc_id long, text string")
+    want = sorted([(None, text[0]), (7, text[2]), (7, text[3]), (9, text[1])], key=repr)
+    assert rows(simhash.near_dedup(table)) == want
+    assert rows(simhash.near_dedup(spark.createDataFrame([(None, t) for t in text], "doc_id long, text string"))) == sorted([(None, t) for t in text], key=repr)
+
+
 # 10
 
 
