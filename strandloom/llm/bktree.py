@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from strandloom.operators.components import connected_components
 from strandloom.sources.shared import materialize, partitions
 
-#: Members of one shard tree.  A larger shard becomes several trees, each of which
-#: is sent to all of the shard's queries.
+#: Members of one shard tree.  A larger shard is cut into parts; each two parts meet in
+#: one group, as tree and queries, so a group has about two times as many rows at most.
 SHARD_ROWS = 1000
 #: Hot shards whose list is broadcast at most; above, the list is joined by key.
 BROADCAST_KEYS = 100_000
@@ -221,9 +221,9 @@ def _dealt(nodes: DataFrame, keys, words: int, shard_rows: int) -> DataFrame:
     else:
         keyed = keyed.withColumn("trees", F.lit(None).cast("int"))
     trees = F.coalesce("trees", F.lit(1))
-    home = F.pmod(F.xxhash64("print"), trees)
-    rows = keyed.select("key", *nodes.columns, home.alias("home"), F.explode(F.sequence(F.lit(0), trees - 1)).alias("tree")).select(
-        F.xxhash64("key", "tree").alias("shard"), F.when(F.col("home") == F.col("tree"), 3).otherwise(2).alias("role"), *nodes.columns
+    home, other = F.col("home"), F.col("other")
+    rows = keyed.select("key", *nodes.columns, F.pmod(F.xxhash64("print"), trees).alias("home"), F.explode(F.sequence(F.lit(0), trees - 1)).alias("other")).select(
+        F.xxhash64("key", F.least(home, other), F.greatest(home, other)).alias("shard"), F.when(home == other, 3).when(home < other, 1).otherwise(2).alias("role"), *nodes.columns
     )
     return rows.repartition(partitions(spark), "shard").sortWithinPartitions("shard", "print")
 
@@ -234,7 +234,7 @@ def near_components(prints: DataFrame, keys, words: int, radius: int, shard_rows
     ``prints``: one column ``print`` of distinct big-endian fingerprints of ``words``
     64-bit words.  ``keys`` maps an (n x words) array to an (n x tables) array of
     shard keys; two fingerprints meet if they share a key.  In each shard, trees of
-    about ``shard_rows`` members are searched by all its fingerprints.  A shard's
+    about ``shard_rows`` members are searched by its fingerprints, part by part.  A shard's
     links come as one link to a representative per row, so a tight group of m gives m
     links, not m * m, and no connection is lost.
     """

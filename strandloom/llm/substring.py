@@ -162,8 +162,8 @@ def _settle(block_rows: int = 50_000):
             if rows < block_rows:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            anchor = table["anchor"].to_numpy()
-            cut = int(np.searchsorted(anchor, anchor[-1]))  # the last anchor may go on
+            anchor, salt = table["anchor"].to_numpy(), table["salt"].to_numpy()
+            cut = int(np.argmax((anchor == anchor[-1]) & (salt == salt[-1])))  # the last anchor and salt may go on
             if cut:
                 yield settle(table.slice(0, cut).combine_chunks())
             held, rows = table.slice(cut).to_batches(), table.num_rows - cut

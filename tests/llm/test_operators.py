@@ -372,6 +372,22 @@ def test_bk_trees_lose_no_link(spark, shard_rows):
     assert one(values, lambda x: bytes(got.get(x, x.to_bytes(8, "big")))) == one(values, root)
 
 
+def test_hot_shards_have_bounded_groups(spark):
+    table = spark.range(2000).select(F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("print"))
+    dealt = bktree._dealt(table, lambda p: np.zeros((len(p), 1), np.int64), 1, 100)
+    sizes = [r["count"] for r in dealt.groupBy("shard").count().collect()]
+    assert len(sizes) == 20 * 21 // 2 and sum(sizes) == 2000 * 20 and max(sizes) < 300
+
+
+def test_settle_cuts_at_salts():
+    import pyarrow as pa
+
+    n = 60
+    batches = [pa.RecordBatch.from_pydict({"ord": pa.array(range(i, i + 10), pa.int64()), "t1": pa.array([1] * 10, pa.int64()), "anchor": pa.array([5] * 10, pa.int64()), "salt": pa.array([i // 10] * 10, pa.int64()), "salts": pa.array([n // 10] * 10, pa.int32()), "start": pa.array([0] * 10, pa.int32()), "hashes": pa.array([[7]] * 10, pa.list_(pa.int64()))}) for i in range(0, n, 10)]
+    out = list(substring._settle(block_rows=15)(iter(batches)))
+    assert len(out) > 1 and sum(len(s) for b in out for s in b["starts"].to_pylist()) == n - n // 10
+
+
 def test_bk_forest_search():
     rng = np.random.default_rng(2)
     prints, group = rng.integers(0, 1 << 12, (400, 1), np.uint64), rng.integers(0, 3, 400)
