@@ -132,7 +132,7 @@ def _left_out(part: str):
     """Variants between the document sources."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        called, calls, found = graph.left_out(built(spark, d, 31), max_missing=0.9, max_depth=1)
+        called, calls, found = graph.left_out(built(spark, d, 31), max_missing=0.9)
         if part == "snps":
             return called.select("gid", "pos", "column")
         if part == "placed":

@@ -210,3 +210,27 @@ def test_registry():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_graph_queries_walk_to_the_default_depth(monkeypatch):
+    import inspect
+
+    from strandloom.operators import graph as own
+    from strandloom.plans import queries as plans
+
+    asked, signature = [], inspect.signature(own.left_out)
+
+    def left_out(*args, **options):
+        call = signature.bind(*args, **options)
+        call.apply_defaults()
+        asked.append(call.arguments["max_depth"])
+        raise LookupError
+
+    monkeypatch.setattr(plans.graph, "left_out", left_out)
+    monkeypatch.setattr(plans, "built", lambda *a, **k: None)
+    for name in ("graph_groups", "indel_calls", "left_out_snps", "kmer_placement"):
+        try:
+            plans.QUERIES[name](None, "")
+        except LookupError:
+            pass
+    assert asked == [4] * 4
