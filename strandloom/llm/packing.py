@@ -33,7 +33,7 @@ def _encode(tokenizer: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, tail = TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for batch in in_blocks(batches):
-            ids, lengths = encoder(tokenizer).encode(batch["text"].to_pylist())
+            ids, lengths = encoder(tokenizer).encode(batch["text"])
             ends = np.cumsum(lengths)
             raw = ids.astype("<u4").tobytes()
             stored = [raw[4 * (e - n) : 4 * e] + tail for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]

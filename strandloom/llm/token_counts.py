@@ -14,10 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.tokens import _PIECES, _Numbers, default_tokenizer, in_blocks
+from strandloom.llm.tokens import MAX_WORDS, WordTable, default_tokenizer, in_blocks
+
+#: Fixed value: the pre-tokenizer pattern of the vocabulary file.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 #: Stands for the end of a word, which many vocabulary entries include.
 END = 256
@@ -103,39 +107,25 @@ class LongestMatch:
 
 
 class Counter:
-    """Counts of the words of a worker process; holds at most ``max_words`` between calls."""
+    """Counts of texts in a worker process, with a bounded table of the words that recur."""
 
-    def __init__(self, path: str, max_words: int = 250_000) -> None:
-        self.match, self.max_words = LongestMatch(vocabulary(path)), max_words
-        self.reset()
+    def __init__(self, path: str, max_words: int = MAX_WORDS) -> None:
+        self.match, self.table = LongestMatch(vocabulary(path)), WordTable(self._learn, max_words)
 
-    def reset(self) -> None:
-        self.words, self.pieces = _Numbers(), {}
-        self.known = np.zeros((0, 2), np.int64)
+    def _tokens(self, piece: str) -> int:
+        n = self.match.count(piece.encode())
+        return 1 if n is None else n  # an unknown word is one token
 
-    def _piece(self, piece: str) -> int:
-        n = self.pieces.get(piece)
-        if n is None:
-            n = self.match.count(piece.encode())
-            n = self.pieces[piece] = 1 if n is None else n  # an unknown word is one token
-        return n
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        split = [_PIECES.findall(w.lower()) for w in words]
+        both = np.array([(len(p), sum(map(self._tokens, p))) for p in split], np.uint32)
+        return both.ravel(), np.full(len(words), 2)
 
-    def count(self, texts: list[str | None]) -> np.ndarray:
+    def count(self, texts: pa.Array) -> np.ndarray:
         """Words and tokens of each text."""
-        if len(self.words) > self.max_words:
-            self.reset()
-        words, counts = [], np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = () if text is None else text.lower().encode().split()
-            counts[i] = len(own)
-            words += own
-        at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        new, self.words.new = self.words.new, []
-        if new:
-            split = [_PIECES.findall(w.decode()) for w in new]
-            self.known = np.concatenate([self.known, np.array([(len(p), sum(map(self._piece, p))) for p in split], np.int64).reshape(-1, 2)])
-        sums = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(self.known[at], axis=0)])
-        return np.diff(sums[np.concatenate([[0], np.cumsum(counts)])], axis=0)
+        both, lengths = self.table.look_up(texts)
+        sums = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(both.reshape(-1, 2), axis=0, dtype=np.int64)])
+        return np.diff(sums[np.concatenate([[0], np.cumsum(lengths) // 2])], axis=0)
 
 
 _counters: dict[str, Counter] = {}
@@ -154,7 +144,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         if path not in _counters:
             _counters[path] = Counter(path)
         for batch in in_blocks(batches):
-            n = _counters[path].count(batch["text"].to_pylist())
+            n = _counters[path].count(batch["text"])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n[:, 0]), pa.array(n[:, 1])], names=["doc_id", "n_words", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")

@@ -3,31 +3,22 @@
 The tokenizer drops white space and never joins text across it, so the ids of a
 text are the ids of its white-space separated words in order.  Words recur, so a
 worker keeps a bounded table of those it has seen and asks the tokenizer only for
-new ones.
+new ones.  The tokenizer gets words as they are: normalising, lower-casing and
+cutting are its own business.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 
-#: Words whose characters all lie in these ranges are split by rule before they
-#: reach the tokenizer; others are handed over as they are.
-_PLAIN = re.compile("[!-~À-ÖØ-öø-ɏ]+")
-#: Texts with these are not lower-cased ahead: their case folding is left to the
-#: tokenizer, and special tokens are written with ``<|``.
-_BEYOND = re.compile("[ɐ-\U0010ffff]|<\\|")
-#: Fixed value: the pre-tokenizer pattern of the vocabulary file.
-_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-
-
-def _plain(word: str) -> bool:
-    return _PLAIN.fullmatch(word) is not None and "<|" not in word
+#: Words that a worker's table keeps from block to block.
+MAX_WORDS = 250_000
+#: Between words that are encoded in one call: a control sign, one id where it stands alone.
+_MARK = "\x7f"
 
 
 def default_tokenizer() -> str:
@@ -36,8 +27,8 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Ids:
-    """Id sequences by entry number, in one growing array."""
+class Lists:
+    """Number sequences by entry, in one growing array."""
 
     def __init__(self) -> None:
         self.flat = np.empty(1 << 16, np.uint32)
@@ -55,7 +46,7 @@ class _Ids:
         self.entries += n
 
     def take(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the given entries one after the other, and how many each has."""
+        """The numbers of the given entries one after the other, and how many each has."""
         first = self.ends[entry]
         lengths = self.ends[entry + 1] - first
         at = np.repeat(first - (np.cumsum(lengths) - lengths), lengths)
@@ -63,73 +54,70 @@ class _Ids:
         return self.flat[at], lengths
 
 
-class _Numbers(dict):
-    """Gives each new key the next number and remembers it as new."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list = []
-
-    def __missing__(self, key):
-        self[key] = n = len(self)
-        self.new.append(key)
-        return n
+class WordTable:
+    """What ``learn`` makes of words, kept for the words that recur.
+
+    ``learn`` gets a list of words and returns all their numbers and how many each
+    word has.  Between calls at most ``max_words`` words are held: beyond, the half
+    that was met most often stays.
+    """
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], max_words: int = MAX_WORDS) -> None:
+        self.learn, self.max_words = learn, max_words
+        self.number: dict[str, int] = {}
+        self.lists, self.hits = Lists(), np.empty(0, np.int64)
+
+    def _shrink(self) -> None:
+        words, stay = list(self.number), np.sort(np.argsort(-self.hits, kind="stable")[: self.max_words // 2])
+        flat, lengths = self.lists.take(stay)
+        self.number = {words[k]: i for i, k in enumerate(stay.tolist())}
+        self.lists, self.hits = Lists(), self.hits[stay] // 2
+        self.lists.extend(flat, lengths)
+
+    def look_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all words of all texts in order, and how many each text has (null: none)."""
+        if len(self.number) > self.max_words:
+            self._shrink()
+        words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = words.flatten().dictionary_encode()
+        number = self.number
+        found = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = [w for w in found if w not in number]
+        number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+        if new:
+            self.lists.extend(*self.learn(new))
+            self.hits = np.concatenate([self.hits, np.zeros(len(new), np.int64)])
+        own = np.fromiter(map(number.__getitem__, found), np.int64, len(found))
+        at = coded.indices.to_numpy()
+        self.hits[own] += np.bincount(at, minlength=len(own))
+        flat, lengths = self.lists.take(own[at])
+        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(pc.list_value_length(words).to_numpy())])]
+        return flat, np.diff(ends)
 
 
 class Encoder:
-    """Encodes lists of texts; holds at most ``max_words`` words in memory between calls."""
+    """Encodes arrays of texts with a tokenizer file."""
 
-    def __init__(self, path: str, max_words: int = 250_000) -> None:
+    def __init__(self, path: str, max_words: int = MAX_WORDS) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.max_words = max_words
-        self.reset()
-
-    def reset(self) -> None:
-        self.words, self.pieces = _Numbers(), _Numbers()
-        self.word_ids, self.piece_ids = _Ids(), _Ids()
+        alone = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark_id = alone[0] if len(alone) == 1 else -1
+        self.table = WordTable(self._learn, max_words)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order and the number of ids of each text (null: none)."""
-        if len(self.words) > self.max_words:
-            self.reset()
-        words, counts = [], np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = () if text is None else (text if _BEYOND.search(text) else text.lower()).encode().split()
-            counts[i] = len(own)
-            words += own
-        entry = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        self._learn_words()
-        ids, lengths = self.word_ids.take(entry)
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(ends)
-
-    def _learn_words(self) -> None:
-        new, self.words.new = [w.decode() for w in self.words.new], []
-        if not new:
-            return
-        parts = [_PIECES.findall(w) if _plain(w) else [w] for w in new]
-        flat = [p for own in parts for p in own]
-        entry = np.fromiter(map(self.pieces.__getitem__, flat), np.int64, len(flat))
-        self._learn_pieces()
-        ids, lengths = self.piece_ids.take(entry)
-        counts = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.concatenate([[0], np.cumsum(lengths)])[np.concatenate([[0], np.cumsum(counts)])]
-        self.word_ids.extend(ids, np.diff(ends))
-
-    def _learn_pieces(self) -> None:
-        new, self.pieces.new = self.pieces.new, []
-        if not new:
-            return
-        if all(map(_plain, new)):
-            one = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-            of = one.word_ids
-            if None not in of and of and of[-1] == len(new) - 1:
-                self.piece_ids.extend(np.array(one.ids, np.uint32), np.bincount(of, minlength=len(new)))
-                return
-        own = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
-        self.piece_ids.extend(np.array([i for ids in own for i in ids], np.uint32), np.array([len(ids) for ids in own]))
+        return self.table.look_up(texts)
+
+    def _learn(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(self.tokenizer.encode_batch_fast([f" {_MARK} ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        cut = np.flatnonzero(ids == self.mark_id)
+        if len(cut) == len(words) - 1:
+            return np.delete(ids, cut), np.diff(cut, prepend=-1, append=len(ids)) - 1
+        # a word holds the mark, or it has no id of its own
+        each = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each])
 
 
 _encoders: dict[str, Encoder] = {}

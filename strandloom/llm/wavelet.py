@@ -2,11 +2,12 @@
 
 A shard holds the ids of consecutive documents.  Bit planes run from the highest
 bit down; on each plane the ids with a 0 come before those with a 1 on the next
-one, in stable order.  Rank counts per 64-bit word let ``access``, ``rank``
-(count) and ``select`` (occurrence lookup) work on the planes without decoding.
+one, in stable order.  A directory of the ones before every block of 512 bits (a
+sixteenth of a plane) lets ``access``, ``rank`` (count) and ``select`` (occurrence
+lookup) work on the planes without decoding; it is part of the file.
 
 File layout: magic, length of a JSON header, the header, then the zstd frames of
-the planes, the document ends and the document ids.
+each plane and its directory, the document lengths and the document ids.
 """
 
 from __future__ import annotations
@@ -27,21 +28,67 @@ from pyspark.sql import functions as F
 from strandloom.sources.shared import materialize, partitions, shared_dir
 from strandloom.llm.tokens import default_tokenizer, encoder, in_blocks
 
-MAGIC = b"WVMX0001"
+MAGIC = b"WVMX0002"
 END_ID = 2
 #: Ids in a shard; a longer document is a shard of its own.
 SHARD_TOKENS = 1 << 20
+#: Bits of a plane between two entries of its directory.
+BLOCK_BITS = 512
 
 _MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, local_start long"
 _READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+class Plane:
+    """A row of bits with rank and select: ``words`` of 64 bits, and ``ones`` before every block of eight words."""
+
+    def __init__(self, n: int, words: np.ndarray, ones: np.ndarray) -> None:
+        self.n, self.words, self.ones = n, words, ones
+
+    @classmethod
+    def build(cls, bits: np.ndarray) -> Plane:
+        blocks = -(-len(bits) // BLOCK_BITS)
+        packed = np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
+        packed[: -(-len(bits) // 8)] = np.packbits(bits, bitorder="little")
+        words = packed.view("<u8")
+        counts = np.bitwise_count(words).reshape(blocks, -1).sum(axis=1, dtype=np.uint32)
+        return cls(len(bits), words, np.concatenate([[0], np.cumsum(counts)]).astype("<u4"))
+
+    def bits(self) -> np.ndarray:
+        return np.unpackbits(self.words.view(np.uint8), count=self.n, bitorder="little").view(bool)
+
+    @property
+    def zeros(self) -> int:
+        return self.n - int(self.ones[-1])
+
+    def bit(self, i: int) -> int:
+        return int(self.words[i >> 6]) >> (i & 63) & 1
+
+    def rank(self, i: int) -> int:
+        """Ones before position ``i``."""
+        block, word = i // BLOCK_BITS, i >> 6
+        before = int(self.ones[block]) + int(np.bitwise_count(self.words[block * 8 : word]).sum())
+        return before + ((int(self.words[word]) & ((1 << (i & 63)) - 1)).bit_count() if i & 63 else 0)
+
+    def _before(self, block: int, one: bool) -> int:
+        return int(self.ones[block]) if one else block * BLOCK_BITS - int(self.ones[block])
+
+    def select(self, one: bool, k: int) -> int:
+        """Position of the k-th (from 0) one or zero: binary search over blocks, then inside one."""
+        low, high = 0, len(self.ones) - 1  # the last block that has at most k before it
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self._before(middle, one) <= k else (low, middle)
+        k -= self._before(low, one)
+        own = np.unpackbits(self.words[8 * low : 8 * low + 8].view(np.uint8), bitorder="little")
+        return low * BLOCK_BITS + int(np.flatnonzero(own == one)[k])
+
+
 class WaveletMatrix:
-    """Succinct sequence of unsigned integers."""
+    """Succinct sequence of ``n`` unsigned integers, one plane for each bit from the highest down."""
 
-    def __init__(self, n: int, planes: list[np.ndarray]) -> None:
-        self.n, self.planes = n, planes  # planes: packed bits, little-endian bit order
-        self._ranks: list[np.ndarray] | None = None
+    def __init__(self, n: int, planes: list[Plane]) -> None:
+        self.n, self.planes = n, planes
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -50,7 +97,7 @@ class WaveletMatrix:
         planes = []
         for bit in range(bits - 1, -1, -1):
             one = (now >> now.dtype.type(bit)).astype(np.uint8) & 1 > 0
-            planes.append(np.packbits(one, bitorder="little"))
+            planes.append(Plane.build(one))
             now = np.concatenate([now[~one], now[one]])
         return cls(len(ids), planes)
 
@@ -58,33 +105,18 @@ class WaveletMatrix:
         """All ids: the partitions are undone from the last plane up."""
         now = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
         for bit, plane in enumerate(reversed(self.planes)):
-            one = np.unpackbits(plane, count=self.n, bitorder="little").view(bool)
-            zeros = self.n - int(np.count_nonzero(one))
+            one, zeros = plane.bits(), plane.zeros
             up = np.empty_like(now)
             up[~one] = now[:zeros]
             up[one] = now[zeros:] | now.dtype.type(1 << bit)
             now = up
         return now.astype(np.uint32)
 
-    def _rank_tables(self) -> list[np.ndarray]:
-        if self._ranks is None:
-            self._ranks = [np.concatenate([[0], np.cumsum(np.bitwise_count(p), dtype=np.int64)]) for p in self.planes]
-        return self._ranks
-
-    def _rank1(self, level: int, i: int) -> int:
-        """Ones before position ``i`` on a plane."""
-        byte, rest = divmod(i, 8)
-        at = int(self._rank_tables()[level][byte])
-        return at + (int(self.planes[level][byte] & ((1 << rest) - 1)).bit_count() if rest else 0)
-
-    def _zeros(self, level: int) -> int:
-        return self.n - int(self._rank_tables()[level][-1])
-
     def access(self, i: int) -> int:
         value = 0
-        for level, plane in enumerate(self.planes):
-            one, ones = int(plane[i // 8]) >> (i % 8) & 1, self._rank1(level, i)
-            i = self._zeros(level) + ones if one else i - ones
+        for plane in self.planes:
+            one, ones = plane.bit(i), plane.rank(i)
+            i = plane.zeros + ones if one else i - ones
             value = value << 1 | one
         return value
 
@@ -97,28 +129,14 @@ class WaveletMatrix:
         if value >> len(self.planes):
             return 0, 0
         lo, hi = 0, i
-        for level in range(len(self.planes)):
-            a, b = self._rank1(level, lo), self._rank1(level, hi)
+        for level, plane in enumerate(self.planes):
+            a, b = plane.rank(lo), plane.rank(hi)
             if value >> (len(self.planes) - 1 - level) & 1:
-                z = self._zeros(level)
-                lo, hi = z + a, z + b
+                lo, hi = plane.zeros + a, plane.zeros + b
             else:
                 lo, hi = lo - a, hi - b
         return lo, hi
 
-    def _select(self, level: int, one: bool, k: int) -> int:
-        """Position of the k-th (from 0) one or zero of a plane."""
-        table = self._rank_tables()[level]
-        counts = table if one else 8 * np.arange(len(table)) - table
-        byte = int(np.searchsorted(counts, k, side="right")) - 1
-        k -= int(counts[byte])
-        for bit in range(8):
-            if bool(int(self.planes[level][byte]) >> bit & 1) == one:
-                if not k:
-                    return 8 * byte + bit
-                k -= 1
-        raise IndexError(k)
-
     def select(self, value: int, k: int) -> int:
         """Position of the k-th (from 0) occurrence of ``value``."""
         lo, hi = self._range(value, self.n)
@@ -126,8 +144,8 @@ class WaveletMatrix:
             raise IndexError(k)
         at = lo + k
         for level in range(len(self.planes) - 1, -1, -1):
-            one = bool(value >> (len(self.planes) - 1 - level) & 1)
-            at = self._select(level, one, at - self._zeros(level) if one else at)
+            one, plane = bool(value >> (len(self.planes) - 1 - level) & 1), self.planes[level]
+            at = plane.select(one, at - plane.zeros if one else at)
         return at
 
 
@@ -135,7 +153,8 @@ def dump_shard(ids: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None])
     """A shard's file: ids of consecutive documents, the length of each, and their doc_ids."""
     matrix, press = WaveletMatrix.build(ids), zstandard.ZstdCompressor(level=1).compress
     known = np.array([d is not None for d in doc_ids], np.uint8)
-    parts = [press(p.tobytes()) for p in matrix.planes] + [press(np.asarray(lengths, "<i8").tobytes()), press(np.array([d or 0 for d in doc_ids], "<i8").tobytes()), press(known.tobytes())]
+    parts = [press(x.tobytes()) for p in matrix.planes for x in (p.words, p.ones)]
+    parts += [press(np.asarray(lengths, "<i8").tobytes()), press(np.array([d or 0 for d in doc_ids], "<i8").tobytes()), press(known.tobytes())]
     head = json.dumps({"n": len(ids), "planes": len(matrix.planes), "sizes": [len(p) for p in parts]}).encode()
     return MAGIC + len(head).to_bytes(4, "little") + head + b"".join(parts)
 
@@ -149,7 +168,7 @@ def load_shard(data: bytes) -> tuple[WaveletMatrix, np.ndarray, list[int | None]
     for n in head["sizes"]:
         parts.append(unpress(data[at : at + n]))
         at += n
-    planes = [np.frombuffer(p, np.uint8) for p in parts[: head["planes"]]]
+    planes = [Plane(head["n"], np.frombuffer(parts[2 * k], "<u8"), np.frombuffer(parts[2 * k + 1], "<u4")) for k in range(head["planes"])]
     lengths, ids, known = np.frombuffer(parts[-3], "<i8"), np.frombuffer(parts[-2], "<i8").tolist(), parts[-1]
     return WaveletMatrix(head["n"], planes), lengths, [i if k else None for i, k in zip(ids, known, strict=True)]
 
@@ -179,7 +198,7 @@ def _write(out: str, tokenizer: str, end_id: int, shard_tokens: int):
             return row
 
         for batch in in_blocks(batches, max_bytes=1 << 20):
-            flat, n = encoder(tokenizer).encode(batch["text"].to_pylist())
+            flat, n = encoder(tokenizer).encode(batch["text"])
             ids.append(np.insert(flat, np.cumsum(n), end_id))
             lengths.append(n + 1)
             doc_ids += batch["doc_id"].to_pylist()

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -63,6 +64,28 @@ def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
+# token ids
+
+
+SIGNS = [
+    "IT'S", "don't", "WE'LL", "\u2014", "\u201cgo\u201d", "\u0130", "e\u0301", "E\u0301", "J\u030c", "T\u0308", "\u00df", "\u0391\u03a3", "\u4e2d", "\ud55c", "\u0301", "1", "23", "\u0663", "a", "B", "'S", "'re", "'", "..", "_",
+    "\ufb01", "\u01c4", "\u212a", "K", "<", "|", "\u200d", "\ufeff", "\x00", "\x7f", "\x7f ", " ", "\t", "\n", "\x0b", "\x0c", "\x1c", "\x85", "\xa0", "\u2003", "<|", "<|endoftext|>", "<|ENDOFTEXT|>", "endoftext|>",
+]
+
+
+@pytest.mark.parametrize(("block", "max_words"), [(20000, 250_000), (700, 400), (60, 40)])
+def test_ids_are_the_tokenizers(block, max_words):
+    rng, encoder = random.Random(block), tokens.Encoder(tokens.default_tokenizer(), max_words)
+    texts = ["".join(rng.choice(SIGNS) + rng.choice(["", " ", ""]) for _ in range(rng.randint(0, 8))) for _ in range(35_000)]
+    for lo in range(0, len(texts), block):
+        own = texts[lo : lo + block]
+        ids, n = encoder.encode(pa.array([*own, None]))
+        wanted = [e.ids for e in TOKENIZER.encode_batch(own, add_special_tokens=False)]
+        assert n.tolist() == [*map(len, wanted), 0]
+        assert ids.tolist() == [i for x in wanted for i in x]
+        assert len(encoder.table.number) <= max_words + 8 * block  # the table stays bounded
+
+
 # 1
 
 
@@ -77,7 +100,7 @@ def greedy(word, vocabulary):
 
 def test_token_counts(docs, empty):
     vocabulary = set(token_counts.vocabulary(tokens.default_tokenizer()))
-    pieces = [tokens._PIECES.findall((t or "").lower()) for _, t in TEXTS]
+    pieces = [token_counts._PIECES.findall((t or "").lower()) for _, t in TEXTS]
     want = sorted(((i, len(p), sum(greedy(x, vocabulary) for x in p)) for (i, _), p in zip(TEXTS, pieces)), key=repr)
     assert rows(token_counts.count_tokens(docs)) == want
     assert token_counts.count_tokens(empty).count() == 0
@@ -270,6 +293,20 @@ def test_token_files(docs, empty):
     assert wavelet.read_documents(wavelet.write_shards(empty)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 63, 511, 512, 513, 1024, 5000])
+def test_wavelet_ranks(n):
+    rng = np.random.default_rng(n)
+    ids = np.where(rng.random(n) < 0.5, 3, rng.integers(0, 49408, n)).astype(np.uint32)
+    data = wavelet.dump_shard(ids, np.array([n]), [1])
+    matrix = wavelet.load_shard(data)[0]
+    assert sum(p.ones.nbytes for p in matrix.planes) <= sum(p.words.nbytes for p in matrix.planes) / 16 + 4 * len(matrix.planes)
+    for v in {3, int(ids[0]), int(ids[-1]), 49407}:
+        at = np.flatnonzero(ids == v)
+        assert [matrix.rank(v, i) for i in range(0, n + 1, 61)] == [int((at < i).sum()) for i in range(0, n + 1, 61)]
+        assert [matrix.select(v, k) for k in range(0, len(at), 17)] == at[::17].tolist()
+    assert [matrix.access(i) for i in range(0, n, 97)] == ids[::97].tolist()
+
+
 def test_wavelet_matrix():
     ids = np.random.default_rng(0).integers(0, 300, 1000).astype(np.uint32)
     matrix, lengths, docs_ = wavelet.load_shard(wavelet.dump_shard(ids, np.array([400, 600]), [7, None]))
