@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandloom.llm.resident import resident
 from strandloom.llm.tokens import in_blocks
 from strandloom.llm.words import mix
 
@@ -44,25 +45,21 @@ UNKNOWN = "und"
 #: Bytes of text whose letters are held as arrays at once.
 BLOCK_BYTES = 1 << 20
 
-_table: np.ndarray | None = None
 
+def _letter_table() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: 0 where it is neither letter nor mark, else 1 + the number of its script; and which are letters."""
+    kind = np.array([unicodedata.category(chr(c))[0] for c in range(0x110000)])
+    out = np.zeros(0x110000, np.uint8)
+    ends = [a for a, _ in SCRIPTS[1:]] + [0x110000]
+    for (a, name), b in zip(SCRIPTS, ends, strict=True):
+        out[a:b] = 1 + SCRIPT_NAMES.index(name)
+    out[(kind != "L") & (kind != "M")] = 0
+    return out, kind == "L"
 
-def letter_table() -> np.ndarray:
-    """For each code point: 0 for no letter, else 1 + the number of its script.
 
-    Marks count as letters of the range they stand in, so that they don't cut words.
-    """
-    global _table
-    if _table is None:
-        out = np.zeros(0x110000, np.uint8)
-        ends = [a for a, _ in SCRIPTS[1:]] + [0x110000]
-        for (a, name), b in zip(SCRIPTS, ends, strict=True):
-            out[a:b] = 1 + SCRIPT_NAMES.index(name)
-        letter = np.array([unicodedata.category(chr(c))[0] in "LM" for c in range(0x30000)])
-        out[: len(letter)][~letter] = 0
-        out[0x323B0:] = 0
-        _table = out
-    return _table
+def letter_table() -> tuple[np.ndarray, np.ndarray]:
+    """See :func:`_letter_table`.  Marks stand in words, so that they don't cut them, but make none."""
+    return resident("letters", _letter_table)
 
 
 class Words:
@@ -72,8 +69,19 @@ class Words:
         data = "\n".join((t or "").lower() for t in texts)
         points = np.frombuffer(data.encode("utf-32-le", "surrogatepass"), np.uint32)
         sizes = np.fromiter((len((t or "").lower()) + 1 for t in texts), np.int64, len(texts))
-        script = letter_table()[points]
+        scripts, letters = letter_table()
+        script = scripts[points]
         edge = np.flatnonzero(np.diff((script > 0).view(np.int8), prepend=0, append=0))
+        # a run of marks alone is no word
+        sums = np.concatenate([[0], np.cumsum(letters[points])])
+        alone = np.flatnonzero(sums[edge[1::2]] == sums[edge[::2]])
+        if len(alone):
+            drop = np.zeros(len(script) + 1, np.int8)
+            drop[edge[2 * alone]], drop[edge[2 * alone + 1]] = 1, -1
+            script[np.cumsum(drop[:-1]) > 0] = 0
+        real = np.ones(len(edge), bool)
+        real[2 * alone] = real[2 * alone + 1] = False
+        edge = edge[real]
         self.start, self.end = edge[::2], edge[1::2]
         self.begins = np.cumsum(sizes) - sizes
         self.text = np.searchsorted(self.begins, self.start, side="right") - 1

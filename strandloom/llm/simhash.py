@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.llm.bktree import BROADCAST_KEYS, near_components, near_pairs
+from strandloom.llm.resident import release
 from strandloom.operators.components import connected_components
 from strandloom.sources.shared import materialize
 
@@ -131,6 +132,7 @@ def stage_tables(n: int, wanted: tuple = ((0.8, 0.95), (0.9, 0.999))) -> tuple[i
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A key and a fingerprint of each text's distinct five-word shingles, and their number."""
+    release()
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
             part = batch.slice(at, 1000)
@@ -146,6 +148,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The distinct five-word shingles of each text, as 64-bit hashes."""
+    release()
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         for at in range(0, batch.num_rows, 200):

@@ -18,6 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.resident import resident
 from strandloom.llm.tokens import MAX_WORDS, WordTable, default_tokenizer, in_blocks
 
 #: Fixed value: the pre-tokenizer pattern of the vocabulary file.
@@ -128,9 +129,6 @@ class Counter:
         return np.diff(sums[np.concatenate([[0], np.cumsum(lengths) // 2])], axis=0)
 
 
-_counters: dict[str, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_tokens`` of every row of ``docs``.
 
@@ -141,10 +139,9 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _counters:
-            _counters[path] = Counter(path)
+        counter = resident(("counter", path), lambda: Counter(path))
         for batch in in_blocks(batches):
-            n = _counters[path].count(batch["text"])
+            n = counter.count(batch["text"])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n[:, 0]), pa.array(n[:, 1])], names=["doc_id", "n_words", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_words long, n_tokens long")

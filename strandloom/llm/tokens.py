@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from strandloom.llm.resident import resident
+
 #: Words that a worker's table keeps from block to block.
 MAX_WORDS = 250_000
 #: Between words that are encoded in one call: a control sign, one id where it stands alone.
@@ -120,17 +122,12 @@ class Encoder:
         return np.array([i for ids in each for i in ids], np.uint32), np.array([len(ids) for ids in each])
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """The worker process's encoder for this file; it lasts from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return resident(("encoder", path), lambda: Encoder(path))
 
 
-def in_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def in_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose ``column`` holds about ``max_bytes`` at most (a longer value comes alone)."""
     for batch in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64))

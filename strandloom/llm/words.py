@@ -9,24 +9,30 @@ from __future__ import annotations
 
 import numpy as np
 
+from strandloom.llm.resident import release, resident
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 5
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64."""
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = 1 << (n - 1).bit_length()
+def _powers(n: int) -> list[np.ndarray]:
+    """At least n powers of the base and of its inverse modulo 2^64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        own = np.full(1 << max(n - 1, 1).bit_length(), base, np.uint64)
+        own[0] = 1
         with np.errstate(over="ignore"):
-            for base, name in ((_BASE, "_powers"), (pow(_BASE, -1, 1 << 64), "_inverse")):
-                own = np.full(size, base, np.uint64)
-                own[0] = 1
-                globals()[name] = np.multiply.accumulate(own)
-    return _powers, _inverse
+            out.append(np.multiply.accumulate(own))
+    return out
+
+
+def _tables(n: int) -> list[np.ndarray]:
+    own = resident("powers", lambda: _powers(n))
+    if len(own[0]) < n:
+        release()
+        own = resident("powers", lambda: _powers(n))
+    return own
 
 
 def mix(x: np.ndarray) -> np.ndarray:

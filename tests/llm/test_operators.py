@@ -5,6 +5,7 @@ and empty tables."""
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -233,6 +234,14 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(table.limit(3), None).collect()} == {"und"}
 
 
+def test_marks_alone_are_no_language():
+    model = language.Model(["a", "b"], np.zeros((language.FEATURES, 2), np.float32), np.ones((len(language.SCRIPT_NAMES), 2), bool))
+    texts = ["\u0301", "\u0301\u0302 \u0301", "e\u0301", None, "\U0003ffff", "\u0301 x", "", "\U000323ae", "12 \u0301 !"]
+    assert language.label_texts(texts, model)[0] == ["und", "und", "a", "und", "und", "a", "und", "a" if unicodedata.category("\U000323ae") == "Lo" else "und", "und"]
+    alone, with_mark = language.Words(["x y"]), language.Words(["x \u0301 y"])
+    assert alone.letters.tolist() == with_mark.letters.tolist() == [1, 1] and alone.feature.tolist() == with_mark.feature.tolist()
+
+
 def test_viterbi_matches_brute_force():
     from itertools import product
 
