@@ -2,12 +2,14 @@
 
 The rule list is compared inside expressions.  Association rules (sets of URL tokens
 that go with unwanted pages) are matched by an inverted index: the distinct URLs'
-tokens are joined with the rules' tokens, and a rule fits a URL that has all of its
-tokens.  Everything runs as DataFrame operations.
+tokens are joined with the rules' tokens, and a rule fits a URL that has a token of
+each of its items.  Everything runs as DataFrame operations.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow",
 #: A rule list is part of the query's expressions, so its length is bounded.
 MAX_RULES = 10_000
 MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
-#: Pages that a token set needs at least; in small tables this is the higher bound.
+#: Unwanted pages that a token set needs at least; in small tables this is the higher bound.
 MIN_PAGES = 5
 #: Rows of the index that are broadcast at most; a larger one is joined by key.
 BROADCAST_ROWS = 100_000
@@ -62,47 +64,78 @@ def url_tokens(url: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(url, F.lit(""))), r"[^\p{L}\p{N}-]+"), lambda t: t != ""))
 
 
-def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """``rule_id``, ``tokens``, ``confidence``, ``support`` of token sets that go with unwanted pages.
+def _baskets(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """``basket``, ``items`` (URL tokens) and ``unwanted`` of every labelled page."""
+    marks = labels.select(F.col("doc_id").alias("page_id"), "toxic").where("page_id is not null and toxic is not null").groupBy("page_id").agg(F.max("toxic").alias("toxic"))
+    rows = pages.select("page_id", url_tokens(F.col("url")).alias("items")).join(marks, "page_id")
+    return rows.select(F.monotonically_increasing_id().alias("basket"), "items", (F.col("toxic") == 1).alias("unwanted"))
+
+
+def _tokens_by_item(baskets: DataFrame, least: int) -> DataFrame:
+    """``token``, ``item``, ``pages``, ``bad`` of the tokens on ``least`` unwanted pages or more.
 
-    A page is unwanted if a row of ``labels`` with its id (``doc_id``) has toxic = 1.
-    All labelled pages count.  A rule is dropped if a part of its tokens is a rule of
-    at least its confidence.  Without labelled pages there are no rules.
+    Tokens that stand in exactly the same baskets (told by their number and two sums of
+    hashes) are one item: any set of them has the same counts, so mining them apart
+    would only multiply equal rules.
     """
-    marks = labels.select(F.col("doc_id").alias("page_id"), "toxic").where("page_id is not null and toxic is not null").groupBy("page_id").agg(F.max("toxic").alias("toxic"))
-    tokens = pages.select("page_id", url_tokens(F.col("url")).alias("items")).join(marks, "page_id")
-    baskets = materialize(tokens.select(F.when(F.col("toxic") == 1, F.concat("items", F.array(F.lit(_UNWANTED)))).otherwise(F.col("items")).alias("items")), "baskets")
-    empty = "rule_id long, tokens array<string>, confidence double, support double"
-    if not baskets.where(F.array_contains("items", _UNWANTED)).limit(1).count():
-        return pages.sparkSession.createDataFrame([], empty)
-    min_support = min(1.0, max(min_support, MIN_PAGES / baskets.count()))
-    found = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).associationRules
-    found = found.where(F.array_contains("consequent", _UNWANTED)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
-    found = materialize(found.select(F.xxhash64("tokens").alias("rule_id"), "tokens", "confidence", "support"), "association-rules")
-    return _without_redundant(found)
+    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "basket").cast("decimal(38,0)"))
+    each = baskets.select("basket", "unwanted", F.explode("items").alias("token")).groupBy("token")
+    counted = each.agg(F.count("*").alias("pages"), F.count_if("unwanted").alias("bad"), mark(1).alias("m1"), mark(2).alias("m2")).where(F.col("bad") >= least)
+    counted = materialize(counted, "url-tokens")
+    same = ["pages", "bad", "m1", "m2"]
+    return counted.join(counted.groupBy(*same).agg(F.min("token").alias("item")), same).select("token", "item", "pages", "bad")
+
+
+def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:
+    """Sets of URL tokens that go with unwanted pages: (rules, tokens).
+
+    Rules: ``rule_id``, ``items``, ``confidence``, ``support``.  Tokens: ``token``,
+    ``item``; a rule fits a URL that has a token of each of its items.  A page is
+    unwanted if a row of ``labels`` with its id (``doc_id``) has toxic = 1; all
+    labelled pages count.  A rule needs ``min_support`` of these and ``min_pages``, and
+    is dropped if a part of its items is a rule of at least its confidence.  Nothing
+    is at least as confident as a part that is always unwanted, so items of
+    confidence 1 are rules by themselves and stay out of the mining of longer sets.
+    Without labelled pages there are no rules.
+    """
+    baskets = materialize(_baskets(pages, labels), "baskets")
+    n = baskets.count()
+    least = max(1, min_pages, math.ceil(min_support * n - 1e-9))
+    tokens = materialize(_tokens_by_item(baskets, least), "url-items")
+    single = tokens.groupBy("item").agg(F.first("pages").alias("pages"), F.first("bad").alias("bad")).select(F.array("item").alias("items"), (F.col("bad") / F.col("pages")).alias("confidence"), (F.col("bad") / F.lit(n)).alias("support"))
+    found = single.where(F.col("confidence") >= min_confidence)
+    open_ = tokens.where("bad < pages").select("token", "item")
+    if open_.limit(1).count():
+        items = baskets.select("basket", F.explode("items").alias("token")).join(open_, "token").groupBy("basket").agg(F.collect_set("item").alias("found"))
+        rows = baskets.select("basket", "unwanted").join(items, "basket", "left").select(F.concat(F.coalesce("found", F.array().cast("array<string>")), F.when(F.col("unwanted"), F.array(F.lit(_UNWANTED))).otherwise(F.array().cast("array<string>"))).alias("items"))
+        mined = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=min_confidence).fit(materialize(rows, "item-baskets")).associationRules
+        longer = mined.where(F.array_contains("consequent", _UNWANTED) & (F.size("antecedent") > 1)).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
+        found = found.unionByName(longer)
+    rules = materialize(found.select(F.xxhash64("items").alias("rule_id"), "items", "confidence", "support"), "association-rules")
+    return _without_redundant(rules), tokens.select("token", "item")
 
 
 def _index(rules: DataFrame) -> DataFrame:
-    return rules.select("rule_id", F.size("tokens").alias("needed"), "confidence", F.explode("tokens").alias("token"))
+    return rules.select("rule_id", F.size("items").alias("needed"), "confidence", F.explode("items").alias("item"))
 
 
 def _without_redundant(rules: DataFrame) -> DataFrame:
     """Rules of which no smaller part is a rule of the same confidence or more (found by the inverted index)."""
-    own = rules.select(F.col("rule_id").alias("whole"), F.size("tokens").alias("size"), F.col("confidence").alias("whole_confidence"), F.explode("tokens").alias("token"))
-    part = own.join(_index(rules), "token").where("needed < size and confidence >= whole_confidence").groupBy("whole", "rule_id", "needed").count().where("count = needed")
+    own = rules.select(F.col("rule_id").alias("whole"), F.size("items").alias("size"), F.col("confidence").alias("whole_confidence"), F.explode("items").alias("item"))
+    part = own.join(_index(rules), "item").where("needed < size and confidence >= whole_confidence").groupBy("whole", "rule_id", "needed").count().where("count = needed")
     return rules.join(part.select(F.col("whole").alias("rule_id")).distinct(), "rule_id", "left_anti")
 
 
-def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+def match_rules(urls: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
     """``url`` and ``confidence`` (the best rule's) of the distinct urls that a rule fits."""
-    index = materialize(_index(rules), "rule-index")
+    index = materialize(_index(rules).join(items, "item"), "rule-index")
     small = index.count() <= BROADCAST_ROWS
     tokens = urls.select("url").where("url is not null").distinct().select("url", F.explode(url_tokens(F.col("url"))).alias("token"))
-    hits = tokens.join(F.broadcast(index) if small else index, "token").groupBy("url", "rule_id").agg(F.count("*").alias("n"), F.first("needed").alias("needed"), F.first("confidence").alias("confidence"))
+    hits = tokens.join(F.broadcast(index) if small else index, "token").groupBy("url", "rule_id").agg(F.size(F.collect_set("item")).alias("n"), F.first("needed").alias("needed"), F.first("confidence").alias("confidence"))
     return materialize(hits.where("n = needed").groupBy("url").agg(F.max("confidence").alias("confidence")), "matched-urls")
 
 
-def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` of every row of ``pages``.
 
     The longest list rule that fits decides; without one, a page that an association
@@ -110,11 +143,11 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     have empty host and path and are allowed unless a rule says otherwise; repeated
     rows come back once each; other columns play no part.
     """
-    mined = mine_rules(pages, labels, min_support, min_confidence)
+    mined, items = mine_rules(pages, labels, min_support, min_confidence, min_pages)
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("best", rule_for(F.col("host"), F.col("path"), rules))
     if mined.limit(1).count():
-        rows = rows.join(match_rules(pages, mined), "url", "left")
+        rows = rows.join(match_rules(pages, mined, items), "url", "left")
     else:
         rows = rows.withColumn("confidence", F.lit(None).cast("double"))
     verdict = F.when(F.col("best").isNotNull(), F.col("best.verdict")).when(F.col("confidence").isNotNull(), "block").otherwise("allow")

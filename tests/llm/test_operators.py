@@ -527,12 +527,42 @@ def test_association_rules(spark):
     urls = [(i, f"http://{'bad' if i % 4 == 0 else 'fine'}.site{i % 7}.test/{'spam' if i % 4 == 0 else rng.choice(['news', 'spam'])}/{i}") for i in range(200)]
     pages = spark.createDataFrame(urls, "page_id long, url string")
     labels = spark.createDataFrame([(i, 1, 1 if i % 4 == 0 else 0) for i in range(0, 120)] + [(3, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int")
-    rules = url_filter.mine_rules(pages, labels, 0.05, 0.9)
-    assert [sorted(r.tokens) for r in rules.collect()] == [["bad"]]
+    rules, items = url_filter.mine_rules(pages, labels, 0.05, 0.9)
+    assert [r["items"] for r in rules.collect()] == [["bad"]] and {r.token for r in items.where("item = 'bad'").collect()} == {"bad"}
     got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels, [], 0.05, 0.9).collect()}
     assert got == {i: "block" if i % 4 == 0 else "allow" for i in range(200)}
 
 
+def test_association_rules_by_brute_force(spark):
+    from itertools import combinations
+
+    rng = random.Random(6)
+    urls = {i: "x://" + "/".join(sorted(t for t in "abcdefg" if rng.random() < 0.5) + (["u", "v"] if i % 9 == 0 else [])) for i in range(160)}
+    toxic = {i: int(("a" in u and "b" in u or "u" in u or "d" in u and "e" in u and "f" in u) and rng.random() < 0.9) for i, u in urls.items() if i < 130}
+    pages = spark.createDataFrame([(i, u, "h", "r") for i, u in urls.items()], "page_id long, url string, best string, rule string")
+    labels = spark.createDataFrame([(i, t) for i, t in toxic.items()], "doc_id long, toxic int")
+    sets = {i: frozenset(u.split("/")[2:]) - {""} | {"x"} for i, u in urls.items()}
+    subsets = lambda own: (frozenset(c) for k in range(1, len(own) + 1) for c in combinations(sorted(own), k))
+
+    def fits(own):
+        for s in subsets(own):
+            with_it = [toxic[i] for i in toxic if s <= sets[i]]
+            if sum(with_it) >= 8 and sum(with_it) >= 0.8 * len(with_it):
+                return True
+        return False
+
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels, [], 0.0, 0.8, 8).collect()}
+    assert got == {i: "block" if fits(sets[i]) else "allow" for i in urls} and set(got.values()) == {"block", "allow"}
+
+
+def test_long_repeated_urls_are_mined_at_once(spark):
+    long = "x://" + "/".join(f"token{i}" for i in range(60))
+    pages = spark.createDataFrame([(i, long) for i in range(10)] + [(7, long), (50, long + "/more"), (51, "x://token5"), (52, "x://other"), (53, None)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1) for i in range(10)] + [(52, 0)], "doc_id long, toxic int")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, labels, []).collect()}
+    assert got == dict.fromkeys([*range(10), 50, 51], "block") | {52: "block", 53: "allow"}  # 11 of 12 pages with x are unwanted
+
+
 # the pipeline
 
 
