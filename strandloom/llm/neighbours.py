@@ -4,10 +4,11 @@ Vectors are projected to a few dimensions with Gaussian (2-stable) weights, so t
 the squared projected distance over the squared true one follows a chi-square law.
 The projections are indexed by a kd-tree in two levels: the upper one (from a bounded
 sample) deals vectors to shards, the lower one divides a shard into small leaves.  A
-query visits leaves by increasing projected distance, verifies their vectors by the
-true distance, and stops as soon as a vector nearer than its k-th so far would have
-been met already with the stated probability.  The same test decides, after the
-query's own shard, which other shards it must visit at all.
+query meets leaves by increasing projected distance, verifies by the true distance the
+vectors near enough in projection, and stops as soon as a vector as near as its k-th so
+far would have been met already with the stated probability (approximation factor 1;
+no bound on the number verified).  The same test decides, after the query's own shard,
+which other shards it must visit at all.
 """
 
 from __future__ import annotations
@@ -25,22 +26,35 @@ from pyspark.sql import functions as F
 from strandloom.sources.shared import materialize, partitions, read_bytes, shared_dir, write_bytes
 
 K = 10
-DIMENSIONS = 8  # even, for the closed form of the chi-square law
-CONFIDENCE = 0.98
-SHARD_VECTORS, LEAF_VECTORS = 5000, 48
+#: Even, for the closed form of the chi-square law.
+DIMENSIONS = 16
+#: Chance that a vector as near as the k-th found is met before the search stops.
+CONFIDENCE = 0.93
+SHARD_VECTORS, LEAF_VECTORS = 5000, 128
 #: Vectors (an expected number) from which the upper tree is built.
 SAMPLE_VECTORS = 20_000
 QUERY_BLOCK = 1000
+#: Pairs whose true distances are computed at once.
+PAIRS = 1 << 15
 
 
-def chi_square(x: np.ndarray, m: int = DIMENSIONS) -> np.ndarray:
+def chi_square(x: float, m: int = DIMENSIONS) -> float:
     """Distribution function of the chi-square law with an even number ``m`` of degrees."""
-    half = np.minimum(np.asarray(x, float) / 2, 700)
-    term, total = np.ones_like(half), np.ones_like(half)
+    half = min(x / 2, 700.0)
+    term = total = 1.0
     for i in range(1, m // 2):
-        term = term * half / i
-        total = total + term
-    return 1 - np.exp(-half) * total
+        term *= half / i
+        total += term
+    return 1 - math.exp(-half) * total
+
+
+def stop_ratio(confidence: float, m: int = DIMENSIONS) -> float:
+    """The ratio of squared projected to squared true distance that stays below with chance ``confidence``."""
+    low, high = 0.0, 10.0 * m
+    while high - low > 1e-9:
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, m) < confidence else (low, middle)
+    return high
 
 
 def projection(width: int, seed: int = 5) -> np.ndarray:
@@ -100,33 +114,55 @@ def box_distance(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.nd
     return out
 
 
-def search_shard(ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, tree: KdTree, query_ids: np.ndarray, queries: np.ndarray, query_projected: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest found in a shard for each query: vec ids (-1: none) and squared distances."""
-    n = len(queries)
+def _rounding(projected: np.ndarray) -> np.ndarray:
+    """What squared projected distances may differ by rounding: equal vectors count as met at distance 0."""
+    return 1e-18 * (projected**2).sum(axis=1)
+
+
+def _true_distances(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Squared distances of the pairs a[i], b[j], in bounded portions."""
+    out = np.empty(len(i))
+    for lo in range(0, len(i), PAIRS):
+        own = slice(lo, lo + PAIRS)
+        out[own] = ((a[i[own]] - b[j[own]]) ** 2).sum(axis=1)
+    return out
+
+
+def search_shard(ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray, tree: KdTree, query_ids: np.ndarray, queries: np.ndarray, query_projected: np.ndarray, bound: np.ndarray, k: int, confidence: float = CONFIDENCE) -> tuple[np.ndarray, np.ndarray, int]:
+    """The k nearest found in a shard for each query: vec ids (-1: none) and squared distances; and the number of verified pairs.
+
+    Leaves come by projected distance.  A leaf's vectors are verified if their own
+    projected distance passes the stopping test with the k-th distance so far, and a
+    query ends at the first leaf whose box does not pass it.
+    """
+    n, ratio, verified, least = len(queries), stop_ratio(confidence, projected.shape[1]), 0, _rounding(query_projected)
     best_id, best = np.full((n, k), -1, np.int64), np.full((n, k), np.inf)
     far = box_distance(query_projected, tree.low, tree.high)
     order = np.argsort(far, axis=1, kind="stable")
     active = np.arange(n)
     for step in range(order.shape[1]):
         leaf = order[active, step]
-        kth = np.minimum(best[active, -1], bound[active])
-        with np.errstate(divide="ignore", invalid="ignore"):
-            ratio = np.where(np.isinf(kth), 0.0, far[active, leaf] / kth)
-        go = ~(chi_square(np.nan_to_num(ratio, nan=0.0)) >= CONFIDENCE)
+        go = far[active, leaf] <= ratio * np.minimum(best[active, -1], bound[active]) + least[active]
         active, leaf = active[go], leaf[go]
         if not len(active):
             break
         for own in np.unique(leaf):  # the leaf's vectors against the queries that visit it now
-            rows = tree.order[tree.bounds[own] : tree.bounds[own + 1]]
             who = active[leaf == own]
-            d = ((queries[who][:, None, :] - vectors[rows][None, :, :]) ** 2).sum(axis=2)
-            d[query_ids[who][:, None] == ids[rows][None, :]] = np.inf
-            all_d = np.concatenate([best[who], d], axis=1)
-            all_id = np.concatenate([best_id[who], np.broadcast_to(ids[rows], d.shape)], axis=1)
-            top = np.lexsort((all_id, all_d), axis=1)[:, :k]
-            best[who], best_id[who] = np.take_along_axis(all_d, top, axis=1), np.take_along_axis(all_id, top, axis=1)
+            for lo in range(tree.bounds[own], tree.bounds[own + 1], LEAF_VECTORS):  # equal vectors make large leaves
+                rows = tree.order[lo : min(lo + LEAF_VECTORS, tree.bounds[own + 1])]
+                apart = ((query_projected[who][:, None, :] - projected[rows][None, :, :]) ** 2).sum(axis=2)
+                i, j = np.nonzero((apart <= (ratio * np.minimum(best[who, -1], bound[who]) + least[who])[:, None]) & (query_ids[who][:, None] != ids[rows][None, :]))
+                if not len(i):
+                    continue
+                verified += len(i)
+                d = np.full(apart.shape, np.inf)
+                d[i, j] = _true_distances(queries[who], vectors[rows], i, j)
+                all_d = np.concatenate([best[who], d], axis=1)
+                all_id = np.concatenate([best_id[who], np.broadcast_to(ids[rows], d.shape)], axis=1)
+                top = np.lexsort((all_id, all_d), axis=1)[:, :k]
+                best[who], best_id[who] = np.take_along_axis(all_d, top, axis=1), np.take_along_axis(all_id, top, axis=1)
     best_id[np.isinf(best)] = -1
-    return best_id, best
+    return best_id, best, verified
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -189,7 +225,22 @@ def build_index(vectors: DataFrame, shard_vectors: int = SHARD_VECTORS) -> tuple
     return listed, upper, weights
 
 
-def nearest(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
+def _write_boxes(listed: DataFrame) -> str:
+    """The shards' paths and boxes (one small row each) as one file, which tasks read."""
+    shards = listed.select("path", "low", "high").toArrow()
+    data = io.BytesIO()
+    np.savez(data, path=np.array(shards["path"].to_pylist()), low=np.array(shards["low"].to_pylist()), high=np.array(shards["high"].to_pylist()))
+    path = shared_dir(listed.sparkSession, "vector-boxes") + "/boxes.npz"
+    write_bytes(path, data.getvalue())
+    return path
+
+
+def _read_boxes(path: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    stored = np.load(io.BytesIO(read_bytes(path)))
+    return stored["path"].tolist(), stored["low"], stored["high"]
+
+
+def nearest(queries: DataFrame, candidates: DataFrame, k: int = K, shard_vectors: int = SHARD_VECTORS, confidence: float = CONFIDENCE) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` (Euclidean distance) of the k nearest candidates found.
 
     Both tables have ``vec_id`` and ``embedding``.  Vectors that are null, zero, not of
@@ -203,9 +254,9 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     if rows.isEmpty():
         return empty
-    listed, _, weights = build_index(rows)
-    shards = listed.select("path", "low", "high").toArrow()  # one small row for each shard
-    paths, low, high = shards["path"].to_pylist(), np.array(shards["low"].to_pylist()), np.array(shards["high"].to_pylist())
+    listed, _, weights = build_index(rows, shard_vectors)
+    boxes = _write_boxes(listed)
+    ratio = stop_ratio(confidence)
     asked = materialize(asked.where(F.size("x") == len(weights)), "queries")
     blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
 
@@ -213,37 +264,36 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
         """Rows (shard, query, bound) of the query's nearest shard, or of the others that may hold nearer vectors."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _, low, high = _read_boxes(boxes)
             for batch in batches:
-                for at in range(0, batch.num_rows, 500):
-                    part = batch.slice(at, 500)
-                    far = box_distance(_array(part["x"]) @ weights, low, high)
+                for at in range(0, batch.num_rows, 100):
+                    part = batch.slice(at, 100)
+                    p = _array(part["x"]) @ weights
+                    far = box_distance(p, low, high)
                     home = far.argmin(axis=1)
                     bound = np.full(part.num_rows, np.inf) if first else part["bound"].to_numpy()
-                    if first:
-                        take = np.arange(len(paths))[None, :] == home[:, None]
-                    else:
-                        with np.errstate(divide="ignore", invalid="ignore"):
-                            ratio = np.where(np.isinf(bound), 0.0, np.nan_to_num(far.T / bound, nan=0.0)).T
-                        take = (chi_square(ratio) < CONFIDENCE) & (np.arange(len(paths))[None, :] != home[:, None])
-                    q, s = np.nonzero(take)
+                    own = np.arange(len(low))[None, :] == home[:, None]
+                    q, s = np.nonzero(own if first else ~own & (far <= (ratio * bound + _rounding(p))[:, None]))
                     yield pa.RecordBatch.from_arrays([pa.array(s), part["vec_id"].take(pa.array(q)), part["x"].take(pa.array(q)), pa.array(bound[q])], names=["shard", "query_id", "x", "bound"])
 
         return run
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths = _read_boxes(boxes)[0]
         for batch in batches:
             for shard, asked_ids, asked_x, bound in zip(batch["shard"].to_pylist(), batch["ids"], batch["xs"], batch["bounds"], strict=True):
                 stored = np.load(io.BytesIO(read_bytes(paths[shard])))
                 ids, x = stored["ids"], stored["x"].astype(np.float64)
                 p = x @ weights
                 who, q = asked_ids.values.to_numpy(), _array(asked_x.values)
-                best_id, best = search_shard(ids, x, p, KdTree(p, LEAF_VECTORS), who, q, q @ weights, bound.values.to_numpy(), k)
+                best_id, best, _ = search_shard(ids, x, p, KdTree(p, LEAF_VECTORS), who, q, q @ weights, bound.values.to_numpy(), k, confidence)
                 row, col = np.nonzero(best_id >= 0)
                 yield pa.RecordBatch.from_arrays([pa.array(who[row]), pa.array(best_id[row, col]), pa.array(np.sqrt(best[row, col]))], names=["query_id", "vec_id", "score"])
 
     def visit(routed: DataFrame, name: str) -> DataFrame:
         # a task gets at most about QUERY_BLOCK queries of one shard at once
-        grouped = routed.groupBy("shard", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "x", "bound")).alias("q"))
+        dealt = routed.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))).repartition(partitions(spark), "shard", "block")
+        grouped = dealt.groupBy("shard", "block").agg(F.collect_list(F.struct("query_id", "x", "bound")).alias("q"))
         packed = grouped.select("shard", F.col("q.query_id").alias("ids"), F.col("q.x").alias("xs"), F.col("q.bound").alias("bounds"))
         return materialize(packed.mapInArrow(search, "query_id long, vec_id long, score double"), name)
 

@@ -282,7 +282,43 @@ def test_neighbours(spark):
     few = neighbours.nearest(table.where("vec_id = 5"), table.where("vec_id in (5, 6, 7)"))
     assert [(r.rank, r.vec_id, r.score == 0) for r in few.orderBy("rank").collect()] == [(1, 6, True), (2, 7, False)]
     assert neighbours.nearest(table, table.where("false")).count() == 0
-    assert abs(neighbours.chi_square(np.array([7.344]), 8)[0] - 0.5) < 1e-3
+    assert abs(neighbours.chi_square(7.344, 8) - 0.5) < 1e-3 and abs(neighbours.stop_ratio(0.95, 16) - 26.296) < 1e-3
+
+
+def test_neighbours_over_shards(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(4000, 24)) + 3 * rng.normal(size=(40, 24))[rng.integers(0, 40, 4000)]
+    x[1000:3500] = x[1000]  # many more than a shard and a leaf hold
+    rows_ = [(i, v.tolist(), 1, "p", 0, 0.5) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows_, "vec_id long, embedding array<double>, shard int, path string, block int, bound double").repartition(5)
+    got = {}
+    for r in neighbours.nearest(table.where("vec_id % 50 = 0"), table, shard_vectors=150).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    hits = 0
+    for q in range(0, 4000, 50):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        top = np.lexsort((np.arange(4000), d))[:10].tolist()
+        assert all(abs(s - d[i]) < 1e-12 for i, s in got[q])
+        if 1000 <= q < 3500:
+            assert [i for i, _ in got[q]] == top  # equal vectors: the smallest ids
+        else:
+            hits += len({i for i, _ in got[q]} & set(top))
+    assert hits >= 0.9 * 10 * 30
+
+
+def test_the_search_stops_early():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    w = neighbours.projection(64)
+    ids, asked = np.arange(6000), np.arange(0, 6000, 100)
+    best_id, best, verified = neighbours.search_shard(ids, x, x @ w, neighbours.KdTree(x @ w, neighbours.LEAF_VECTORS), asked, x[asked], x[asked] @ w, np.full(60, np.inf), 10)
+    d = ((x[asked][:, None] - x[None]) ** 2).sum(2)
+    d[np.arange(60), asked] = np.inf
+    top = np.argsort(d, axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(best_id.tolist(), top.tolist())]) >= 0.9
+    assert verified < 0.7 * 60 * 6000  # evenly spread directions are the worst case
 
 
 # 7
