@@ -30,7 +30,7 @@ K = 10
 DIMENSIONS = 16
 #: Chance that a vector as near as the k-th found is met before the search stops.
 CONFIDENCE = 0.93
-SHARD_VECTORS, LEAF_VECTORS = 5000, 128
+SHARD_VECTORS, LEAF_VECTORS = 5000, 512
 #: Vectors (an expected number) from which the upper tree is built.
 SAMPLE_VECTORS = 20_000
 QUERY_BLOCK = 1000

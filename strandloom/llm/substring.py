@@ -1,22 +1,25 @@
 """Repeated passages, by relative Lempel-Ziv parsing.
 
-Every document is factored against the documents before it: a factor is the longest
-run of words that goes on in one earlier block of text, and a run of at least
-``window`` words is a duplicate span.  The blocks are indexed in two steps, so that
-text which occurs once (most of it) costs little:
+Every document is factored against blocks of reference text: a factor is a run of
+words that goes on in one earlier place, taken as long as that place goes on, and a
+run of at least ``window`` words is a duplicate span.  The reference is the corpus
+itself, so its blocks are chosen such that text which occurs once (most of it) is in
+none:
 
 1. Anchors.  In each window of words the six-word run with the least hash is its
    anchor.  Equal windows have equal anchors, so only windows whose anchor occurs
-   twice in the corpus can have an earlier equal.
-2. Those windows meet at their anchor, where the earliest place of each is its
-   source.  Consecutive windows found at consecutive places of one block form a
-   factor.  At factor boundaries, where the source changes, windows that reach over
-   the boundary are looked up like all others.
+   twice in the corpus can have an earlier equal.  The windows around one anchor are
+   a reference block; it is indexed by the windows' hashes, in order of place.
+2. A document's windows are parsed greedily against every block they belong to: a
+   factor starts at the earliest place of its first window and goes on while the next
+   window is the next one of that place.  At a factor's boundary the next window is
+   looked up in the index again, so that windows which reach over the boundary are
+   found as well.  Factors of neighbouring blocks that lie in one line are joined.
 
 A window's identity is its anchor's and its own 64-bit hash (128 bits in all).  Hot
-anchors are dealt over several tasks first, which settle what repeats among their own
-rows; what is left of them is dealt by window.  A copy of a whole earlier text is one
-factor and needs no index.  Texts travel compressed.
+anchors are dealt over several blocks first; what finds nothing there is dealt by
+window.  A copy of a whole earlier text is one factor and needs no index.  Texts
+travel compressed.
 """
 
 from __future__ import annotations
@@ -117,11 +120,33 @@ def _windows(window: int):
     return run
 
 
-_SETTLED = "ord long, t1 long, starts array<int>, sources array<long>, source_starts array<int>, anchor long, left array<struct<hash:bigint,start:int>>"
+def parse(word: np.ndarray, row: np.ndarray, earliest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy factors of all rows of windows at once: each window's source (-1: none) and whether a factor starts there.
+
+    ``word``: window hashes, ``row``: their rows (ascending), ``earliest``: the number
+    of each window's earliest equal if that is before it, else -1.
+    """
+    sizes = np.bincount(row) if len(row) else np.empty(0, np.int64)
+    first = np.cumsum(sizes) - sizes
+    order = np.argsort(-sizes, kind="stable")
+    alive = np.searchsorted(-sizes[order], -np.arange(1, int(sizes.max(initial=0)) + 1), side="right")  # rows with more than k windows
+    source, starts = np.full(len(word), -1), np.zeros(len(word), bool)
+    now = np.full(len(order), -1)
+    last = len(word) - 1
+    for k, n in enumerate(alive.tolist()):
+        at, after = first[order[:n]] + k, np.minimum(now[:n] + 1, last)
+        goes_on = (now[:n] >= 0) & (row[after] == row[now[:n]]) & (after != now[:n]) & (word[after] == word[at])
+        now = np.where(goes_on, after, earliest[at])
+        source[at], starts[at] = now, ~goes_on & (now >= 0)
+    return source, starts
+
+
+_FACTORS = ["starts", "counts", "sources", "source_starts"]
+_SETTLED = "ord long, t1 long, starts array<int>, counts array<int>, sources array<long>, source_starts array<int>, anchor long, left array<struct<hash:bigint,start:int>>"
 
 
 def _settle(block_rows: int = 50_000):
-    """Rows sorted by anchor and salt -> windows with an earlier equal among them, and the rest of salted rows."""
+    """Rows sorted by anchor and salt -> their factors in these blocks, and the windows of salted rows without one."""
 
     def settle(table: pa.Table) -> pa.RecordBatch:
         sizes = pc.list_value_length(table["hashes"]).to_numpy().astype(np.int64)
@@ -135,23 +160,26 @@ def _settle(block_rows: int = 50_000):
         if len(order) > 1:
             a, b = order[1:], order[:-1]
             same[1:] = (word[a] == word[b]) & (anchor[a] == anchor[b]) & (salt[a] == salt[b])
-        source = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
-        later = (place[order] > place[source]) | (start[order] > start[source])
-        dup_of = np.full(len(order), -1)
-        dup_of[order[later]] = source[later]
-        dup, left = dup_of >= 0, salted & (dup_of < 0)
-        used = np.flatnonzero(np.bincount(row[dup | left], minlength=table.num_rows))
+        head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+        later = (place[order] > place[head]) | (start[order] > start[head])
+        earliest = np.full(len(order), -1)
+        earliest[order[later]] = head[later]
+        source, begins = parse(word, row, earliest)
+        left = salted & (source < 0)
+        used = np.flatnonzero(np.bincount(row[begins | left], minlength=table.num_rows))
 
         def lists(mask: np.ndarray, *columns: np.ndarray) -> list[pa.Array]:
             ends = np.concatenate([[0], np.cumsum(np.bincount(row[mask], minlength=table.num_rows)[used])]).astype(np.int32)
             return [pa.ListArray.from_arrays(pa.array(ends), c if isinstance(c, pa.Array) else pa.array(c)) for c in columns]
 
-        src = dup_of[dup]
+        at = np.flatnonzero(begins)
+        counts = np.bincount(np.searchsorted(at, np.flatnonzero(source >= 0), side="right") - 1, minlength=len(at)) if len(at) else at
+        src = source[at]
         rest = pa.StructArray.from_arrays([pa.array(word[left]), pa.array(start[left].astype(np.int32))], names=["hash", "start"])
-        found = lists(dup, start[dup].astype(np.int32), place[src], start[src].astype(np.int32))
+        found = lists(begins, start[at].astype(np.int32), counts.astype(np.int32), place[src], start[src].astype(np.int32))
         return pa.RecordBatch.from_arrays(
             [pa.array(table["ord"].to_numpy()[used]), pa.array(table["t1"].to_numpy()[used]), *found, pa.array(table["anchor"].to_numpy()[used]), *lists(left, rest)],
-            names=["ord", "t1", "starts", "sources", "source_starts", "anchor", "left"],
+            names=["ord", "t1", *_FACTORS, "anchor", "left"],
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,19 +201,19 @@ def _settle(block_rows: int = 50_000):
     return run
 
 
-def factors(found: list[tuple[int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
-    """(start, length, source, source start) of each factor from (start, source, source start) of a document's repeated windows.
+def factors(found: list[tuple[int, int, int, int]], window: int) -> list[tuple[int, int, int, int]]:
+    """(start, length, source, source start) of a document's factors, from (start, windows, source, source start) of its blocks.
 
-    A factor goes on while the next window is found at the next place of the same source.
+    Factors of several blocks are one if the next starts where the last one's windows end, in the source as well.
     """
     out: list[list[int]] = []
-    for start, source, place in sorted(found):
+    for start, count, source, place in sorted(found):
         last = out[-1] if out else None
-        if last and start == last[0] + last[1] - window + 1 and source == last[2] and place - last[3] == start - last[0]:
-            last[1] += 1
+        if last and start == last[0] + last[1] and source == last[2] and place - last[3] == start - last[0]:
+            last[1] += count
         else:
-            out.append([start, window, source, place])
-    return [tuple(x) for x in out]
+            out.append([start, count, source, place])
+    return [(start, count + window - 1, source, place) for start, count, source, place in out]
 
 
 def _source_rows(docs: DataFrame) -> DataFrame:
@@ -221,7 +249,7 @@ def _unpressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _settled(groups: DataFrame, hot: DataFrame, n_hot: int) -> DataFrame:
-    """The windows of ``groups`` that have an earlier equal, with it."""
+    """The factors of ``groups`` in their blocks."""
     p = partitions(groups.sparkSession)
     if n_hot:
         groups = groups.join(F.broadcast(hot) if n_hot <= BROADCAST_KEYS else hot, "anchor", "left")
@@ -230,20 +258,20 @@ def _settled(groups: DataFrame, hot: DataFrame, n_hot: int) -> DataFrame:
     salted = groups.withColumn("salts", F.coalesce("salts", F.lit(1))).withColumn("salt", F.pmod(F.xxhash64("ord"), F.col("salts")))
     dealt = lambda rows: rows.repartition(p, "anchor", "salt").sortWithinPartitions("anchor", "salt").mapInArrow(_settle(), _SETTLED)
     first = materialize(dealt(salted), "settled")
-    found = first.where(F.size("starts") > 0).select("ord", "t1", "starts", "sources", "source_starts")
+    found = first.where(F.size("starts") > 0).select("ord", "t1", *_FACTORS)
     if not n_hot:
         return found
     # what is left of hot anchors: one row for each window, dealt by the window
     rest = first.where(F.size("left") > 0).select("anchor", "ord", "t1", F.explode("left").alias("w")).select(
         "anchor", "ord", "t1", F.col("w.start").alias("start"), F.array("w.hash").alias("hashes"), F.lit(1).alias("salts"), F.col("w.hash").alias("salt")
     )
-    return found.unionByName(dealt(rest).select("ord", "t1", "starts", "sources", "source_starts"))
+    return found.unionByName(dealt(rest).select("ord", "t1", *_FACTORS))
 
 
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """For each text with repeated words: its key, whether it is a whole copy, and its repeated windows with an earlier source.
+    """For each text with repeated words: its key, whether it is a whole copy, and its factors.
 
-    Columns ``ord t1 copy found``; ``found`` holds (starts, sources, source_starts) arrays.
+    Columns ``ord t1 copy found``; ``found`` holds (starts, counts, sources, source_starts) arrays, one entry a factor.
     """
     rows = _source_rows(docs)
     anchors = materialize(rows.drop("doc_id").mapInArrow(_anchors(window), "ord long, t1 long, t2 long, anchors array<long>"), "anchors")
@@ -251,15 +279,15 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     copied = firsts.where("n > 1").select("t1", "t2", F.col("ord").alias("first"))
     copied = F.broadcast(copied) if copied.count() <= BROADCAST_KEYS else copied
     copies = materialize(anchors.select(*_KEY).join(copied, ["t1", "t2"]).where("ord > first").select(*_KEY).distinct(), "copies")
-    single = anchors.select("ord", F.explode("anchors").alias("anchor"))
+    single = anchors.select("ord", "t1", F.explode("anchors").alias("anchor"))
     if copies.limit(1).count():
-        single = anchors.join(copies, _KEY, "left_anti").select("ord", F.explode("anchors").alias("anchor"))
+        single = anchors.join(copies, _KEY, "left_anti").select("ord", "t1", F.explode("anchors").alias("anchor"))
     shared = materialize(single.groupBy("anchor").count().where("count > 1"), "shared-anchors")
     hot = materialize(shared.where(F.col("count") > HOT_ROWS).select("anchor", F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("salts")), "hot-anchors")
-    per_text = single.join(shared.select("anchor"), "anchor", "left_semi").groupBy("ord").agg(F.collect_set("anchor").alias("anchors"))
-    groups = _pressed(rows.select("ord", "t1", "text")).join(per_text, "ord").mapInArrow(_windows(window), "anchor long, ord long, t1 long, start int, hashes array<long>")
+    per_text = single.join(shared.select("anchor"), "anchor", "left_semi").groupBy("ord", "t1").agg(F.collect_set("anchor").alias("anchors"))
+    groups = _pressed(rows.select("ord", "t1", "text")).join(per_text, ["ord", "t1"]).mapInArrow(_windows(window), "anchor long, ord long, t1 long, start int, hashes array<long>")
     found = _settled(groups, hot, hot.count())
-    parts = found.groupBy("ord", "t1").agg(F.collect_list(F.struct("starts", "sources", "source_starts")).alias("found"))
+    parts = found.groupBy("ord", "t1").agg(F.collect_list(F.struct(*_FACTORS)).alias("found"))
     whole = copies.select("ord", "t1", F.lit(True).alias("copy")).distinct()
     return parts.join(whole, ["ord", "t1"], "full_outer").select("ord", "t1", F.coalesce("copy", F.lit(False)).alias("copy"), "found")
 
@@ -269,23 +297,25 @@ def _with_repeats(docs: DataFrame, window: int) -> DataFrame:
     return _pressed(_source_rows(docs).drop("t2")).join(told, ["ord", "t1"], "left").select("doc_id", "text", "copy", "found")
 
 
-def _kept(text: bytes | None, copy: bool | None, starts: np.ndarray | None, window: int) -> tuple[int, list[bytes]]:
+def _kept(text: bytes | None, copy: bool | None, found: tuple[np.ndarray, np.ndarray] | None, window: int) -> tuple[int, list[bytes]]:
     """Number of words, and the words that stay."""
     words = (text or b"").split()
     if copy:
         return len(words), [] if len(words) >= window else words
-    if starts is None or not len(starts):
+    if found is None:
         return len(words), words
+    starts, counts = found
     depth = np.zeros(len(words) + 1, np.int64)
     np.add.at(depth, starts, 1)
-    np.add.at(depth, starts + window, -1)
+    np.add.at(depth, starts + counts + window - 1, -1)
     stay = np.cumsum(depth)[:-1] == 0
     return len(words), [words[i] for i in np.flatnonzero(stay).tolist()]
 
 
 def _each(batch: pa.RecordBatch, window: int) -> Iterator[tuple[int, list[bytes]]]:
     for text, copy, found in zip(batch["text"].to_pylist(), batch["copy"].to_pylist(), batch["found"], strict=True):
-        yield _kept(text, copy, found.values.field("starts").flatten().to_numpy() if found.is_valid else None, window)
+        own = found.values if found.is_valid else None
+        yield _kept(text, copy, None if own is None else (own.field("starts").flatten().to_numpy(), own.field("counts").flatten().to_numpy()), window)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -319,7 +349,7 @@ def spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 if copy and len((text or b"").split()) >= window:
                     out.append((doc, 0, len(text.split()), None, None))
                 elif found:
-                    out += [(doc, *f) for f in factors([t for x in found for t in zip(x["starts"], x["sources"], x["source_starts"], strict=True)], window)]
+                    out += [(doc, *f) for f in factors([t for x in found for t in zip(*(x[c] for c in _FACTORS), strict=True)], window)]
             cols = list(zip(*out, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "source_id", "source_start"])
 

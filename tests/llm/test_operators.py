@@ -405,6 +405,26 @@ def test_substring_dedup(spark, docs, empty, monkeypatch):
     assert substring.dedup(empty).count() == 0
 
 
+def test_greedy_factors():
+    word = np.array([1, 2, 3, 4, 9, 8, 2, 3, 5, 6, 8, 2, 3, 5, 1, 2, 3, 4, 9])
+    row = np.array([0, 0, 0, 0, 0, 1, 1, 1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, 3])
+    first = {w: word.tolist().index(w) for w in word.tolist()}
+    earliest = np.array([first[w] if first[w] < i else -1 for i, w in enumerate(word.tolist())])
+    source, starts = substring.parse(word, row, earliest)
+    assert source.tolist() == [-1, -1, -1, -1, -1, -1, 1, 2, -1, -1, 5, 6, 7, 8, 0, 1, 2, 3, 4]
+    assert np.flatnonzero(starts).tolist() == [6, 10, 14]  # row 2 goes on in row 1, though its second window stands earlier
+    assert substring.factors([(3, 2, 7, 1), (5, 4, 7, 3), (9, 1, 8, 0)], 20) == [(3, 25, 7, 1), (9, 20, 8, 0)]
+    assert [len(x) for x in substring.parse(word[:0], row[:0], earliest[:0])] == [0, 0]
+
+
+def test_substring_digests(spark, tmp_path):
+    part = " ".join(f"w{i}" for i in range(40))
+    texts = [(0, f"a {part}"), (1, f"{part} b"), (2, None), (3, ""), (4, f"a {part}"), (5, "x\u00a0y  z\x1c"), (6, " ".join(["r"] * 90)), (None, f"{part} c"), (None, f"d {part}"), (7, f"{part} {part}")]
+    spark.createDataFrame([(i, t, "en", t, 1) for i, t in texts], "doc_id long, text string, lang string, found string, copy long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    got = rows(substring.op8_substring_dedup(spark, str(tmp_path)))
+    assert got == sorted([(i, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, kept, n, gone in brute_dedup(texts)], key=repr)
+
+
 # 9
 
 
