@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from strandloom.llm.resident import resident
 
 #: Words that a worker's table keeps from block to block.
-MAX_WORDS = 250_000
+MAX_WORDS = 680_000
 #: Between words that are encoded in one call: a control sign, one id where it stands alone.
 _MARK = "\x7f"
 
