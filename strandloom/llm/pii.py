@@ -2,17 +2,19 @@
 
 The tagger (:mod:`strandloom.llm.tagger`) is trained on labelled spans that a seeded
 generator writes into invented text: the base formats and others, such as phone
-numbers without a plus sign or card numbers with a wrong check digit, next to numbers
-that are no personal data.  Each kind holds a digit or an ``@``, so windows without
-either are tagged "outside" by definition and need no decoding.  Windows overlap by
-half; a span cut by a window's edge is left to the neighbour, and what remains of all
-windows is reconciled over the whole text, the longer span first.
+numbers without a plus sign or card numbers with a wrong check digit, and secrets (keys
+and tokens after their names), next to numbers that are no personal data.  Each kind
+holds a digit or an ``@``, so windows without either are tagged "outside" by definition
+and need no decoding.  Windows overlap by half; parts of a span that windows cut are
+joined where they meet, a part whose other end no window saw is dropped, and all spans
+are reconciled over the whole text, the longer span first.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -100,6 +102,14 @@ def _generator(rng: np.random.Generator):
         area = pick([f"({num(3)}) ", f"{num(3)}-", f"{num(3)} ", f"{num(3)}.", f"({num(3)})"])
         return pick([f"+{num(1)} ", f"+{num(2)} ", f"+{num(2)}-", "", "", f"{num(1)}-"]) + area + num(3) + pick(["-", " ", ".", "-"]) + num(4)
 
+    def secret() -> tuple[str, str]:
+        n = int(pick([16, 20, 24, 32, 40, 40, 40, 64]))
+        letters = pick(["0123456789abcdef"] * 4 + ["0123456789ABCDEF", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+        value = "".join(letters[i] for i in rng.integers(0, len(letters), n))
+        name = pick(["token", "token", "token", "secret", "key", "api_key", "password", "access_token", "client_secret", "auth"])
+        name, quote = pick([name, name, name, name.upper(), name.capitalize()]), pick(['"', '"', '"', "'", ""])
+        return f"{name}{pick([' = ', ' = ', '=', ': ', ':'])}{quote}", value + quote
+
     def harmless() -> str:
         year, day = f"{pick(['19', '20'])}{num(2)}", f"{num(2)}"
         return pick([
@@ -108,15 +118,17 @@ def _generator(rng: np.random.Generator):
             f"{num(3)} {num(3)}", f"{num(2)}, {num(2)} {word()} {num(3)}", f"{num(9)}", f"{num(1)},{num(3)},{num(3)}", f"{num(2)}-{num(2)}", f"({num(1)})", f"[{num(2)}]",
         ])
 
-    makers = [email, ip, card, phone]
+    makers = [email, ip, card, phone, secret]
 
     def window() -> tuple[str, list[Span]]:
         text, spans, mark = "", [], pick(["", "", "", "!!", "%%%", "###", "$$$", "&&&", "***"])
         while len(text) < WIDTH + 40:
-            kind = int(rng.integers(0, 4)) if rng.random() < 0.16 else -1
+            kind = int(rng.integers(0, len(makers))) if rng.random() < 0.17 else -1
             if kind >= 0:
                 own = makers[kind]()
-                spans.append((len(text), kind, len(text) + len(own)))
+                before, own = own if isinstance(own, tuple) else ("", own)
+                text += before
+                spans.append((len(text), kind, len(text) + len(own.rstrip("\"'"))))
                 text += own
             else:
                 text += harmless() if rng.random() < 0.12 else case(word())
@@ -153,20 +165,20 @@ def trained(windows: int = TRAIN_WINDOWS, rounds: int = TRAIN_ROUNDS) -> Tagger:
 # ---- tagging whole texts
 
 #: Least and greatest number of digits of a span that the tagger may add.
-_BOUNDS = {0: (0, 99), 1: (4, 12), 2: (13, 19), 3: (9, 15)}
+_BOUNDS = {0: (0, 99), 1: (4, 12), 2: (13, 19), 3: (9, 15), 4: (1, 500)}
 
 
 def _plausible(kind: int, text: str) -> bool:
     low, high = _BOUNDS[kind]
     if not low <= len(_digits(text)) <= high or text != text.strip():
         return False
-    return {0: text.count("@") == 1 and "." in text.partition("@")[2], 1: text.count(".") == 3, 2: not set(text) - set("0123456789 .-"), 3: not set(text) - set("0123456789 +().-")}[kind]
+    return {0: text.count("@") == 1 and "." in text.partition("@")[2], 1: text.count(".") == 3, 2: not set(text) - set("0123456789 .-"), 3: not set(text) - set("0123456789 +().-"), 4: len(text) >= 12 and text.isascii() and not set(text) & set(" \t\n\"'")}[kind]
 
 
 def tagged_spans(texts: list[str], tagger: Tagger, at_once: int = 1024) -> list[list[Span]]:
     """What the tagger finds in each text, reconciled over its windows, without overlaps."""
     parts = [(i, k) for i, text in enumerate(texts) for k in sorted({w for m in _TRIGGER.finditer(text) for w in (m.start() // STRIDE - 1, m.start() // STRIDE) if w >= 0 or len(text) <= WIDTH and w == 0})]
-    found: list[list[Span]] = [[] for _ in texts]
+    found: list[list[tuple[int, int, int, bool, bool]]] = [[] for _ in texts]  # start, kind, end, and which ends a window cut
     for lo in range(0, len(parts), at_once):
         own = parts[lo : lo + at_once]
         tags = tagger.decode(symbols([texts[i][k * STRIDE : k * STRIDE + WIDTH] for i, k in own], WIDTH))
@@ -178,19 +190,50 @@ def tagged_spans(texts: list[str], tagger: Tagger, at_once: int = 1024) -> list[
             while end < WIDTH and tags[row, end] == tag:
                 end += 1
             offset, text = k * STRIDE, texts[i]
-            if (at == 0 and offset) or (end == WIDTH and offset + WIDTH < len(text)):
-                continue  # cut by the window: whole in the neighbour
-            span = (offset + at, int(kind[row, at]) - 1, min(offset + end, len(text)))
-            if _plausible(span[1], text[span[0] : span[2]]):
-                found[i].append(span)
-    return [_apart(spans, []) for spans in found]
+            found[i].append((offset + at, int(kind[row, at]) - 1, min(offset + end, len(text)), bool(at == 0 and offset), end == WIDTH and offset + WIDTH < len(text)))
+    out = []
+    for text, own in zip(texts, found, strict=True):
+        whole = [s for s in joined(own) if _plausible(s[1], text[s[0] : s[2]])]
+        out.append(_apart(whole, []))
+    return out
+
+
+def joined(parts: list[tuple[int, int, int, bool, bool]]) -> list[Span]:
+    """Whole spans from the windows' spans (start, kind, end, cut at its start, cut at its end).
+
+    A part that is cut at its end goes on in a part of the same kind that is cut at
+    its start, if the two overlap; what stays cut is dropped.
+    """
+    whole = [(a, kind, b) for a, kind, b, left, right in parts if not left and not right]
+    open_: dict[int, tuple[int, int]] = {}  # by kind: where the last span that goes on began, and how far it is seen
+    for a, kind, b, left, right in sorted(x for x in parts if x[3] or x[4]):
+        if not left:
+            open_[kind] = (a, b)
+        elif kind in open_ and a <= open_[kind][1]:
+            begin = open_[kind][0]
+            if right:
+                open_[kind] = (begin, max(b, open_[kind][1]))
+            else:
+                whole.append((begin, kind, b))
+                del open_[kind]
+    return whole
 
 
 def _apart(spans: list[Span], taken: list[Span]) -> list[Span]:
     """Spans that overlap neither ``taken`` nor each other; longer ones first, then earlier ones."""
+    starts, ends = [], []  # of what is taken, as disjoint intervals in order
+    for a, _, b in sorted(taken):
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     out: list[Span] = []
     for s in sorted(set(spans), key=lambda s: (s[0] - s[2], s)):
-        if all(s[2] <= t[0] or t[2] <= s[0] for t in (*taken, *out)):
+        at = bisect_right(starts, s[0])
+        if (at == 0 or ends[at - 1] <= s[0]) and (at == len(starts) or s[2] <= starts[at]):
+            starts.insert(at, s[0])
+            ends.insert(at, s[2])
             out.append(s)
     return sorted(out)
 
@@ -206,7 +249,7 @@ def _told(spans: list[Span]) -> str:
 
 
 def detect(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
-    """``doc_id``, counts by kind, ``base_sha256`` and ``spans`` of every row of ``docs``.
+    """``doc_id``, counts by kind, ``base_sha256``, ``spans`` and ``n_spans`` (of all kinds) of every row of ``docs``.
 
     Spans are ``kind:start:end`` in code points, by start and then kind.  Null and
     empty texts have none; repeated rows come back once each; other columns play no
@@ -220,11 +263,11 @@ def detect(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
             counts = np.array([np.bincount([k for _, k, _ in own], minlength=len(KINDS)) for _, own in found], np.int64).reshape(-1, len(KINDS))
             columns = [pa.array(counts[:, k].copy()) for k in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], *columns, pa.array([hashlib.sha256(_told(b).encode()).hexdigest() for b, _ in found]), pa.array([_told(own) for _, own in found])],
-                names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"],
+                [batch["doc_id"], *columns, pa.array([hashlib.sha256(_told(b).encode()).hexdigest() for b, _ in found]), pa.array([_told(own) for _, own in found]), pa.array([len(own) for _, own in found], pa.int64())],
+                names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, f"doc_id long, {', '.join(f'n_{k} long' for k in KINDS)}, base_sha256 string, spans string, n_spans long")
 
 
 def redact_text(text: str, spans: list[Span]) -> str:

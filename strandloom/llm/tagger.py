@@ -12,7 +12,7 @@ import numpy as np
 
 #: Symbols: ASCII as it is, then other letters, then everything else.
 SYMBOLS = 130
-KINDS = ["email", "ip", "card", "phone"]
+KINDS = ["email", "ip", "card", "phone", "secret"]
 #: Tags: 0 outside, then begin and inside of each kind.
 TAGS = 1 + 2 * len(KINDS)
 _NEVER = -1e4

@@ -207,6 +207,50 @@ def test_tagger(docs, empty):
     assert pii.detect(empty, tagger).count() == 0
 
 
+def test_added_spans_by_brute_force(spark):
+    """Every window decoded, and spans kept apart by comparing all with all, give what ``detect`` returns."""
+    tagger, rng = pii.trained(), random.Random(12)
+    bits = ["017 555-7713", "+1 (017) 555-7713", "an.12@mail.example.com", "a @ b.de", "9807915762804490", "10.2.33.4", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "in 2024, 3.5%", prose(30, 1), prose(9, 2), "v1.2", "1,234"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(60)]
+    want = []
+    for text in texts:
+        parts = []
+        for offset in range(0, max(1, len(text)), pii.STRIDE):
+            tags = tagger.decode(pii.symbols([text[offset : offset + pii.WIDTH]], pii.WIDTH))[0].tolist()
+            for at, tag in enumerate(tags):
+                if tag % 2 == 1:
+                    end = at + 1
+                    while end < pii.WIDTH and tags[end] == tag + 1:
+                        end += 1
+                    parts.append((offset + at, tag // 2, min(offset + end, len(text)), at == 0 and offset > 0, end == pii.WIDTH and offset + end < len(text)))
+        base = pii.base_spans(text)
+        kept = []
+        for s in sorted({s for s in pii.joined(parts) if pii._plausible(s[1], text[s[0] : s[2]])}, key=lambda s: (s[0] - s[2], s)):
+            if all(s[2] <= o[0] or o[2] <= s[0] for o in kept):
+                kept.append(s)
+        out = [s for s in kept if all(s[2] <= o[0] or o[2] <= s[0] for o in base)]
+        want.append(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(base + out)))
+    table = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, spans string").repartition(3)
+    got = {r.doc_id: r for r in pii.detect(table, tagger).collect()}
+    assert [got[i].spans for i in range(60)] == want and all(got[i].n_spans == len(want[i].split(",")) * bool(want[i]) for i in range(60))
+    assert sum(r.n_secret for r in got.values()) > 0
+
+
+def test_spans_that_windows_cut():
+    assert pii.joined([(10, 0, 96, False, True), (48, 0, 120, True, False)]) == [(10, 0, 120)]
+    assert pii.joined([(10, 4, 96, False, True), (48, 4, 144, True, True), (96, 4, 150, True, False), (5, 1, 9, False, False)]) == [(5, 1, 9), (10, 4, 150)]
+    assert pii.joined([(10, 0, 96, False, True), (48, 1, 120, True, False), (0, 2, 3, True, False)]) == []
+    rng = random.Random(3)
+    for _ in range(300):
+        spans, taken = ([(a := rng.randint(0, 60), rng.randint(0, 4), a + rng.randint(1, 9)) for _ in range(rng.randint(0, 12))] for _ in range(2))
+        want = []
+        for s in sorted(set(spans), key=lambda s: (s[0] - s[2], s)):
+            if all(s[2] <= o[0] or o[2] <= s[0] for o in (*taken, *want)):
+                want.append(s)
+        assert pii._apart(spans, taken) == sorted(want)
+    assert len(pii._apart([(3 * i, 0, 3 * i + 2) for i in range(20_000)], [])) == 20_000
+
+
 # 5
 
 LANGUAGES = {"en": "the and of that with this have from they what", "de": "der und die nicht mit auch eine werden über für", "ru": "и не что он на как это по но"}
