@@ -1,42 +1,124 @@
 """Pairwise distances between samples, clusters and trees.
 
-Constant keys (in every sample with one code) match in all pairs, so they are counted
-once and left out of the self-join.  Mismatches need no join at all: two samples'
-mismatches are their key counts less twice their shared keys.
+Sums over the keys that two samples share are products of 0/1 matrices, added up where
+the keys lie; keys are never joined with themselves.  Constant keys (in every sample
+with one code) match in all pairs, so they are only counted.  Two samples' mismatches
+are their key counts less twice their shared keys.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.functions.bases import overlap
+from strandloom.functions.bases import UNKNOWN
 from strandloom.operators.components import connected_components
 from strandloom.operators.filters import key_stats, least_count
-from strandloom.operators.index import KEY, Index
+from strandloom.operators.index import Index
+from strandloom.sources.shared import materialize
 
+#: Samples in a tile of a task's matrices, and keys in one product.
+TILE, BLOCK_KEYS = 1024, 4096
 _CONSTANT = "n_present = {n} and n_codes = 1"
 
 
 def _pairs(index: Index, inner: DataFrame) -> DataFrame:
     """All pairs of samples in order, joined with sums over their shared keys."""
-    spark = index.kmers.sparkSession
-    order = spark.createDataFrame([(i, n) for i, n in enumerate(index.names)], "i int, sample string")
+    order = _numbered(index)
     grid = order.select(F.col("i").alias("i1"), F.col("sample").alias("sample1")).join(order.select(F.col("i").alias("i2"), F.col("sample").alias("sample2")), F.col("i1") < F.col("i2"))
-    return grid.join(inner, ["sample1", "sample2"], "left")
+    return grid.join(inner, ["i1", "i2"], "left")
 
 
-def _shared(index: Index, kmers: DataFrame) -> DataFrame:
-    """A row for each pair of samples and key that both have; the pair is in sample order."""
-    spark = index.kmers.sparkSession
-    order = F.broadcast(spark.createDataFrame([(i, n) for i, n in enumerate(index.names)], "i int, sample string"))  # one row for each sample
-    rows = kmers.join(order, "sample")
-    a = rows.select(*KEY, F.col("i").alias("i1"), F.col("sample").alias("sample1"), F.col("mask").alias("m1"))
-    b = rows.select(*KEY, F.col("i").alias("i2"), F.col("sample").alias("sample2"), F.col("mask").alias("m2"))
-    return a.join(b, KEY).where("i1 < i2")
+def _products(index: Index, keys: DataFrame, kind: str) -> DataFrame:
+    """``i1 <= i2``, ``shared``, ``matched``, ``differ`` of all pairs of samples that share a key.
+
+    ``keys``: one row a key, with the list ``cells`` of its samples' numbers and masks.
+    A task makes 0/1 matrices (keys x samples) of its keys and adds up their products, so
+    that only sums for pairs of samples are shuffled.  Samples are dealt in tiles, which
+    bounds the matrices at any number of samples.  ``kind``: ``plain`` (matched: both
+    plain; differ: plain and unequal), ``chance`` (matched: codes that overlap; differ:
+    less the chance of equal bases), ``code`` (differ: unequal codes).
+    """
+    n_samples = index.n_samples
+    tiles = -(-n_samples // TILE)
+    pairs = [(a, b) for a in range(tiles) for b in range(a, tiles)]
+    chance = np.array([[bin(a & b).count("1") / max(bin(a).count("1") * bin(b).count("1"), 1) for b in range(16)] for a in range(16)])
+    chance[UNKNOWN] = chance[:, UNKNOWN] = 0
+    plain, number = [1, 2, 4, 8], np.float64 if kind == "chance" else np.float32  # sums of ones are exact in both
+
+    def add_up(key: np.ndarray, i: np.ndarray, mask: np.ndarray, n: int, low: int, high: int) -> list[np.ndarray]:
+        """The three sums of samples from ``low`` on against those from ``high`` on."""
+
+        def hot(begin: int, value: np.ndarray) -> np.ndarray:
+            own = (i >= begin) & (i < begin + TILE)
+            out = np.zeros((n, min(TILE, n_samples - begin)), number)
+            out[key[own], i[own] - begin] = value[own]
+            return out
+
+        def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+            return (hot(low, left).T @ hot(high, right)).astype(np.float64)
+
+        shared = product(np.ones(len(mask)), np.ones(len(mask)))
+        if kind == "chance":
+            seen = [m for m in range(1, 16) if (mask == m).any()]
+            same = sum(product(mask == m, chance[m, mask]) for m in seen)
+            return [shared, sum(product(mask == m, chance[m, mask] > 0) for m in seen), shared - same]
+        codes = plain if kind == "plain" else range(1, 16)
+        single = np.isin(mask, plain)
+        matched = product(single, single) if kind == "plain" else shared
+        return [shared, matched, matched - sum(product(mask == m, mask == m) for m in codes if (mask == m).any())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[np.ndarray]] = {}
+
+        def told(pair: int) -> pa.RecordBatch:
+            low, high = (TILE * t for t in pairs[pair])
+            shared, matched, differ = sums.pop(pair)
+            at = np.nonzero((shared > 0) & (np.arange(len(shared))[:, None] + low <= np.arange(shared.shape[1]) + high))
+            return pa.RecordBatch.from_arrays(
+                [pa.array((at[0] + low).astype(np.int32)), pa.array((at[1] + high).astype(np.int32)), pa.array(shared[at].astype(np.int64)), pa.array(matched[at].astype(np.int64)), pa.array(differ[at])],
+                names=["i1", "i2", "shared", "matched", "differ"],
+            )
+
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK_KEYS):
+                part = batch.slice(lo, BLOCK_KEYS)
+                pair, cells = part["pair"].to_numpy(), part["cells"]
+                key = np.repeat(np.arange(part.num_rows), pc.list_value_length(cells).to_numpy())
+                flat = cells.flatten()
+                i, mask = flat.field("i").to_numpy(), flat.field("mask").to_numpy().astype(np.int64)
+                for own in np.unique(pair).tolist():
+                    for done in [p for p in sums if p != own]:
+                        yield told(done)
+                    at = pair[key] == own
+                    more = add_up(key[at], i[at], mask[at], part.num_rows, *(TILE * t for t in pairs[own]))
+                    sums[own] = [a + b for a, b in zip(sums[own], more, strict=True)] if own in sums else more
+        for own in list(sums):
+            yield told(own)
+
+    rows = keys.select(F.explode(F.sequence(F.lit(0), F.lit(len(pairs) - 1))).alias("pair"), "cells")
+    if tiles > 1:
+        tile = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in pairs])
+        rows = rows.select("pair", F.filter("cells", lambda c: F.array_contains(F.element_at(tile, F.col("pair") + 1), F.floor(c["i"] / TILE).cast("int"))).alias("cells")).sortWithinPartitions("pair")
+    found = rows.mapInArrow(run, "i1 int, i2 int, shared long, matched long, differ double")
+    return found.groupBy("i1", "i2").agg(*[F.sum(c).alias(c) for c in ("shared", "matched", "differ")])
+
+
+def _numbered(index: Index) -> DataFrame:
+    """``i`` and ``sample`` of every sample in order."""
+    return index.kmers.sparkSession.createDataFrame([(i, n) for i, n in enumerate(index.names)], "i int, sample string")
+
+
+def _keys(index: Index) -> DataFrame:
+    """Every key with its statistics and ``cells`` (a list of at most one entry a sample)."""
+    order = F.create_map(*[x for i, n in enumerate(index.names) for x in (F.lit(n), F.lit(i))])
+    return key_stats(index, F.collect_list(F.struct(F.element_at(order, F.col("sample")).alias("i"), "mask")).alias("cells"))
 
 
 def distances(index: Index, allow_ambiguous: bool = False, min_freq: float = 0.0) -> DataFrame:
@@ -49,19 +131,14 @@ def distances(index: Index, allow_ambiguous: bool = False, min_freq: float = 0.0
     than ``min_freq`` of the samples are left out.
     """
     n = index.n_samples
-    stats = key_stats(index).where(F.col("n_present") >= (least_count(index, min_freq) if min_freq * n >= 1 else 0))
-    constant = stats.where(_CONSTANT.format(n=n)).agg(F.count("*").alias("constant"))
-    varying = index.kmers.join(stats.where(f"not ({_CONSTANT.format(n=n)})").select(*KEY), KEY, "left_semi")
-    each = varying.groupBy("sample").agg(F.count("*").alias("n"))
-    both_plain = (F.bit_count(F.col("m1")) == 1) & (F.bit_count(F.col("m2")) == 1)
-    if allow_ambiguous:
-        same = overlap(F.col("m1"), F.col("m2"))
-        sums = [F.sum((same > 0).cast("long")).alias("m"), F.sum(1 - same).alias("d")]
-    else:
-        sums = [F.sum(both_plain.cast("long")).alias("m"), F.sum((both_plain & (F.col("m1") != F.col("m2"))).cast("double")).alias("d")]
-    inner = _shared(index, varying).groupBy("sample1", "sample2").agg(F.count("*").alias("shared"), *sums)
+    least = least_count(index, min_freq) if min_freq * n >= 1 else 0
+    constant = key_stats(index).where((F.col("n_present") >= least) & F.expr(_CONSTANT.format(n=n))).agg(F.count("*").alias("constant"))
+    varying = _keys(index).where((F.col("n_present") >= least) & ~F.expr(_CONSTANT.format(n=n)))
+    sums = materialize(_products(index, varying, "chance" if allow_ambiguous else "plain"), "pair-sums")
+    each = sums.where("i1 = i2").select(F.col("i1").alias("i"), F.col("shared").alias("n"))
+    inner = sums.withColumnRenamed("matched", "m").withColumnRenamed("differ", "d")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    rows = _pairs(index, inner).join(each.select(F.col("sample").alias("sample1"), F.col("n").alias("n1")), "sample1", "left").join(each.select(F.col("sample").alias("sample2"), F.col("n").alias("n2")), "sample2", "left").join(F.broadcast(constant))
+    rows = _pairs(index, inner).join(each.toDF("i1", "n1"), "i1", "left").join(each.toDF("i2", "n2"), "i2", "left").join(F.broadcast(constant))
     rows = rows.withColumn("match_count", (zero("constant") + zero("m")).cast("long")).withColumn("mismatch_count", (zero("n1") + zero("n2") - 2 * zero("shared")).cast("long"))
     total = F.col("match_count") + F.col("mismatch_count")
     return rows.select("sample1", "sample2", F.coalesce("d", F.lit(0.0)).alias("distance"), F.when(total > 0, F.col("mismatch_count") / total).otherwise(0.0).alias("mismatches"), "match_count", "mismatch_count")
@@ -77,7 +154,7 @@ DISTANCE_HEADER = "Sample1\tSample2\tDistance\tMismatches (proportion)\tMatch co
 
 def snp_matrix(index: Index) -> DataFrame:
     """``sample1``, ``sample2``, ``snps``: shared keys with different codes, for all ordered pairs and the diagonal."""
-    inner = _shared(index, index.kmers).groupBy("sample1", "sample2").agg(F.sum((F.col("m1") != F.col("m2")).cast("long")).alias("snps"))
+    inner = _products(index, _keys(index), "code").select("i1", "i2", F.col("differ").cast("long").alias("snps"))
     upper = _pairs(index, inner).select("sample1", "sample2", F.coalesce("snps", F.lit(0)).alias("snps"))
     same = index.kmers.sparkSession.createDataFrame([(s, s, 0) for s in index.names], "sample1 string, sample2 string, snps long")
     return upper.unionByName(upper.select(F.col("sample2").alias("sample1"), F.col("sample1").alias("sample2"), "snps")).unionByName(same)

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom.functions.bases import UNKNOWN, key_digits, mask_code
 from strandloom.operators.index import KEY, Index
+from strandloom.sources.shared import partitions
 
 NO_FILTER, NO_CONST, NO_AMBIG, NO_AMBIG_OR_CONST = "no-filter", "no-const", "no-ambig", "no-ambig-or-const"
 
 
-def key_stats(index: Index) -> DataFrame:
-    """For each key: rows, unambiguous rows, distinct codes and distinct plain bases.
+def key_stats(index: Index, *more: Column) -> DataFrame:
+    """For each key: rows, unambiguous rows, distinct codes and distinct plain bases (and ``more``).
 
     Sets of codes are bit sets in one aggregation, so nothing is expanded for the
     distinct counts.
@@ -23,7 +28,7 @@ def key_stats(index: Index) -> DataFrame:
     bit = F.expr("shiftleft(1, mask)")
     return index.kmers.groupBy(*KEY).agg(
         F.count("*").alias("n_present"), F.count(F.when(plain, 1)).alias("n_plain"),
-        F.bit_count(F.bit_or(bit)).alias("n_codes"), F.bit_count(F.coalesce(F.bit_or(F.when(plain, bit)), F.lit(0))).alias("n_bases"),
+        F.bit_count(F.bit_or(bit)).alias("n_codes"), F.bit_count(F.coalesce(F.bit_or(F.when(plain, bit)), F.lit(0))).alias("n_bases"), *more,
     )
 
 
@@ -52,24 +57,38 @@ def apply_filters(index: Index, kind: str = NO_CONST, min_freq: float = 0.9, amb
     return index.with_kmers(kept)
 
 
-def columns(index: Index) -> DataFrame:
-    """``key`` and ``bases`` (one code for each sample in order, gaps as ``-``) of every key."""
+def _wide(index: Index) -> DataFrame:
+    """The key and ``bases`` (one code for each sample in order, gaps as ``-``) of every key."""
     masks = F.map_from_entries(F.collect_list(F.struct("sample", "mask")))
     wide = index.kmers.groupBy(*KEY).agg(masks.alias("m"))
     codes = F.transform(F.array(*[F.lit(n) for n in index.names]), lambda n: mask_code(F.try_element_at(F.col("m"), n)))
-    return wide.select(key_digits(index.k).alias("key"), F.array_join(codes, "").alias("bases"))
+    return wide.select(*KEY, F.array_join(codes, "").alias("bases"))
+
+
+def columns(index: Index) -> DataFrame:
+    """``key`` and ``bases`` (one code for each sample in order, gaps as ``-``) of every key."""
+    return _wide(index).select(key_digits(index.k).alias("key"), "bases")
 
 
 def alignment(index: Index) -> DataFrame:
     """``sample``, ``seq``: each sample's bases over all keys in key order, gaps as ``-``.
 
-    A sequence of the result holds one letter a key, as its format demands; the grid of
-    keys and samples is built by a join and gathered by sample.
+    A sequence of the result holds one letter a key, as its format demands.  Columns are
+    turned into pieces of rows where ranges of keys lie; only those are gathered by sample.
     """
     spark = index.kmers.sparkSession
-    names = spark.createDataFrame([(n,) for n in index.names], "sample string")
-    keys = index.kmers.select(*KEY).distinct()
-    grid = keys.withColumn("sample", F.explode(F.array(*[F.lit(n) for n in index.names])))
-    cells = grid.join(index.kmers, ["sample", *KEY], "left").select("sample", *KEY, mask_code(F.col("mask")).alias("code"))
-    rows = cells.groupBy("sample").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*KEY, "code"))), lambda c: c["code"]), "").alias("seq"))
-    return names.join(rows, "sample", "left").select("sample", F.coalesce("seq", F.lit("")).alias("seq"))
+    names = spark.createDataFrame([(i, n) for i, n in enumerate(index.names)], "i int, sample string")
+    n = len(index.names)
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for seq, batch in enumerate(batches):
+            if batch.num_rows:
+                grid = np.frombuffer("".join(batch["bases"].to_pylist()).encode(), np.uint8).reshape(-1, n)
+                pieces = [row.tobytes().decode() for row in np.ascontiguousarray(grid.T)]
+                yield pa.RecordBatch.from_pydict({"i": pa.array(range(n), pa.int32()), "part": pa.array([part] * n, pa.int32()), "piece_no": pa.array([seq] * n, pa.int32()), "piece": pieces})
+
+    ordered = _wide(index).repartitionByRange(partitions(spark), *KEY).sortWithinPartitions(*KEY).select("bases")
+    rows = ordered.mapInArrow(turn, "i int, part int, piece_no int, piece string").groupBy("i")
+    rows = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "piece_no", "piece"))), lambda c: c["piece"]), "").alias("seq"))
+    return names.join(rows, "i", "left").select("sample", F.coalesce("seq", F.lit("")).alias("seq"))

@@ -7,6 +7,7 @@ spaces is a union, adding to a sample is an aggregation, and no dense matrix exi
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.bases import check_k, key_digits, mask_code
 from strandloom.functions.kmers import gapped_kmers
+from strandloom.sources.shared import partitions, shared_dir
 
 KEY = ["key_hi", "key_lo"]
 VERSION = "1"
@@ -70,6 +72,18 @@ def build(seqs: DataFrame, k: int = 31, rc: bool = True, quality: str = "none",
     return Index(check_k(k), rc, tuple(names), kmers)
 
 
+def stored(index: Index) -> Index:
+    """The index written once, bucketed and sorted by key in the shared folder.
+
+    What aggregates or joins by key afterwards needs no shuffle, and an index that is
+    used several times is built once.
+    """
+    spark = index.kmers.sparkSession
+    name, path, n = f"strandloom_index_{uuid.uuid4().hex}", shared_dir(spark, "index"), partitions(spark)
+    index.kmers.repartition(n, *KEY).write.bucketBy(n, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+    return index.with_kmers(spark.table(name))
+
+
 def _same_kind(indexes: list[Index]) -> None:
     if len({(i.k, i.rc) for i in indexes}) > 1:
         raise ValueError("indexes differ in k or in strandedness")

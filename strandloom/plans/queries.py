@@ -36,7 +36,7 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def built(spark: SparkSession, d: str, k: int = K, rc: bool = True) -> Index:
-    return index.build(contigs(spark, d), k, rc)
+    return index.stored(index.build(contigs(spark, d), k, rc))
 
 
 def _rows(i: Index) -> DataFrame:
