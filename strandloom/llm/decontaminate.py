@@ -8,13 +8,14 @@ however long the document is (signatures of fixed length would miss short items
 long documents).  Documents look their shingles up in the sketches, and what meets is
 verified by exact containment, shingle by shingle.
 
-Items are few and documents many, so the sketches are sent to the documents, in
+Items are few and documents many, so tasks read the sketches from the shared folder, in
 portions of bounded size; documents aren't shuffled.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -23,8 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.resident import resident
 from strandloom.llm.tokens import in_blocks
 from strandloom.llm.words import Block, mix
+from strandloom.sources.shared import materialize, read_bytes, shared_dir, write_bytes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -98,20 +101,28 @@ def _words(block: Block, p: int) -> bytes:
     return b" ".join(block.data[a:b] for a, b in zip(block.start[p : p + SHINGLE].tolist(), block.end[p : p + SHINGLE].tolist(), strict=True))
 
 
-def portions(items: DataFrame, threshold: float = THRESHOLD, portion_bytes: int = PORTION_BYTES) -> list[Sketches]:
-    """Sketches of all items, in portions of about ``portion_bytes`` of text."""
+def portions(items: DataFrame, threshold: float = THRESHOLD, portion_bytes: int = PORTION_BYTES) -> list[str]:
+    """Files in the shared folder with the sketches of all items, each of about ``portion_bytes`` of text.
+
+    The driver holds one portion at a time, and so does a task.
+    """
     items = items.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / portion_bytes))
-    out = []
+    out, folder = [], shared_dir(items.sparkSession, "sketches")
     for i in range(n):
         part = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == i) if n > 1 else items
         rows = part.toArrow()
-        out.append(Sketches(rows["item_id"].to_pylist(), rows["text"].to_pylist(), threshold))
+        out.append(f"{folder}/portion-{i:06d}.bin")
+        write_bytes(out[-1], pickle.dumps(Sketches(rows["item_id"].to_pylist(), rows["text"].to_pylist(), threshold)))
     return out
 
 
-def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def _sketches(path: str) -> Sketches:
+    return resident("table", ("sketches", path), lambda: pickle.loads(read_bytes(path)))
+
+
+def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, portion_bytes: int = PORTION_BYTES) -> DataFrame:
     """``doc_id``, ``item_id``, ``n_item``, ``n_shared``, ``containment`` for each item that a document contains.
 
     Words are runs of ASCII letters and digits and of all other non-ASCII signs, lower
@@ -119,8 +130,9 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Dat
     repeated documents and items come back once each; other columns play no part.
     """
 
-    def matches(own: Sketches) -> DataFrame:
+    def matches(path: str) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = _sketches(path)
             for batch in in_blocks(batches, max_bytes=1 << 20):
                 found = own.search(Block([_lower(t) for t in batch["text"].to_pylist()], _PART), batch.num_rows)
                 rows = [(r, *x) for r, hits in enumerate(found) for x in hits]
@@ -132,27 +144,29 @@ def find(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Dat
 
         return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _FOUND)
 
-    parts = [matches(own) for own in portions(items, threshold)]
+    parts = [matches(path) for path in portions(items, threshold, portion_bytes)]
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, portion_bytes: int = PORTION_BYTES) -> DataFrame:
     """``docs`` without the rows that contain an item."""
 
-    def keep(own: Sketches):
+    def keep(path: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = _sketches(path)
             for batch in in_blocks(batches, max_bytes=1 << 20):
                 found = own.search(Block([_lower(t) for t in batch["text"].to_pylist()], _PART), batch.num_rows)
                 yield batch.filter(pa.array([not hits for hits in found]))
 
         return run
 
-    for own in portions(items, threshold):
-        docs = docs.mapInArrow(keep(own), docs.schema)
-    return docs
+    *others, last = portions(items, threshold, portion_bytes)
+    for path in others:
+        docs = materialize(docs.mapInArrow(keep(path), docs.schema), "without-items")
+    return docs.mapInArrow(keep(last), docs.schema)
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

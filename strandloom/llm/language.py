@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandloom.llm.resident import resident
+from strandloom.llm.resident import release, resident
 from strandloom.llm.tokens import in_blocks
 from strandloom.llm.words import mix
 
@@ -59,7 +59,7 @@ def _letter_table() -> tuple[np.ndarray, np.ndarray]:
 
 def letter_table() -> tuple[np.ndarray, np.ndarray]:
     """See :func:`_letter_table`.  Marks stand in words, so that they don't cut them, but make none."""
-    return resident("letters", _letter_table)
+    return resident("letters", 0, _letter_table)
 
 
 class Words:
@@ -248,6 +248,7 @@ def keep_known(docs: DataFrame) -> DataFrame:
     model = fit_on(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in in_blocks(batches, max_bytes=BLOCK_BYTES):
             pred, _ = label_texts(batch["text"].to_pylist(), model)
             pred = pa.array([None if p == UNKNOWN else p for p in pred], pa.string())

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm.resident import release
 from strandloom.llm.tagger import KINDS, TAGS, Tagger, symbols
 from strandloom.llm.tokens import in_blocks
 
@@ -293,6 +294,7 @@ def redact(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     tagger = tagger or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in in_blocks(batches):
             texts = batch["text"].to_pylist()
             found = find_spans([t or "" for t in texts], tagger)

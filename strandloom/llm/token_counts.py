@@ -139,7 +139,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = resident(("counter", path), lambda: Counter(path))
+        counter = resident("table", ("counter", path), lambda: Counter(path))
         for batch in in_blocks(batches):
             n = counter.count(batch["text"])
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n[:, 0]), pa.array(n[:, 1])], names=["doc_id", "n_words", "n_tokens"])

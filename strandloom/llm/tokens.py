@@ -124,7 +124,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The worker process's encoder for this file; it lasts from task to task."""
-    return resident(("encoder", path), lambda: Encoder(path))
+    return resident("table", ("encoder", path), lambda: Encoder(path))
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:

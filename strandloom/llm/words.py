@@ -28,10 +28,10 @@ def _powers(n: int) -> list[np.ndarray]:
 
 
 def _tables(n: int) -> list[np.ndarray]:
-    own = resident("powers", lambda: _powers(n))
+    own = resident("powers", 0, lambda: _powers(n))
     if len(own[0]) < n:
-        release()
-        own = resident("powers", lambda: _powers(n))
+        release("powers")
+        own = resident("powers", 0, lambda: _powers(n))
     return own
 
 

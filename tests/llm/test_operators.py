@@ -160,7 +160,8 @@ def test_decontamination(spark, docs, empty):
                 want.append((d, i, n, m, m / n))
     assert rows(decontaminate.find(table, items)) == sorted(want, key=repr) and {w[0] for w in want} == {100, 101, 102, 104}
     parts = decontaminate.portions(items, portion_bytes=150)
-    assert len(parts) > 1
+    assert len(parts) > 1 and rows(decontaminate.find(table, items, portion_bytes=150)) == sorted(want, key=repr)
+    assert rows(decontaminate.drop_contaminated(table, items, portion_bytes=150)) == rows(decontaminate.drop_contaminated(table, items))
     kept = decontaminate.drop_contaminated(table, items)
     assert kept.columns == table.columns and kept.count() == table.count() - 4
     assert decontaminate.find(empty, items).count() == 0 and decontaminate.find(docs, items.where("false")).count() == 0
