@@ -45,6 +45,7 @@ def parser() -> argparse.ArgumentParser:
 
     build = command("build", "index samples")
     build.add_argument("-k", type=_k, default=31)
+    build.add_argument("--pair-reads", action="store_true", help="files whose names differ in 1 and 2 are one sample's reads")
     build.add_argument("--single-strand", action="store_true")
     build.add_argument("--min-count", default=None, help="a number or auto")
     build.add_argument("--min-qual", type=int, default=20)
@@ -59,6 +60,10 @@ def parser() -> argparse.ArgumentParser:
     dist = command("distance", "pairwise distances")
     dist.add_argument("-m", "--min-freq", type=_share, default=0.0)
     dist.add_argument("--allow-ambiguous", action="store_true")
+    dist.add_argument("--clusters", help="write single-linkage clusters as CSV")
+    dist.add_argument("--max-snps", type=float, default=10)
+    dist.add_argument("--max-mismatches", type=float, default=1.0)
+    dist.add_argument("--tree", help="write a midpoint-rooted neighbour-joining tree")
     command("merge", "join indexes")
     delete = command("delete", "drop samples")
     delete.add_argument("-n", "--names", nargs="*", default=[])
@@ -85,12 +90,14 @@ def main(args: list[str] | None = None) -> int:
 
     from strandloom.operators import coverage, distance, filters, index, refmap
     from strandloom.sources import sequences, sinks
+    from strandloom.sources.shared import materialize
 
     a = parser().parse_args(args)
     spark = SparkSession.builder.appName("strandloom").getOrCreate()
     strandloom.ship(spark)
     emit = lambda lines: sinks.write(lines, a.output) if a.output else sinks.show(lines)
-    listed = sequences.file_list(spark, a.file_list) if a.file_list and a.command != "delete" else sequences.files(spark, a.inputs)
+    files = sequences.paired_files if getattr(a, "pair_reads", False) else sequences.files
+    listed = sequences.file_list(spark, a.file_list) if a.file_list and a.command != "delete" else files(spark, a.inputs)
 
     def one() -> index.Index:
         """A saved index, or one built with the defaults from several files."""
@@ -101,7 +108,8 @@ def main(args: list[str] | None = None) -> int:
         paired = [r[0] for r in listed.where(sequences.is_paired()).select("sample").collect()]
         least = coverage.choose_min_count(a.min_count, reads, paired, a.k, not a.single_strand)
         names = [r[0] for r in listed.select("sample").collect()]
-        index.save(index.build(reads, a.k, not a.single_strand, {"no-filter": "none"}.get(a.qual_filter, a.qual_filter), a.min_qual, least, a.proportion_reads, names), a.output)
+        own = index.build(reads, a.k, not a.single_strand, {"no-filter": "none"}.get(a.qual_filter, a.qual_filter), a.min_qual, least, a.proportion_reads, names)
+        index.save(index.check_samples(index.stored(own)), a.output)
     elif a.command == "merge":
         index.save(index.merge([index.load(spark, p) for p in a.inputs]), a.output)
     elif a.command == "delete":
@@ -115,17 +123,26 @@ def main(args: list[str] | None = None) -> int:
     elif a.command == "map":
         own = one()
         ref = refmap.reference(sequences.reference_contigs(spark, a.reference), own.k, own.rc)
+        refmap.check(own, ref)
         if a.format == "aln":
             emit(sinks.fasta_lines(refmap.pseudoalignment(own, ref, a.ambig_mask, a.repeat_mask)))
         else:
             sites = refmap.vcf(own, ref, a.ambig_mask, a.repeat_mask).join(F.broadcast(ref.contigs.select("chrom", "name")), "chrom")  # one row a contig
             emit(sinks.vcf_lines(sites, own.names, F.col("name")))
     elif a.command == "distance":
-        emit(sinks.distance_table(distance.distances(one(), a.allow_ambiguous, a.min_freq)))
+        own = one()
+        found = materialize(distance.distances(own, a.allow_ambiguous, a.min_freq), "distances")
+        emit(sinks.distance_table(found))
+        if a.clusters:
+            sinks.write(sinks.cluster_table(distance.single_linkage(found, own.names, a.max_snps, a.max_mismatches)), a.clusters)
+        if a.tree:
+            sinks.write(sinks.one_line(spark, distance.tree(found, own.names, rooted=True)), a.tree)
     elif a.command == "nk":
         own = one()
-        (index.full_info(own) if a.full_info else index.summary(own)).show(1 << 30 if a.full_info else 20, truncate=False)
+        index.summary(own).show(truncate=False)
         index.sample_counts(own).show(len(own.names), truncate=False)
+        if a.full_info:  # one line a key: written where an output is given, else shown from an iterator
+            emit(index.full_info(own).select(F.lit(1).alias("section"), F.col("key").alias("a"), F.lit("").alias("b"), F.concat_ws("\t", "key", "bases").alias("line")))
     elif a.command == "cov":
         bins = coverage.histogram(coverage.kmer_counts(sequences.read(listed), a.k, not a.single_strand))
         coverage.table(bins, coverage.fit([r["n_kmers"] for r in bins.orderBy("count").collect()])).orderBy("count").show(coverage.MAX_COUNT, truncate=False)

@@ -118,11 +118,15 @@ def min_count(reads: DataFrame, k: int, rc: bool = True, min_bin: int = MIN_BIN)
 
 
 def choose_min_count(choice: int | str | None, reads: DataFrame, samples: list[str], k: int, rc: bool = True) -> int:
-    """5 unless a number is given; ``auto`` fits the coverage of the first two read samples, if there are two."""
+    """5 unless a number is given; ``auto`` fits the coverage of the first files of the first two read samples, if there are two.
+
+    Without a ``file_no`` all of a sample's reads are its first file.
+    """
     if choice is None:
         return 5
     if choice == "auto":
-        return min_count(reads.where(F.col("sample").isin(samples[:2])), k, rc).cutoff if len(samples) >= 2 else 5
+        first = reads.where(F.col("file_no") == 0) if "file_no" in reads.columns else reads
+        return min_count(first.where(F.col("sample").isin(samples[:2])), k, rc).cutoff if len(samples) >= 2 else 5
     if int(choice) < 1:
         raise ValueError("a minimum count is at least 1")
     return int(choice)

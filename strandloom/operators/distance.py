@@ -180,36 +180,80 @@ def phylip(found: DataFrame, names: tuple[str, ...]) -> DataFrame:
     return wide.select(F.col("sample1").alias("sample"), F.array_join(cells, "\t").alias("row"))
 
 
-def neighbour_joining(matrix: np.ndarray, names: list[str]) -> str:
-    """A Newick tree of a distance matrix by neighbour joining.  Small by nature: one leaf a sample.
+def joined_edges(matrix: np.ndarray) -> list[tuple[int, int, float]]:
+    """Edges (node, node, length) of the neighbour-joining tree; leaves are numbered first.
 
     Ties go to the pair first in order; negative branches are 0.
     """
-    label, d = [n.replace(" ", "_") for n in names], np.array(matrix, float)
-    if len(label) < 3:
-        if len(label) < 2:
-            return f"({label[0]});" if label else "();"
-        return f"({label[0]}:{d[0, 1] / 2:.6f},{label[1]}:{d[0, 1] / 2:.6f});"
-    while len(label) > 3:
-        n, total = len(label), d.sum(axis=1)
+    d = np.array(matrix, float)
+    node, edges, new = list(range(len(d))), [], len(d)
+    while len(node) > 3:
+        n, total = len(node), d.sum(axis=1)
         q = (n - 2) * d - total[:, None] - total[None, :]
         np.fill_diagonal(q, math.inf)
         i, j = divmod(int(q.argmin()), n)
         left = d[i, j] / 2 + (total[i] - total[j]) / (2 * (n - 2))
-        right = d[i, j] - left
-        new = (d[i] + d[j] - d[i, j]) / 2
+        edges += [(new, node[i], max(left, 0.0)), (new, node[j], max(d[i, j] - left, 0.0))]
+        apart = (d[i] + d[j] - d[i, j]) / 2
         keep = [x for x in range(n) if x not in (i, j)]
-        joined = f"({label[i]}:{max(left, 0):.6f},{label[j]}:{max(right, 0):.6f})"
-        label = [label[x] for x in keep] + [joined]
-        d = np.block([[d[np.ix_(keep, keep)], new[keep][:, None]], [new[keep][None, :], np.zeros((1, 1))]])
-    a, b, c = (d[0, 1] + d[0, 2] - d[1, 2]) / 2, (d[0, 1] + d[1, 2] - d[0, 2]) / 2, (d[0, 2] + d[1, 2] - d[0, 1]) / 2
-    return f"({label[0]}:{max(a, 0):.6f},{label[1]}:{max(b, 0):.6f},{label[2]}:{max(c, 0):.6f});"
+        node, new = [node[x] for x in keep] + [new], new + 1
+        d = np.block([[d[np.ix_(keep, keep)], apart[keep][:, None]], [apart[keep][None, :], np.zeros((1, 1))]])
+    if len(node) == 2:
+        return [*edges, (node[0], node[1], max(d[0, 1], 0.0))]
+    for own, (x, y) in enumerate([(1, 2), (0, 2), (0, 1)][: len(node) if len(node) == 3 else 0]):
+        edges.append((new, node[own], max((d[own, x] + d[own, y] - d[x, y]) / 2, 0.0)))
+    return edges
 
 
-def tree(found: DataFrame, names: tuple[str, ...], value: str = "distance") -> str:
+def newick(edges: list[tuple[int, int, float]], names: list[str], rooted: bool = False) -> str:
+    """The tree in Newick form: at its last joint, or ``rooted`` in the middle of its longest path.
+
+    Of equally long paths the first in the order of leaves counts.
+    """
+    label, near = [n.replace(" ", "_") for n in names], {}
+    for a, b, length in edges:
+        near.setdefault(a, []).append((b, length))
+        near.setdefault(b, []).append((a, length))
+    if not edges:
+        return f"({label[0]});" if label else "();"
+
+    def from_(leaf: int) -> dict[int, tuple[float, int]]:
+        """Distance of every node, and the node before it."""
+        seen, todo = {leaf: (0.0, -1)}, [leaf]
+        for at in todo:  # grows while it is read
+            for to, length in near[at]:
+                if to not in seen:
+                    seen[to] = (seen[at][0] + length, at)
+                    todo.append(to)
+        return seen
+
+    def told(at: int, before: int) -> str:
+        parts = [f"{told(to, at)}:{length:.6f}" for to, length in near[at] if to != before]
+        return f"({','.join(parts)})" if at >= len(label) else label[at]
+
+    if len(label) == 2 and not rooted:
+        return f"({label[0]}:{edges[0][2] / 2:.6f},{label[1]}:{edges[0][2] / 2:.6f});"
+    if not rooted:
+        return told(max(near), -1) + ";"
+    far, first, last = max(((from_(a)[b][0], -a, -b) for a in range(len(label)) for b in range(a + 1, len(label))))
+    seen, at = from_(-first), -last
+    while seen[at][1] >= 0 and seen[seen[at][1]][0] > far / 2:
+        at = seen[at][1]
+    before = seen[at][1]
+    up = seen[at][0] - far / 2
+    down = far / 2 - seen[before][0]
+    return f"({told(before, at)}:{down:.6f},{told(at, before)}:{up:.6f});"
+
+
+def neighbour_joining(matrix: np.ndarray, names: list[str], rooted: bool = False) -> str:
+    """A Newick tree of a distance matrix by neighbour joining.  Small by nature: one leaf a sample."""
+    return newick(joined_edges(matrix) if len(names) > 1 else [], list(names), rooted)
+
+
+def tree(found: DataFrame, names: tuple[str, ...], value: str = "distance", rooted: bool = False) -> str:
     """The neighbour-joining tree of all pairs (one number for each pair of samples comes to the driver)."""
     at = {n: i for i, n in enumerate(names)}
     matrix = np.zeros((len(names), len(names)))
     for a, b, v in found.select("sample1", "sample2", value).collect():
         matrix[at[a], at[b]] = matrix[at[b], at[a]] = v
-    return neighbour_joining(matrix, list(names))
+    return neighbour_joining(matrix, list(names), rooted)

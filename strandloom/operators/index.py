@@ -131,6 +131,14 @@ def sample_counts(index: Index) -> DataFrame:
     return names.join(index.kmers.groupBy("sample").agg(F.count("*").alias("n")), "sample", "left").select("sample", F.coalesce("n", F.lit(0)).cast("long").alias("n_kmers"))
 
 
+def check_samples(index: Index) -> Index:
+    """The index, if every sample has a k-mer; else an error that names those without."""
+    none = [r["sample"] for r in sample_counts(index).where("n_kmers = 0").orderBy("sample").collect()]  # names of samples
+    if none:
+        raise ValueError(f"no valid k-mers in: {', '.join(none)}")
+    return index
+
+
 def summary(index: Index) -> DataFrame:
     """One row: ``k``, ``k_bits``, ``rc``, ``n_kmers`` (distinct keys), ``n_samples``."""
     return index.kmers.select(*KEY).distinct().agg(F.count("*").alias("n_kmers")).select(

@@ -41,6 +41,14 @@ def reference(contigs: DataFrame, k: int, rc: bool = True) -> Reference:
     return Reference(k, rc, contigs, rows)
 
 
+def check(index: Index, ref: Reference) -> None:
+    """An error if the reference has no k-mers, or none of the samples' k-mers is in it."""
+    if ref.kmers.isEmpty():
+        raise ValueError("the reference has no valid k-mers")
+    if hits(index, ref).isEmpty():
+        raise ValueError("no k-mers of the samples map to the reference")
+
+
 def repeats(ref: Reference) -> DataFrame:
     """Keys that occur more than once over all contigs, and how often."""
     return ref.kmers.groupBy(*KEY).agg(F.count("*").alias("n")).where("n > 1")
@@ -92,7 +100,7 @@ def cells(index: Index, ref: Reference, ambig_mask: bool = False, repeat_mask: b
     have one middle each, so none does) would join their masks.
     """
     found = hits(index, ref).groupBy("sample", "chrom", "pos").agg(F.bit_or("mask").alias("mask"))
-    lengths = F.broadcast(ref.contigs.select("chrom", F.length("seq").alias("length")))  # one row for each contig
+    lengths = ref.contigs.select("chrom", F.length("seq").alias("length"))
     rows = cover(found, ref.h, lengths).join(found, ["sample", "chrom", "pos"], "left").join(reference_bases(ref), ["chrom", "pos"])
     code = F.when(F.col("mask").isNull(), F.col("base"))
     if ambig_mask:
@@ -106,13 +114,16 @@ def cells(index: Index, ref: Reference, ambig_mask: bool = False, repeat_mask: b
 
 
 def _line(rows: DataFrame, by: list[str]) -> DataFrame:
-    """Covered stretches of each group joined to a sequence of the contig's length, gaps as ``-``."""
+    """Covered stretches of each group joined to a sequence of the contig's length, gaps as ``-``.
+
+    Each stretch brings the gap before it, so the letters are joined once.
+    """
     gathered = rows.groupBy(*by, "length").agg(F.array_sort(F.collect_list(F.struct("pos", "code"))).alias("c"))
-    full = F.aggregate(
-        "c", F.struct(F.lit("").alias("s"), F.lit(0).alias("at")),
-        lambda acc, x: F.struct(F.concat(acc["s"], F.repeat(F.lit("-"), x["pos"] - acc["at"]), x["code"]).alias("s"), (x["pos"] + F.length(x["code"])).cast("int").alias("at")),
-    )
-    return gathered.withColumn("f", full).select(*by, F.concat("f.s", F.repeat(F.lit("-"), F.col("length") - F.col("f.at"))).alias("seq"))
+    end = lambda x: x["pos"] + F.length(x["code"])
+    before = lambda i: F.when(i == 0, 0).otherwise(end(F.get("c", i - 1)))
+    pieces = F.transform("c", lambda x, i: F.concat(F.repeat(F.lit("-"), (x["pos"] - before(i)).cast("int")), x["code"]))
+    last = F.element_at("c", -1)
+    return gathered.select(*by, F.concat(F.array_join(pieces, ""), F.repeat(F.lit("-"), (F.col("length") - end(last)).cast("int"))).alias("seq"))
 
 
 def pseudoalignment(index: Index, ref: Reference, ambig_mask: bool = False, repeat_mask: bool = False) -> DataFrame:
@@ -126,7 +137,7 @@ def pseudoalignment(index: Index, ref: Reference, ambig_mask: bool = False, repe
     pieces = rows.withColumn("slice", F.floor(F.col("pos") / SLICE)).withColumn("island", island).groupBy("sample", "chrom", "slice", "island").agg(
         F.min("pos").alias("pos"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "code"))), lambda x: x["code"]), "").alias("code")
     )
-    lengths = F.broadcast(ref.contigs.select("chrom", F.length("seq").cast("int").alias("length")))
+    lengths = ref.contigs.select("chrom", F.length("seq").cast("int").alias("length"))
     mapped = _line(pieces.join(lengths, "chrom"), ["sample", "chrom"])
     names = spark.createDataFrame([(n,) for n in index.names], "sample string")
     grid = names.crossJoin(lengths).join(mapped, ["sample", "chrom"], "left").select("sample", "chrom", F.coalesce("seq", F.repeat(F.lit("-"), F.col("length"))).alias("seq"))

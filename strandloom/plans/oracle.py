@@ -51,7 +51,7 @@ def _code(mask: str) -> str:
     return f"substr('{CODES}', {mask} + 1, 1)"
 
 
-_DIGEST = "SELECT sample, count(*) AS n_keys, sum(mask)::BIGINT AS sum_mask, min(key) AS first_key, max(key) AS last_key FROM ({rows}) GROUP BY sample"
+_DIGEST = "SELECT sample, count(*) AS n_keys, sum(mask)::BIGINT AS sum_mask, min(key) AS first_key, max(key) AS last_key, sum(('0x' || substr(md5(key), 1, 9))::BIGINT * mask)::BIGINT AS hashes FROM ({rows}) GROUP BY sample"
 _PLAIN = "bit_count(mask) = 1"
 
 
@@ -154,7 +154,7 @@ SQL = {
     "build_index_k63": _DIGEST.format(rows=_index(_documents(), 63)),
     "sample_kmer_counts": f"SELECT s.sample, count(i.key) AS n_kmers FROM (SELECT DISTINCT source AS sample FROM documents WHERE text IS NOT NULL) s LEFT JOIN ({_index(_documents())}) i ON i.sample = s.sample GROUP BY s.sample",
     "nk_summary": f"SELECT {_K} AS k, 64 AS k_bits, true AS rc, count(DISTINCT key) AS n_kmers, count(DISTINCT sample) AS n_samples FROM ({_index(_documents())})",
-    "nk_full_info": _filtered("true", _TENTH) + _columns(","),
+    "nk_full_info": _filtered("true", "0") + _columns(","),
     "align_no_filter": _filtered("true", _TENTH) + _columns(),
     "align_no_const": _filtered(_CONST, _TENTH) + _columns(),
     "align_no_ambig": _filtered("n_present = n_plain", _TENTH) + _columns(),
@@ -195,7 +195,7 @@ SQL = {
     "map_coverage": _mapped() + " SELECT n.sample, count(cell.pos) AS covered, round(count(cell.pos) / (SELECT count(*) FROM base)::DOUBLE, 9) AS coverage FROM n LEFT JOIN cell ON cell.sample = n.sample GROUP BY n.sample",
     "vcf_sites": _vcf("chrom, pos, ref, alt"),
     "vcf_genotypes": _vcf("*", repeats=True),
-    "cov_counts": f"SELECT key, count(*) AS n FROM ({_kmers(_reads(), _K)}) GROUP BY key HAVING count(*) > 1",
+    "cov_counts": f"SELECT key, count(*) AS n FROM ({_kmers(_reads(), _K)}) GROUP BY key",
     "cov_histogram": _HISTOGRAM,
     "cov_density": f"""SELECT count, n_kmers, round(exp(a) + exp(b), 9) AS density, CASE WHEN a < b THEN 'Coverage' ELSE 'Error' END AS component FROM
       (SELECT *, ln(0.8) - lgamma(count + 1) - 1 AS a, ln(0.2) + count * ln(20) - lgamma(count + 1) - 20 AS b FROM ({_HISTOGRAM}))""",

@@ -44,8 +44,9 @@ def _rows(i: Index) -> DataFrame:
 
 
 def _digest(i: Index) -> DataFrame:
-    """For each sample: keys, sum of masks, first and last key."""
-    return _rows(i).groupBy("sample").agg(F.count("*").alias("n_keys"), F.sum("mask").alias("sum_mask"), F.min("key").alias("first_key"), F.max("key").alias("last_key"))
+    """For each sample: keys, sum of masks, first and last key, and a sum of hashes over all rows."""
+    mixed = F.conv(F.substr(F.md5("key"), F.lit(1), F.lit(9)), 16, 10).cast("long") * F.col("mask")
+    return _rows(i).groupBy("sample").agg(F.count("*").alias("n_keys"), F.sum("mask").alias("sum_mask"), F.min("key").alias("first_key"), F.max("key").alias("last_key"), F.sum(mixed).alias("hashes"))
 
 
 def _reference_windows(spark: SparkSession, d: str, k: int = K, rc: bool = True) -> DataFrame:
@@ -136,7 +137,7 @@ def _left_out(part: str):
         if part == "snps":
             return called.select("gid", "pos", "column")
         if part == "placed":
-            return graph.place(called, found, reference_contigs(spark, d), 30)
+            return graph.place(called, found, reference_contigs(spark, d), 30).select("gid", "pos", "column", "chrom", "genome_pos")
         return calls if part == "indels" else found.select("entry", "exit", "kind", "path", "seq")
 
     return run
@@ -156,7 +157,7 @@ QUERIES = {
     "build_index_k63": lambda s, d: _digest(built(s, d, 63)),
     "sample_kmer_counts": lambda s, d: index.sample_counts(built(s, d)),
     "nk_summary": lambda s, d: index.summary(built(s, d)),
-    "nk_full_info": lambda s, d: index.full_info(filters.apply_filters(built(s, d), filters.NO_FILTER, 0.1)),
+    "nk_full_info": lambda s, d: index.full_info(built(s, d)),
     "align_no_filter": _aligned(filters.NO_FILTER),
     "align_no_const": _aligned(filters.NO_CONST),
     "align_no_ambig": _aligned(filters.NO_AMBIG),
@@ -193,7 +194,7 @@ QUERIES = {
     "map_coverage": lambda s, d: refmap.map_coverage(*_mapped(s, d)).select("sample", "covered", F.round("coverage", 9).alias("coverage")),
     "vcf_sites": lambda s, d: refmap.vcf(*_mapped(s, d)).select("chrom", "pos", "ref", "alt"),
     "vcf_genotypes": lambda s, d: refmap.vcf(*_mapped(s, d), repeat_mask=True),
-    "cov_counts": lambda s, d: coverage.kmer_counts(reads(s, d), K).where("n > 1").select(key_digits(K).alias("key"), "n"),
+    "cov_counts": lambda s, d: coverage.kmer_counts(reads(s, d), K).select(key_digits(K).alias("key"), "n"),
     "cov_histogram": lambda s, d: coverage.histogram(coverage.kmer_counts(contigs(s, d), 9)),
     "cov_density": lambda s, d: coverage.density(coverage.histogram(coverage.kmer_counts(contigs(s, d), 9)), 0.8, 20.0).select("count", "n_kmers", F.round("density", 9).alias("density"), "component"),
     "cov_cutoff": lambda s, d: s.createDataFrame([astuple(coverage.min_count(contigs(s, d), 9))], "errors double, coverage double, cutoff int"),

@@ -61,6 +61,12 @@ def pair_reads(paths: list[str]) -> list[tuple[str, str, str | None]]:
     return out
 
 
+def paired_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """The file list of single files and of pairs of read files, found by their names."""
+    rows = spark.createDataFrame(pair_reads(paths), "name string, path1 string, path2 string")
+    return rows.select(F.when(F.col("path2").isNull(), sample_name(F.col("path1"))).otherwise(F.col("name")).alias("sample"), "path1", "path2")
+
+
 def _open(path: str) -> io.BufferedIOBase:
     store, name = pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
     raw = io.BufferedReader(store.open_input_file(name), 1 << 20)

@@ -1,7 +1,8 @@
 """Shared working storage: tables that every executor can read, written once.
 
-The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where
-that is unset (unit tests in local mode) a temporary folder is made.
+The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only in local
+mode, where that is unset (unit tests), a temporary folder is made; on a cluster an
+unset folder is an error, since no other machine could read it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the shared folder, as a URI."""
     base = spark.sparkContext.getConf().get(_SETTING) or spark.conf.get(_SETTING, None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {_SETTING} to a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set(_SETTING, base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

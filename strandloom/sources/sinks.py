@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.operators.distance import DISTANCE_HEADER, distance_lines
@@ -59,6 +59,11 @@ def vcf_lines(sites: DataFrame, names: Sequence[str], contig: F.Column | None =
     return _with_header(rows, ["##fileformat=VCFv4.2", '##FORMAT=<ID=GT,Number=1,Type=String,Description="Genotype">', head])
 
 
+def one_line(spark: SparkSession, line: str) -> DataFrame:
+    """A text of one line, such as a tree."""
+    return spark.createDataFrame([(1, "", "", line)], "section int, a string, b string, line string")
+
+
 def json_result(**columns: F.Column | str) -> F.Column:
     """One JSON object of named columns."""
     return F.to_json(F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(name) for name, c in columns.items()]))

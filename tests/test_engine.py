@@ -1,6 +1,7 @@
 """Small sequences with results known from the definitions, and brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -125,10 +126,132 @@ def test_distances(spark):
     assert lines[0].startswith("Sample1") and len(lines) == 4
 
 
+def depths(tree):
+    """The distance of every leaf from the root of a Newick tree."""
+    out, stack, own = {}, [], []
+    for part in re.findall(r"\(|\)|,|:[-0-9.]+|[^(),:;]+", tree):
+        if part == "(":
+            stack.append(own)
+            own = []
+        elif part == ")":
+            done, own = own, stack.pop()
+            own.append({leaf: v for child in done for leaf, v in child.items()})
+        elif part.startswith(":"):
+            own[-1] = {leaf: v + float(part[1:]) for leaf, v in own[-1].items()}
+        elif part != ",":
+            own.append({part: 0.0})
+    return own[0]
+
+
+def test_trees_of_few_samples():
+    assert distance.neighbour_joining(np.zeros((1, 1)), ["x"]) == "(x);"
+    assert distance.neighbour_joining(np.array([[0, 4.0], [4, 0]]), ["x", "y z"]) == "(x:2.000000,y_z:2.000000);"
+    assert set(depths(distance.neighbour_joining(np.array([[0, 4.0], [4, 0]]), ["x", "y"], rooted=True)).values()) == {2.0}
+    three = np.array([[0, 3, 9], [3, 0, 8], [9, 8, 0.0]])
+    assert distance.neighbour_joining(three, ["x", "y", "z"]) == "(x:2.000000,y:1.000000,z:7.000000);"
+    got = depths(distance.neighbour_joining(three, ["x", "y", "z"], rooted=True))
+    assert got == {"x": 4.5, "y": 3.5, "z": 4.5}
+    assert distance.neighbour_joining(np.zeros((4, 4)), list("abcd"), rooted=True).count(":") == 6
+
+
+def test_distances_by_tiles(spark, monkeypatch):
+    rows = [(f"s{i}", put(BASE[: 200 - i], 50, "ACGTN"[i % 5])) for i in range(7)]
+    one = index.build(seqs(spark, rows), 15)
+    want = [distance.distances(one, allow_ambiguous=a).orderBy("sample1", "sample2").collect() for a in (False, True)] + [distance.snp_matrix(one).orderBy("sample1", "sample2").collect()]
+    monkeypatch.setattr(distance, "TILE", 3)
+    monkeypatch.setattr(distance, "BLOCK_KEYS", 16)
+    assert [distance.distances(one, allow_ambiguous=a).orderBy("sample1", "sample2").collect() for a in (False, True)] + [distance.snp_matrix(one).orderBy("sample1", "sample2").collect()] == want
+
+
+def test_guards(spark):
+    one = index.build(seqs(spark, [("a", BASE), ("b", "ACGT")]), 15)
+    with pytest.raises(ValueError, match="no valid k-mers in: b"):
+        index.check_samples(one)
+    contig = lambda s: spark.createDataFrame([(0, s)], "chrom int, seq string")
+    refmap.check(one, refmap.reference(contig(BASE[:60]), 15))
+    with pytest.raises(ValueError, match="reference has no valid"):
+        refmap.check(one, refmap.reference(contig("ACGT"), 15))
+    with pytest.raises(ValueError, match="map to the reference"):
+        refmap.check(one, refmap.reference(contig("AC" * 40), 15))
+    with pytest.raises(ValueError, match="single record"):
+        graph.check_genome(spark.createDataFrame([(0, BASE), (1, BASE)], "chrom int, seq string"))
+    two = seqs(spark, [("r", BASE)] * 4).withColumn("file_no", F.lit(1))
+    with pytest.raises(ValueError):  # second files don't count
+        coverage.choose_min_count("auto", two, ["r", "q"], 15)
+
+
+#: A published k-mer histogram (counts 1 to 77) whose cutoff is 9.
+HISTOGRAM = [
+    44633459, 950672, 104410, 44137, 24170, 21232, 21699, 24145, 30696, 39210, 49878, 63683, 77690, 95147, 112416, 130307, 146531, 160932, 175130, 185113, 193149, 197468,
+    199189, 198235, 192150, 185565, 176362, 165455, 152487, 139495, 127036, 112803, 103080, 90425, 80637, 70960, 62698, 54949, 46744, 41240, 35591, 30025, 25856, 22105, 19405,
+    16668, 14780, 12620, 11074, 9807, 8517, 7731, 7112, 6846, 6126, 5696, 5233, 4779, 4288, 3873, 3519, 3406, 2994, 2859, 2650, 2394, 2376, 2260, 2233, 2050, 1859, 1863, 1792, 1777, 1773, 1738, 1648,
+]
+
+
+def test_known_histogram():
+    assert coverage.fit(HISTOGRAM).cutoff == 9
+
+
+def brute_paths(rows, k_graph, max_depth):
+    """Entry, exit, sequence and number of nodes of every path, by walking node by node."""
+    succ, colours, into = {}, {}, {}
+    for full, samples in rows:
+        a, b = full[:-1], full[1:]
+        succ.setdefault(a, set()).add(b)
+        into.setdefault(b, set()).add(a)
+        colours.setdefault(a, set()).add(tuple(samples))
+    rc = lambda s: s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    entry = {a for a, b in succ.items() if len(b) > 1 and len(colours[a]) > 1}
+    exits = {rc(a) for a in entry}
+    inner = {a for a in succ if len(succ[a]) == 1 and len(into.get(a, ())) == 1 and a not in entry | exits}
+    out = set()
+
+    def stretch(node):
+        seen = [node]
+        while node in inner:
+            (node,) = succ[node]
+            if node in seen:
+                return None
+            seen.append(node)
+        return seen
+
+    def walk(start, at, seq, visited, depth, n):
+        ahead = [s for s in map(stretch, sorted(succ.get(at, ()))) if s and s[-1] not in visited]
+        now = depth + (1 if len(ahead) > 1 or depth < 0 else 0)
+        for s in ahead:
+            longer = seq + "".join(x[-1] for x in s)
+            if s[-1] in exits:
+                out.add((start, s[-1], longer, n + len(s)))
+            if now <= max_depth:
+                walk(start, s[-1], longer, visited | {s[-1]}, now, n + len(s))
+
+    for a in entry:
+        walk(a, a, a, {a}, -1, 1)
+    return out
+
+
+@pytest.mark.parametrize("max_depth", [1, 4])
+def test_paths_by_brute_force(spark, max_depth):
+    rng = np.random.default_rng(max_depth)
+    samples = []
+    for i in range(5):
+        s = BASE[:160]
+        for p in rng.choice(np.arange(20, 140), 4, replace=False).tolist():
+            s = put(s, p, "ACGT"[int(rng.integers(4))])
+        samples.append((f"s{i}", s[:90] + s[90 + 3 * (i % 2) :]))
+    one = index.build(seqs(spark, samples), 11)
+    colours = graph.coloured_kmers(one)
+    want = brute_paths([(r.full, r.samples) for r in colours.collect()], 10, max_depth)
+    got = graph.paths(one, colours, max_depth).select("entry", "exit", "seq", "n_nodes").collect()
+    assert len(got) == len(set(map(tuple, got))) and set(map(tuple, got)) == want and len(want) > 10
+
+
 def test_neighbour_joining_recovers_an_additive_tree():
     #   a:1 b:2 | x:1 | c:3 d:4
     d = np.array([[0, 3, 5, 6], [3, 0, 6, 7], [5, 6, 0, 7], [6, 7, 7, 0]], float)
     tree = distance.neighbour_joining(d, ["a", "b", "c", "d"])
+    rooted = distance.neighbour_joining(d, ["a", "b", "c", "d"], rooted=True)
+    assert rooted.count(":") == 6 and abs(max(depths(rooted).values()) - d.max() / 2) < 1e-6
     assert "a:1.000000" in tree and "b:2.000000" in tree and "c:3.000000" in tree and "d:4.000000" in tree
 
 
