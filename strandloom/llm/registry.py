@@ -18,4 +18,4 @@ QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op3_decontamination": decontaminate.SQL}
+SQL = {"op3_decontamination": decontaminate.SQL, "op8_substring_dedup": substring.SQL, "op10_url_filter": url_filter.SQL}

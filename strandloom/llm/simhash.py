@@ -4,8 +4,8 @@ A shard key is a part of the fingerprint, so that only fingerprints which can be
 near each other share a tree (a broadcast of every tree to every task would compare
 all shards with all queries):
 
-* ``pigeonhole``: for a radius r the bits are cut into r + 1 blocks; two
-  fingerprints that differ in at most r bits agree on a whole block.  Exact.
+* ``pigeonhole``: for a radius r the bits are cut into r + 2 blocks; two
+  fingerprints that differ in at most r bits agree on two whole blocks.  Exact.
 * ``sampled``: for larger radii, tables of randomly chosen bits, as many as reach the
   stated recall within the radius.  What they bring together is only a candidate.
 """
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -57,11 +58,19 @@ def fingerprint64(text: bytes | None, size: int = 3, seed: int = 42) -> bytes:
 
 
 def pigeonhole(radius: int, bits: int = 64):
-    """Shard keys for 64-bit fingerprints: radius + 1 blocks of nearly equal width."""
-    cuts = [bits * i // (radius + 1) for i in range(radius + 2)]
+    """Shard keys for 64-bit fingerprints: any two of radius + 2 blocks of nearly equal width.
+
+    Two fingerprints within the radius agree on two blocks at least.  Two blocks make
+    a long key (32 bits for a radius of 2), so that shards stay small at any number of
+    fingerprints that one block would crowd.
+    """
+    cuts = [bits * i // (radius + 2) for i in range(radius + 3)]
 
     def keys(prints: np.ndarray) -> np.ndarray:
-        out = [((prints[:, 0] >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)).astype(np.int64) | (i << 56) for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+        block = [(prints[:, 0] >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+        pairs = combinations(range(radius + 2), 2)
+        width = max(b - a for a, b in zip(cuts, cuts[1:], strict=False))
+        out = [((block[a] << np.uint64(width)) | block[b]).astype(np.int64) | (i << 2 * width) for i, (a, b) in enumerate(pairs)]
         return np.stack(out, axis=1)
 
     return keys

@@ -365,3 +365,15 @@ def op8_substring_dedup(spark, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["doc_id"], *(pa.array(c) for c in zip(*out, strict=True))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return _with_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), WINDOW).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+#: The same by brute force: all windows of all documents, each compared with its first place.
+SQL = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS MATERIALIZED (SELECT doc_id, r, s, array_to_string(w[s:s+19], ' ') AS k FROM (SELECT *, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+first AS (SELECT k, min(doc_id::HUGEINT * 10000000 + s) AS place FROM win GROUP BY k),
+gone AS (SELECT DISTINCT r, p FROM (SELECT r, s + unnest(range(0, 20)) AS p FROM win JOIN first USING (k) WHERE doc_id::HUGEINT * 10000000 + s > place)),
+word AS (SELECT r, p, w[p] AS x FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
+kept AS (SELECT r, count(*) AS n, string_agg(x, ' ' ORDER BY p) AS text FROM word ANTI JOIN gone USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""

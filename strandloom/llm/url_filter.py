@@ -157,3 +157,24 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
 def op10_url_filter(spark, sf_dir: str) -> DataFrame:
     """The verdict on every page; see :func:`judge`."""
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def _sql_rules() -> str:
+    return ", ".join(f"('{verdict}', '{host}', '{prefix}')" for verdict, host, prefix in RULES)
+
+
+#: The same by brute force: all sets of tokens of all labelled URLs are counted.
+SQL = rf"""
+WITH rule(verdict, own, prefix) AS (VALUES {_sql_rules()}),
+p AS MATERIALIZED (SELECT row_number() OVER () AS r, page_id, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
+  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+  list_sort(list_distinct(list_filter(string_split_regex(lower(coalesce(url, '')), '[^\p{{L}}\p{{N}}-]+'), lambda t: t <> ''))) AS tokens FROM pages),
+fit AS (SELECT r, max(struct_pack(size := length(own || prefix), rule := own || prefix, verdict := verdict)) AS best FROM p, rule WHERE (host = own OR ends_with(host, '.' || own)) AND starts_with(path, prefix) GROUP BY r),
+mark AS (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
+part AS MATERIALIZED (SELECT r, page_id, array_to_string(list_filter(tokens, lambda t, i: (m >> (i - 1)::INTEGER) & 1 = 1), ' ') AS k FROM (SELECT *, unnest(range(1, 1 << len(tokens)::INTEGER)) AS m FROM p)),
+n AS (SELECT count(*) AS n FROM p JOIN mark ON page_id = doc_id),
+mined AS (SELECT k FROM part JOIN mark ON page_id = doc_id, n GROUP BY k, n
+  HAVING count(*) FILTER (toxic = 1) >= greatest({MIN_PAGES}, ceil({MIN_SUPPORT} * n - 1e-9)) AND count(*) FILTER (toxic = 1) / count(*)::DOUBLE >= {MIN_CONFIDENCE}),
+hit AS (SELECT DISTINCT r FROM part JOIN mined USING (k))
+SELECT page_id, host, path, best.rule AS rule, CASE WHEN best IS NOT NULL THEN best.verdict WHEN hit.r IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict FROM p LEFT JOIN fit USING (r) LEFT JOIN hit USING (r)
+"""
