@@ -70,6 +70,26 @@ def windows(seqs: list[bytes], quals: list[bytes | None] | None, k: int, rc: boo
     return {"seq": seq, "start": start, "pos": start + np.int32(h), "key_hi": up, "key_lo": low, "mask": mask, "is_rc": flip, "palindrome": same}
 
 
+def sliced(seqs: list[bytes], quals: list[bytes | None] | None, k: int, rc: bool, quality: str, min_qual: int, size: int) -> Iterator[dict[str, np.ndarray]]:
+    """:func:`windows` of several sequences, or of one in slices of ``size`` windows, so that a chromosome's arrays stay small.
+
+    A slice has a base more on both sides, so that what lies at a slice's end isn't taken for a sequence's end.
+    """
+    if len(seqs) != 1 or len(seqs[0]) <= size:
+        yield windows(seqs, quals, k, rc, quality, min_qual)
+        return
+    (seq,), qual = seqs, quals[0] if quals is not None else None
+    if qual is not None and len(qual) != len(seq):
+        qual = None
+    for lo in range(0, len(seq), size):
+        begin, end = max(lo - 1, 0), lo + size + k
+        w = windows([seq[begin:end]], None if quals is None else [None if qual is None else qual[begin:end]], k, rc, quality, min_qual)
+        own = (w["start"] + begin >= lo) & (w["start"] + begin < lo + size)
+        w = {name: values[own] for name, values in w.items()}
+        w["start"], w["pos"] = w["start"] + np.int32(begin), w["pos"] + np.int32(begin)
+        yield w
+
+
 def gapped_kmers(seqs: DataFrame, k: int, rc: bool = True, quality: str = "none", min_qual: int = 20, keep: list[str | Column] | None = None, max_bytes: int = 2 << 20) -> DataFrame:
     """Every gapped k-mer of every sequence, with the ``keep`` columns of its row.
 
@@ -93,9 +113,9 @@ def gapped_kmers(seqs: DataFrame, k: int, rc: bool = True, quality: str = "none"
                 to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + max_bytes, side="right")))
                 part = batch.slice(at, to - at)
                 at = to
-                w = windows(part["seq"].to_pylist(), part["qual"].to_pylist() if reads else None, k, rc, quality, min_qual)
-                names = ["start", "pos", "key_hi", "key_lo", "mask", "is_rc", "palindrome"]
-                yield pa.RecordBatch.from_arrays([part["row"].take(pa.array(w["seq"]))] + [pa.array(w[n]) for n in names], names=["row", *names])
+                for w in sliced(part["seq"].to_pylist(), part["qual"].to_pylist() if reads else None, k, rc, quality, min_qual, max_bytes):
+                    names = ["start", "pos", "key_hi", "key_lo", "mask", "is_rc", "palindrome"]
+                    yield pa.RecordBatch.from_arrays([part["row"].take(pa.array(w["seq"]))] + [pa.array(w[n]) for n in names], names=["row", *names])
 
     told = rows.mapInArrow(run, _SCHEMA.format(row=rows.schema["row"].dataType.simpleString()[7:-1]))
     return told.select("row.*", "start", "pos", "key_hi", "key_lo", "mask", "is_rc", "palindrome")

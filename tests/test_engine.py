@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import bases
-from strandloom.functions.kmers import windows
+from strandloom.functions.kmers import sliced, windows
 from strandloom.operators import coverage, distance, filters, graph, index, refmap
 from strandloom.operators.components import connected_components
 from strandloom.sources import sequences, sinks
@@ -143,6 +143,20 @@ def depths(tree):
     return own[0]
 
 
+@pytest.mark.parametrize("size", [1, 7, 16, 50, 83])
+def test_slices_of_a_long_sequence(size):
+    rng = random.Random(size)
+    for n in (12, 13, 60, 84, 101):
+        seq = "".join(rng.choice("ACGTACGTACGTACGTN") for _ in range(n)).encode()
+        qual = bytes(rng.choice([40, 60, 70]) for _ in range(n))
+        for quals in (None, [qual], [None], [qual[:-1]]):
+            for rule in ("strict", "middle", "none"):
+                whole = windows([seq], quals, 11, True, rule, 20)
+                parts = list(sliced([seq], quals, 11, True, rule, 20, size))
+                for name, values in whole.items():
+                    assert np.concatenate([p[name] for p in parts]).tolist() == values.tolist(), (n, rule, name)
+
+
 def test_trees_of_few_samples():
     assert distance.neighbour_joining(np.zeros((1, 1)), ["x"]) == "(x);"
     assert distance.neighbour_joining(np.array([[0, 4.0], [4, 0]]), ["x", "y z"]) == "(x:2.000000,y_z:2.000000);"
