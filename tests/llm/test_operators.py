@@ -684,3 +684,45 @@ def test_pipeline(spark, docs, tmp_path):
             assert "[EMAIL]" in at.where("doc_id = 23").first().text
     assert kept == [[20, 21, 22, 23, 26], [20, 22, 23, 26], [20, 23, 26], [20, 23, 26], [20, 23, 26]]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """Every stage's decision from its definition on the stage's own input, and the packed ids of what is left."""
+    rng = random.Random(77)
+    texts = {}
+    for i in range(60):
+        texts[i] = prose(rng.randint(1, 150), 1000 + i)
+    for i in range(60, 80):
+        texts[i] = texts[i - 60] + rng.choice(["", " x"])  # copies, and near-copies of the longer ones
+    items = [prose(30, 3000 + i) for i in range(4)]
+    for i in range(80, 90):
+        texts[i] = prose(60, 4000 + i) + " " + items[i % 4] + " " + prose(5, 5000 + i)
+    texts |= {90: None, 91: "", 92: "12 !!", 93: "\u0301", 94: prose(50, 6) + " an.12@mail.example.com 10.2.33.4 " + prose(20, 7), 95: "\u65e5\u672c\u8a9e"}
+    spark.createDataFrame([(i, t, rng.choice(["en", "de", None]), "s", len(t or "")) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    left = {i: t for i, t in texts.items() if t and any(unicodedata.category(c)[0] == "L" for c in t)}
+
+    def sets(t, split=str.split):
+        w = split(t.lower())
+        return {tuple(w[p : p + 5]) for p in range(max(1, len(w) - 4))}
+
+    label = {i: i for i in left}
+    pairs = [(a, b) for a in left for b in left if a < b and len(sets(left[a]) & sets(left[b])) >= 0.8 * len(sets(left[a]) | sets(left[b])) - 1e-9]
+    for _ in range(5):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    left = {i: t for i, t in left.items() if label[i] == i}
+    parts = lambda s: re.findall(r"[^\x00-/:-@\[-`{-\x7f]+", s)
+    holds = lambda t, item: len(sets(item, parts) & sets(t, parts)) >= 0.8 * len(sets(item, parts))
+    left = {i: t for i, t in left.items() if not any(holds(t, x) for x in items)}
+    found = pii.find_spans(list(left.values()), pii.trained())
+    left = {i: pii.redact_text(t, own) for (i, t), (_, own) in zip(left.items(), found)}
+    assert len(left) < 70 and "[EMAIL]" in left[94] and "[IP]" in left[94]
+    pieces = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {}
+    for r in sorted(pieces, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == len(ids.setdefault(r.doc_id, []))
+        ids[r.doc_id] += np.frombuffer(r.ids, "<u4").tolist()
+    assert ids == {i: ids_of(t) + [1] for i, t in left.items()}
+    places = sorted((r.sequence_id, r.offset, r.length) for r in pieces)
+    assert [2048 * s + o for s, o, _ in places] == np.cumsum([0] + [n for *_, n in places])[:-1].tolist()
