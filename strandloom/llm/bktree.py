@@ -72,7 +72,7 @@ class BKForest:
                 node = self.child[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(len(query))]
 
 
-def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+def merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Give linked rows one label (their smallest); label[i] <= i always."""
     while True:
         x, y = label[a], label[b]
@@ -89,7 +89,7 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def _by_shard(work, block_rows: int = 20_000):
+def by_shard(work, block_rows: int = 20_000):
     """Rows sorted by shard -> what ``work`` makes of tables of whole shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,12 +130,12 @@ def _linker(words: int, radius: int):
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         label = np.arange(table.num_rows)
         for a, b in _found(table, words, radius):
-            _merge(label, a, b)
+            merge(label, a, b)
         moved = np.flatnonzero(label != np.arange(len(label)))
         raw = table["print"].combine_chunks()
         yield pa.RecordBatch.from_arrays([pa.array(raw.take(pa.array(at)).to_pylist(), pa.binary()) for at in (moved, label[moved])], names=["a", "b"])
 
-    return _by_shard(work)
+    return by_shard(work)
 
 
 def spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
@@ -153,21 +153,18 @@ def spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
         np.minimum.at(best, y, np.arange(len(left)))
         own = left[np.unique(best[best < len(left)])]
         chosen.append(own)
-        _merge(label, a[own], b[own])
+        merge(label, a[own], b[own])
 
 
-def _pairer(words: int, radius: int, known: bool):
-    """Rows sorted by shard -> pairs of nodes to verify.
+def _pairer(words: int, radius: int):
+    """Rows sorted by shard -> pairs of nodes that connect what is near in the shard: a smallest spanning forest.
 
-    Pairs whose sizes alone rule out a similarity of 0.8 are left out.  At first the
-    pairs of a smallest spanning forest of each shard; where labels are ``known``, all
-    pairs with different ones.
+    Pairs whose sizes alone rule out a similarity of 0.8 are left out.
     """
 
     def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
         node, size = table["node"].to_numpy(), table["size"].to_numpy()
-        label = table["label"].to_numpy()
-        raw = None if known else np.frombuffer(b"".join(table["print"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+        raw = np.frombuffer(b"".join(table["print"].to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
         held, rows = [np.empty((2, 0), np.int64)], 0
 
         def forest(pairs: np.ndarray) -> np.ndarray:
@@ -175,24 +172,16 @@ def _pairer(words: int, radius: int, known: bool):
             return pairs[:, spanning(a, b, hamming(raw[a], raw[b]), len(node))]
 
         for a, b in _found(table, words, radius):
-            fit = (node[a] != node[b]) & (label[a] != label[b]) & (10 * np.minimum(size[a], size[b]) >= 8 * np.maximum(size[a], size[b]))
-            a, b = a[fit], b[fit]
-            if known:
-                yield _ends(node, a, b)
-                continue
-            held.append(np.stack([a, b]))
-            rows += len(a)
+            fit = (node[a] != node[b]) & (10 * np.minimum(size[a], size[b]) >= 8 * np.maximum(size[a], size[b]))
+            held.append(np.stack([a[fit], b[fit]]))
+            rows += held[-1].shape[1]
             if rows > 500_000:
                 held = [forest(np.concatenate(held, axis=1))]
                 rows = held[0].shape[1]
-        if not known:
-            yield _ends(node, *forest(np.concatenate(held, axis=1)))
-
-    return _by_shard(work)
-
+        a, b = forest(np.concatenate(held, axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
 
-def _ends(node: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b]))], names=["a", "b"])
+    return by_shard(work)
 
 
 def _keyed(keys, words: int):
@@ -241,10 +230,9 @@ def near_components(prints: DataFrame, keys, words: int, radius: int, shard_rows
     return connected_components(_dealt(prints, keys, words, shard_rows).mapInArrow(_linker(words, radius), "a binary, b binary"))
 
 
-def near_pairs(nodes: DataFrame, keys, words: int, radius: int, known: bool, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Distinct ``a`` < ``b``: pairs of nodes within ``radius`` that are to be verified.
+def near_pairs(nodes: DataFrame, keys, words: int, radius: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Distinct ``a`` < ``b``: pairs of nodes that connect what lies within ``radius``.
 
-    ``nodes``: ``node`` long, ``label`` long, ``print``, ``size`` (shingles of the set).
-    See :func:`_pairer` for ``known``.
+    ``nodes``: ``node`` long, ``print``, ``size`` (shingles of the set).
     """
-    return _dealt(nodes, keys, words, shard_rows).mapInArrow(_pairer(words, radius, known), "a long, b long").distinct()
+    return _dealt(nodes, keys, words, shard_rows).mapInArrow(_pairer(words, radius), "a long, b long").distinct()

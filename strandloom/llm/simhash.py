@@ -18,14 +18,15 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandloom.llm.bktree import BROADCAST_KEYS, near_components, near_pairs
+from strandloom.llm.bktree import by_shard, merge, near_components, near_pairs
 from strandloom.llm.resident import release
 from strandloom.operators.components import connected_components
-from strandloom.sources.shared import materialize
+from strandloom.sources.shared import materialize, partitions
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 
@@ -120,8 +121,8 @@ def components(docs: DataFrame, make, keys, words: int, radius: int) -> DataFram
 
 #: Bits in which fingerprints of candidates for a similarity of 0.8 may differ.
 STAGE_RADIUS = 32
-#: Links of one node in a group of the join that verifies them.
-NODE_LINKS = 200
+#: Nodes and shingles in a part of a cluster, and shingles in one matrix product.
+PART_NODES, PART_SHINGLES, SHINGLE_COLUMNS = 250, 250_000, 4096
 
 
 def recall_at(similarity: float, bits: int, tables: int, radius: int = STAGE_RADIUS) -> float:
@@ -166,51 +167,61 @@ def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part["node"], pa.array(own, pa.list_(pa.int64()))], names=["node", "hashes"])
 
 
-def _with_hashes(pairs: DataFrame, sets: DataFrame, side: str) -> DataFrame:
-    """``pairs`` with the shingles of their ``side``; a node of many pairs is dealt out in several groups."""
-    many = pairs.groupBy(F.col(side).alias("node")).count().where(F.col("count") > NODE_LINKS)
-    many = materialize(many.select("node", F.ceil(F.col("count") / NODE_LINKS).cast("int").alias("salts")), "many-links")
-    n = many.count()
-    many = F.broadcast(many) if n <= BROADCAST_KEYS else many
-    salts = F.coalesce("salts", F.lit(1))
-    left = pairs.withColumn("node", F.col(side)).join(many, "node", "left").withColumn("salt", F.pmod(F.xxhash64("a", "b"), salts)).drop("salts")
-    right = sets.join(many, "node", "left").select("node", F.col("hashes").alias(f"{side}_hashes"), F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
-    return left.join(right.hint("merge"), ["node", "salt"]).drop("node", "salt")
+def _verify(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Rows (``shard``, ``node``, ``hashes``) of whole groups -> a link from each node to the first one of its verified component.
 
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a b near``: whether the Jaccard similarity of the shingles is 0.8 or more."""
-    both = _with_hashes(_with_hashes(pairs, sets, "a"), sets, "b")
-    shared = F.size(F.array_intersect("a_hashes", "b_hashes"))
-    return both.select("a", "b", (9 * shared >= 4 * (F.size("a_hashes") + F.size("b_hashes"))).alias("near"))
+    The shingles that two texts of a group share are counted by products of 0/1
+    matrices, a bounded number of shingles at a time.
+    """
+    table = table.combine_chunks()
+    shard, node, lists = table["shard"].to_numpy(), table["node"].to_numpy(), table["hashes"].combine_chunks()
+    sizes, flat = pc.list_value_length(lists).to_numpy().astype(np.int64), lists.flatten().to_numpy()
+    ends, begin = np.concatenate([[0], np.cumsum(sizes)]), [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist()]
+    from_, to = [node[:0]], [node[:0]]
+    for i, j in zip(begin, [*begin[1:], len(shard)], strict=True):
+        n = j - i
+        own, row = flat[ends[i] : ends[j]], np.repeat(np.arange(n), sizes[i:j])
+        _, number, times = np.unique(own, return_inverse=True, return_counts=True)
+        common = times[number] > 1
+        column = (np.cumsum(times > 1) - 1)[number[common]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[common][order], column[order]
+        shared = np.zeros((n, n), np.float32)
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, SHINGLE_COLUMNS):
+            part = slice(*np.searchsorted(column, [low, low + SHINGLE_COLUMNS]))
+            hot = np.zeros((n, min(SHINGLE_COLUMNS, int(column[-1]) + 1 - low)), np.float32)
+            hot[row[part], column[part] - low] = 1
+            shared += hot @ hot.T
+        a, b = np.nonzero(np.triu(9 * shared >= 4 * (sizes[i:j, None] + sizes[None, i:j]), 1))
+        label = np.arange(n)
+        merge(label, a, b)
+        moved = np.flatnonzero(label != np.arange(n))
+        from_.append(node[i + moved])
+        to.append(node[i + label[moved]])
+    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(from_)), pa.array(np.concatenate(to))], names=["a", "b"])
 
 
 def _linked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """``node`` and ``component`` of the nodes with a verified link.
 
-    Candidates are first the pairs of a smallest spanning forest of every shard.  Where
-    those fail, pairs beside them may still hold: of nodes with candidates, all pairs
-    that are not in one component by then are verified too.
+    Candidate pairs (a smallest spanning forest of every shard, which keeps all that
+    is connected together) make clusters; in a cluster every two texts are compared.
+    A large cluster is cut into parts, each two of which meet in one bounded group, so
+    the rows are nodes with their shingles, never pairs.
     """
     keys = sampled(*stage_tables(nodes.count()), 2)
-    own = nodes.where("size > 0").select("node", F.col("node").alias("label"), "print", "size")
-    pairs = materialize(near_pairs(own, keys, 2, STAGE_RADIUS, False), "candidates")
-    ends = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "candidate-ends")
-    wanted = nodes.join(ends, "node").select("node", F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__row"))
-    texts = rows.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("row").eqNullSafe(F.col("__row"))).select("node", "text")
+    pairs = materialize(near_pairs(nodes.where("size > 0").select("node", "print", "size"), keys, 2, STAGE_RADIUS), "candidates")
+    cluster = materialize(connected_components(pairs), "clusters")
+    members = nodes.join(cluster, "node").select("node", "size", "component", F.col("first.doc_id").alias("__id"), F.col("first.row").alias("__row"))
+    members = materialize(members, "members")
+    texts = rows.join(members.select("node", "__id", "__row").hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("row").eqNullSafe(F.col("__row"))).select("node", "text")
     sets = materialize(texts.mapInArrow(_hashes, "node long, hashes array<long>").groupBy("node").agg(F.first("hashes").alias("hashes")), "shingles")
-    first = materialize(_verified(pairs, sets), "verified")
-    links = first.where("near").select("a", "b")
-    found = connected_components(links)
-    failed = first.where("not near").select("a", "b")
-    if not failed.limit(1).count():
-        return found
-    found = materialize(found, "components")
-    own = own.drop("label").join(ends, "node").join(found.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    more = near_pairs(materialize(own.select("node", "label", "print", "size"), "open"), keys, 2, STAGE_RADIUS, True)
-    more = materialize(more.join(failed, ["a", "b"], "left_anti"), "more-candidates")
-    second = materialize(_verified(more, sets).where("near").select("a", "b"), "more-verified")
-    return connected_components(found.select("node", "component").unionByName(second.toDF("node", "component"))) if second.limit(1).count() else found
+    parts = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / PART_NODES), F.ceil(F.sum("size") / PART_SHINGLES)).cast("int").alias("parts"))
+    home, other = F.col("home"), F.col("other")
+    dealt = members.join(parts, "component").select("node", "component", F.pmod(F.xxhash64("node"), F.col("parts")).alias("home"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    groups = dealt.select("node", F.xxhash64("component", F.least(home, other), F.greatest(home, other)).alias("shard")).join(sets, "node").select("shard", "node", "hashes")
+    groups = groups.repartition(partitions(rows.sparkSession), "shard").sortWithinPartitions("shard", "node")
+    return connected_components(groups.mapInArrow(by_shard(_verify, 2000), "a long, b long"))
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
