@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.bases import UNKNOWN, key_digits, mask_code
 from strandloom.operators.index import KEY, Index
-from strandloom.sources.shared import partitions
+from strandloom.sources.shared import materialize, partitions
 
 NO_FILTER, NO_CONST, NO_AMBIG, NO_AMBIG_OR_CONST = "no-filter", "no-const", "no-ambig", "no-ambig-or-const"
 
@@ -75,6 +75,7 @@ def alignment(index: Index) -> DataFrame:
 
     A sequence of the result holds one letter a key, as its format demands.  Columns are
     turned into pieces of rows where ranges of keys lie; only those are gathered by sample.
+    The columns are written first, since finding the ranges reads them as well.
     """
     spark = index.kmers.sparkSession
     names = spark.createDataFrame([(i, n) for i, n in enumerate(index.names)], "i int, sample string")
@@ -88,7 +89,7 @@ def alignment(index: Index) -> DataFrame:
                 pieces = [row.tobytes().decode() for row in np.ascontiguousarray(grid.T)]
                 yield pa.RecordBatch.from_pydict({"i": pa.array(range(n), pa.int32()), "part": pa.array([part] * n, pa.int32()), "piece_no": pa.array([seq] * n, pa.int32()), "piece": pieces})
 
-    ordered = _wide(index).repartitionByRange(partitions(spark), *KEY).sortWithinPartitions(*KEY).select("bases")
+    ordered = materialize(_wide(index), "columns").repartitionByRange(partitions(spark), *KEY).sortWithinPartitions(*KEY).select("bases")
     rows = ordered.mapInArrow(turn, "i int, part int, piece_no int, piece string").groupBy("i")
     rows = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "piece_no", "piece"))), lambda c: c["piece"]), "").alias("seq"))
     return names.join(rows, "i", "left").select("sample", F.coalesce("seq", F.lit("")).alias("seq"))
