@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from strandloom.llm import decontaminate, language, neighbours, packing, pii, simhash, substring, token_counts, url_filter, wavelet
+from strandloom.llm import decontaminate, filter_audit, language, mixing, neighbours, packing, pii, simhash, substring, token_counts, url_filter, wavelet, whitening
 
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
@@ -16,6 +16,9 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op8_substring_dedup": substring.op8_substring_dedup,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_whitening": whitening.op11_whitening,
+    "op12_filter_audit": filter_audit.op12_filter_audit,
+    "op13_mixing": mixing.op13_mixing,
     "pipeline": corpus_pipeline.run,
 }
-SQL = {"op3_decontamination": decontaminate.SQL, "op8_substring_dedup": substring.SQL, "op10_url_filter": url_filter.SQL}
+SQL = {"op3_decontamination": decontaminate.SQL, "op8_substring_dedup": substring.SQL, "op10_url_filter": url_filter.SQL, "op12_filter_audit": filter_audit.SQL, "op13_mixing": mixing.SQL}

@@ -8,6 +8,8 @@ have equal hashes, and what they propose is compared by stronger means.
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from strandloom.llm.resident import release, resident
 
@@ -86,3 +88,9 @@ def sliding(values: np.ndarray, size: int, least: bool) -> np.ndarray:
         now, span = pick(now[: len(now) - span], now[span:]), 2 * span
     rest = size - span
     return pick(now[: len(now) - rest], now[rest:]) if rest else now
+
+
+def word_array(text: Column) -> Column:
+    """The words of a text that isn't null, as a column expression."""
+    inner = F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
