@@ -215,9 +215,9 @@ def test_whitening_of_few_directions(spark):
 
 
 def test_whitening_beyond_a_long(spark):
-    table = spark.createDataFrame([(i, [1e12 * i, float(i % 3)]) for i in range(300)], "vec_id long, embedding array<double>")
+    table = spark.createDataFrame([(i, [1e10 * i, float(i % 3)]) for i in range(300)], "vec_id long, embedding array<double>")
     got = whitening.whiten(table).toPandas()
-    x = [(int(64e12) * i + 1_000_000, 64 * (i % 3) + 1_000_000) for i in range(300)]
+    x = [(int(64e10) * i + 1_000_000, 64 * (i % 3) + 1_000_000) for i in range(300)]
     s = [sum(c) for c in zip(*x, strict=True)]
     exact = {i: sum((300 * a - b) ** 2 for a, b in zip(x[i], s, strict=True)) for i in range(300)}
     assert all((d != d or d is None) if exact[i] >= 1 << 63 else int(d) == exact[i] for i, d in zip(got.vec_id, got.deviation, strict=True))
