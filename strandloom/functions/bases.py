@@ -8,7 +8,7 @@ with two bits a base, for k up to 63.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: the IUPAC code of every mask from 0 (gap) to 15.
@@ -89,3 +89,35 @@ def sample_name(path: Column) -> Column:
     """A file's name without folder and ``.fa``, ``.fasta``, ``.fastq`` or ``.fastq.gz``; any other name whole."""
     short = F.regexp_extract(path, r"(?i)([^/]+)\.(?:fa|fasta|fastq|fastq\.gz)$", 1)
     return F.when(short != "", short).otherwise(path)
+
+
+#: Bit groups that change places, from pairs up to halves of a long.
+_SWAPS = [(2, 0x3333333333333333), (4, 0x0F0F0F0F0F0F0F0F), (8, 0x00FF00FF00FF00FF), (16, 0x0000FFFF0000FFFF)]
+
+
+def with_revcomp(df: DataFrame, h: int, **arms: str) -> DataFrame:
+    """``df`` with new columns: the reverse complements of packed arms of ``h`` bases.
+
+    Digits are reversed by swapping ever larger groups of bits, each swap a projection of
+    its own, so that no expression is written out twice; the complement flips each digit's upper bit.
+    """
+    df = df.withColumns({new: F.col(old) for new, old in arms.items()})
+    for shift, mask in _SWAPS:
+        df = df.withColumns({c: F.shiftrightunsigned(c, shift).bitwiseAND(F.lit(mask)).bitwiseOR(F.shiftleft(F.col(c).bitwiseAND(F.lit(mask)), shift)) for c in arms})
+    df = df.withColumns({c: F.shiftrightunsigned(c, 32).bitwiseOR(F.shiftleft(c, 32)) for c in arms})
+    return df.withColumns({c: F.shiftrightunsigned(c, 64 - 2 * h).bitwiseXOR(F.lit(int("10" * h, 2))) for c in arms})
+
+
+def pack(text: Column) -> Column:
+    """At most 31 bases ACGT as a packed arm."""
+    return F.conv(F.translate(text, DIGITS, "0123"), 4, 10).cast("long")
+
+
+def canonical_key(full: Column, k: int) -> tuple[Column, Column, Column]:
+    """(key_hi, key_lo, base digit) of a k-mer in text, on the strand with the smaller key."""
+    h = (k - 1) // 2
+    back = revcomp(full)
+    own, other = [(pack(F.left(s, F.lit(h))), pack(F.right(s, F.lit(h)))) for s in (full, back)]
+    flip = (own[0] > other[0]) | ((own[0] == other[0]) & (own[1] > other[1]))
+    middle = F.when(flip, F.substr(back, F.lit(h + 1), F.lit(1))).otherwise(F.substr(full, F.lit(h + 1), F.lit(1)))
+    return F.when(flip, other[0]).otherwise(own[0]), F.when(flip, other[1]).otherwise(own[1]), (F.position(middle, F.lit(DIGITS)) - 1).cast("int")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.bases import DIGIT_MASKS, check_k
 
-_SCHEMA = "row struct<{row}>, start int, pos int, key_hi long, key_lo long, mask int, is_rc boolean, palindrome boolean"
+_COLUMNS = "start int, pos int, key_hi long, key_lo long, mask int, is_rc boolean, palindrome boolean"
 _MASK = np.array(DIGIT_MASKS, np.int32)
 _PAIR = np.array([9, 6, 9, 6], np.int32)  # A or T: W; C or G: S
 
@@ -90,19 +90,39 @@ def sliced(seqs: list[bytes], quals: list[bytes | None] | None, k: int, rc: bool
         yield w
 
 
-def gapped_kmers(seqs: DataFrame, k: int, rc: bool = True, quality: str = "none", min_qual: int = 20, keep: list[str | Column] | None = None, max_bytes: int = 2 << 20) -> DataFrame:
+def _joined(w: dict[str, np.ndarray], row: np.ndarray) -> dict[str, np.ndarray]:
+    """The k-mers of ``w`` once for each key and ``row`` number, with their masks joined; ``seq`` is a sequence that has it.
+
+    Equal ones are adjacent in the order of a hash, and are compared.
+    """
+    own = row[w["seq"]]
+    with np.errstate(over="ignore"):
+        mixed = (w["key_hi"].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w["key_lo"].view(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9) + own.astype(np.uint64)
+    order = np.argsort(mixed ^ (mixed >> np.uint64(31)))
+    hi, lo, own = w["key_hi"][order], w["key_lo"][order], own[order]
+    new = np.flatnonzero(np.concatenate([[True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]) | (own[1:] != own[:-1])])) if len(order) else order
+    mask = np.bitwise_or.reduceat(w["mask"][order], new) if len(new) else w["mask"]
+    return {"seq": w["seq"][order[new]], "key_hi": hi[new], "key_lo": lo[new], "mask": mask.astype(np.int32)}
+
+
+def gapped_kmers(
+    seqs: DataFrame, k: int, rc: bool = True, quality: str = "none", min_qual: int = 20, keep: list[str | Column] | None = None, max_bytes: int = 2 << 20, joined: bool = False
+) -> DataFrame:
     """Every gapped k-mer of every sequence, with the ``keep`` columns of its row.
 
     ``seqs`` has ``seq`` and, for reads, ``qual``.  Columns: ``start`` and ``pos`` (0-based
     start and middle), ``key_hi``, ``key_lo``, ``mask`` (middle base; a palindromic key
     takes W or S), ``is_rc`` and ``palindrome``.  ``quality``: ``strict`` breaks at a base
     of quality ``min_qual`` or less, ``middle`` asks it of the middle base only, ``none``
-    of none.  Null and short sequences give no rows.
+    of none.  Null and short sequences give no rows.  ``joined``: a block of sequences
+    gives a key once for each value of ``keep``, with its masks joined, and the columns
+    after ``mask`` and places are left out; a hot key is then a row a block.
     """
     check_k(k)
     if quality not in ("none", "middle", "strict"):
         raise ValueError("quality is none, middle or strict")
     reads = "qual" in seqs.columns and quality != "none"
+    names = ["key_hi", "key_lo", "mask"] if joined else ["start", "pos", "key_hi", "key_lo", "mask", "is_rc", "palindrome"]
     rows = seqs.select(F.struct(*(keep or ["sample"])).alias("row"), F.col("seq").cast("binary").alias("seq"), *([F.col("qual").cast("binary").alias("qual")] if reads else [])).where("seq is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,9 +133,38 @@ def gapped_kmers(seqs: DataFrame, k: int, rc: bool = True, quality: str = "none"
                 to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + max_bytes, side="right")))
                 part = batch.slice(at, to - at)
                 at = to
+                number: dict[str, int] = {}
+                row = np.array([number.setdefault(repr(r), len(number)) for r in part["row"].to_pylist()]) if joined else None
                 for w in sliced(part["seq"].to_pylist(), part["qual"].to_pylist() if reads else None, k, rc, quality, min_qual, max_bytes):
-                    names = ["start", "pos", "key_hi", "key_lo", "mask", "is_rc", "palindrome"]
+                    w = _joined(w, row) if joined else w
                     yield pa.RecordBatch.from_arrays([part["row"].take(pa.array(w["seq"]))] + [pa.array(w[n]) for n in names], names=["row", *names])
 
-    told = rows.mapInArrow(run, _SCHEMA.format(row=rows.schema["row"].dataType.simpleString()[7:-1]))
-    return told.select("row.*", "start", "pos", "key_hi", "key_lo", "mask", "is_rc", "palindrome")
+    kinds = ", ".join(c for c in _COLUMNS.split(", ") if c.split()[0] in names)
+    told = rows.mapInArrow(run, f"row struct<{rows.schema['row'].dataType.simpleString()[7:-1]}>, {kinds}")
+    return told.select("row.*", *names)
+
+
+def plain_kmers(seqs: DataFrame, size: int, keep: list[str | Column], max_bytes: int = 2 << 20) -> DataFrame:
+    """Every window of ``size`` bases (even) that are all A, C, G or T: the ``keep`` columns, ``start``, ``hi`` and ``lo``.
+
+    Both halves of a window are packed arms.  A long ``seq`` is taken in slices.
+    """
+    h = size // 2
+    rows = seqs.select(F.struct(*keep).alias("row"), F.col("seq").cast("binary").alias("seq")).where("seq is not null")
+    letters = np.zeros(256, bool)
+    letters[[65, 67, 71, 84]] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                whole = batch["seq"][i].as_buffer()
+                for begin in range(0, max(len(whole) - size + 1, 0), max_bytes):
+                    raw = np.frombuffer(whole, np.uint8)[begin : begin + max_bytes + size - 1]
+                    n = len(raw) - size + 1
+                    bad = np.concatenate([[0], np.cumsum(~letters[raw])])
+                    at = np.flatnonzero(bad[size:] == bad[:n])
+                    packed = _pack((raw >> 1 & 3).astype(np.int64), h)[0]
+                    yield pa.RecordBatch.from_arrays([batch["row"].take(pa.array(np.full(len(at), i))), pa.array(at + begin), pa.array(packed[at]), pa.array(packed[at + h])], names=["row", "start", "hi", "lo"])
+
+    told = rows.mapInArrow(run, f"row struct<{rows.schema['row'].dataType.simpleString()[7:-1]}>, start bigint, hi bigint, lo bigint")
+    return told.select("row.*", "start", "hi", "lo")

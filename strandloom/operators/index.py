@@ -57,31 +57,56 @@ def build(seqs: DataFrame, k: int = 31, rc: bool = True, quality: str = "none",
 
     Reads count towards ``min_count`` by the whole k-mer, middle base included, after
     the quality filter; records without ``qual`` are neither filtered nor counted.
-    Without ``names`` the samples come in alphabetical order.
+    Without ``names`` the samples come in alphabetical order.  Blocks of sequences give
+    a key once; then all rows of a key are brought together, which serves this
+    aggregation and any by key that follows without another shuffle.
     """
     seqs = subsample(seqs, proportion)
     reads = "qual" in seqs.columns
-    keep = ["sample", *([F.col("qual").isNotNull().alias("read")] if reads else [])]
-    found = gapped_kmers(seqs, k, rc, quality, min_qual, keep)
     if reads and min_count > 1:
+        found = gapped_kmers(seqs, k, rc, quality, min_qual, ["sample", F.col("qual").isNotNull().alias("read")])
         whole = found.groupBy("sample", *KEY, "mask", "read").agg(F.count("*").alias("n"))
         found = whole.where((F.col("n") >= min_count) | ~F.col("read"))
+    else:
+        found = gapped_kmers(seqs, k, rc, quality, min_qual, ["sample"], joined=True).repartition(*KEY)
     kmers = found.groupBy("sample", *KEY).agg(F.bit_or("mask").alias("mask"))
     if names is None:
         names = [r[0] for r in seqs.select("sample").where("sample is not null").distinct().orderBy("sample").collect()]
     return Index(check_k(k), rc, tuple(names), kmers)
 
 
+def _table(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """Parquet files below ``path`` in ``n`` buckets by key, without an entry in the catalog.
+
+    Spark reads buckets through a table only.  The entry is dropped once the table is
+    resolved; files of an external table stay.
+    """
+    name = f"strandloom_{uuid.uuid4().hex}"
+    place = path.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {name} (sample STRING, key_hi BIGINT, key_lo BIGINT, mask INT) USING parquet CLUSTERED BY (key_hi, key_lo) SORTED BY (key_hi, key_lo) INTO {n} BUCKETS LOCATION '{place}'")
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
+def _write(index: Index, path: str) -> int:
+    """Writes the rows into buckets by key; their number."""
+    spark = index.kmers.sparkSession
+    name, n = f"strandloom_{uuid.uuid4().hex}", partitions(spark)
+    rows = index.kmers.select(F.col("sample").cast("string").alias("sample"), *KEY, F.col("mask").cast("int").alias("mask"))
+    rows.repartition(n, *KEY).write.bucketBy(n, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")
+    return n
+
+
 def stored(index: Index) -> Index:
-    """The index written once, bucketed and sorted by key in the shared folder.
+    """The index written once, bucketed and sorted by key in the shared folder, for more than one use.
 
-    What aggregates or joins by key afterwards needs no shuffle, and an index that is
-    used several times is built once.
+    What aggregates or joins by key afterwards needs no shuffle.
     """
     spark = index.kmers.sparkSession
-    name, path, n = f"strandloom_index_{uuid.uuid4().hex}", shared_dir(spark, "index"), partitions(spark)
-    index.kmers.repartition(n, *KEY).write.bucketBy(n, *KEY).sortBy(*KEY).option("path", path).saveAsTable(name)
-    return index.with_kmers(spark.table(name))
+    path = shared_dir(spark, "index")
+    return index.with_kmers(_table(spark, path, _write(index, path)))
 
 
 def _same_kind(indexes: list[Index]) -> None:
@@ -158,13 +183,18 @@ def full_info(index: Index) -> DataFrame:
 
 
 def save(index: Index, path: str) -> None:
-    """Parquet folders ``kmers`` and ``meta`` below ``path``."""
+    """Parquet folders ``kmers`` (in buckets by key) and ``meta`` below ``path``; an error if there are any."""
     spark = index.kmers.sparkSession
-    index.kmers.write.mode("errorifexists").parquet(f"{path}/kmers")
-    meta = spark.createDataFrame([(index.k, index.rc, list(index.names), VERSION, index.k_bits)], "k int, rc boolean, names array<string>, version string, k_bits int")
+    row = (index.k, index.rc, list(index.names), VERSION, index.k_bits, partitions(spark))
+    meta = spark.createDataFrame([row], "k int, rc boolean, names array<string>, version string, k_bits int, buckets int")
     meta.coalesce(1).write.mode("errorifexists").parquet(f"{path}/meta")
+    _write(index, f"{path}/kmers")
 
 
 def load(spark: SparkSession, path: str) -> Index:
+    """A saved index; filters, weeding, merging and distances over it need no shuffle by key.
+
+    Indexes with the same number of buckets are joined and merged bucket by bucket.
+    """
     meta = spark.read.parquet(f"{path}/meta").first()
-    return Index(meta["k"], meta["rc"], tuple(meta["names"]), spark.read.parquet(f"{path}/kmers"))
+    return Index(meta["k"], meta["rc"], tuple(meta["names"]), _table(spark, f"{path}/kmers", meta["buckets"]))

@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.bases import complement_mask, is_ambiguous, key_digits, mask_code, overlap, revcomp, sample_name, text_bases, text_quality
 from strandloom.functions.kmers import gapped_kmers
-from strandloom.operators import coverage, distance, filters, graph, index, refmap
+from strandloom.operators import coverage, distance, filters, graph, index, planes, refmap
 from strandloom.operators.index import Index
+from strandloom.sources.shared import materialize, spread
 
 K = 15
 
 
 def contigs(spark: SparkSession, d: str) -> DataFrame:
-    docs = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
+    docs = spread(spark.read.parquet(f"{d}/documents.parquet")).where("text is not null")
     return docs.select(F.col("source").alias("sample"), F.col("doc_id").alias("contig"), F.col("doc_id").alias("rec_no"), text_bases(F.col("text")).alias("seq"))
 
 
@@ -36,7 +37,13 @@ def reads(spark: SparkSession, d: str) -> DataFrame:
 
 
 def built(spark: SparkSession, d: str, k: int = K, rc: bool = True) -> Index:
-    return index.stored(index.build(contigs(spark, d), k, rc))
+    """The index of all documents, for one use."""
+    return index.build(contigs(spark, d), k, rc)
+
+
+def kept(spark: SparkSession, d: str) -> Index:
+    """The same, written once for several uses."""
+    return index.stored(built(spark, d))
 
 
 def _rows(i: Index) -> DataFrame:
@@ -56,7 +63,7 @@ def _reference_windows(spark: SparkSession, d: str, k: int = K, rc: bool = True)
 
 def _aligned(kind: str, **options):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return filters.columns(filters.apply_filters(built(spark, d), kind, **({"min_freq": 0.1} | options)))
+        return filters.columns(filters.apply_filters(kept(spark, d), kind, **({"min_freq": 0.1} | options)))
 
     return run
 
@@ -70,7 +77,7 @@ def _reads_index(quality: str, min_count: int):
 
 def _distance(**options):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        rows = distance.distances(built(spark, d), **options)
+        rows = distance.distances(kept(spark, d), **options)
         return rows.select("sample1", "sample2", F.round("distance", 6).alias("distance"), F.round("mismatches", 6).alias("mismatches"), "match_count", "mismatch_count")
 
     return run
@@ -90,13 +97,13 @@ def _half(spark: SparkSession, d: str, part: int) -> Index:
 
 
 def single_linkage(spark: SparkSession, d: str) -> DataFrame:
-    i = built(spark, d)
+    i = kept(spark, d)
     return distance.single_linkage(distance.distances(i), i.names, max_snps=12, max_mismatches=0.995)
 
 
 def extended(spark: SparkSession, d: str) -> DataFrame:
     """Variable columns over the samples of two indexes, in alphabetical order."""
-    both = index.merge([built(spark, d), index.build(reads(spark, d).select("sample", "seq"), K)])
+    both = index.merge([kept(spark, d), index.build(reads(spark, d).select("sample", "seq"), K)])
     return filters.columns(filters.apply_filters(replace(both, names=tuple(sorted(both.names))), filters.NO_CONST, 0.2))
 
 
@@ -115,25 +122,39 @@ def names(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", path.alias("path")).select("page_id", sample_name(F.col("path")).alias("name"))
 
 
+def _graph_index(spark: SparkSession, d: str) -> Index:
+    return built(spark, d, 31)
+
+
 def _colours(spark: SparkSession, d: str) -> DataFrame:
-    return graph.coloured_kmers(built(spark, d, 31))
+    return materialize(graph.coloured_kmers(_graph_index(spark, d)), "colours")
 
 
 def graph_edges(spark: SparkSession, d: str) -> DataFrame:
-    """For each number of samples: edges, distinct ends, first and last node."""
-    rows = graph.edges(_colours(spark, d)).withColumn("n_samples", F.size("samples"))
-    return rows.groupBy("n_samples").agg(F.count("*").alias("n_edges"), F.count_distinct("src").alias("n_src"), F.min("src").alias("first_src"), F.max("dst").alias("last_dst"))
+    """For each number of samples: edges, distinct ends, first and last node (by alphabet)."""
+    rows = graph.edges(_colours(spark, d), 31)
+    text = rows.select(planes.size([c for c in rows.columns if c[0] == "s" and c[1:].isdigit()]).alias("n_samples"), graph.node_text(15, "src_hi", "src_lo").alias("src"), graph.node_text(15, "dst_hi", "dst_lo").alias("dst"))
+    each = text.groupBy("n_samples", "src").agg(F.count("*").alias("n"), F.max("dst").alias("dst"))
+    return each.groupBy("n_samples").agg(F.sum("n").alias("n_edges"), F.count("*").alias("n_src"), F.min("src").alias("first_src"), F.max("dst").alias("last_dst"))
 
 
 def graph_colours(spark: SparkSession, d: str) -> DataFrame:
-    return _colours(spark, d).groupBy(F.array_join("samples", ",").alias("samples")).agg(F.count("*").alias("n_kmers"))
+    """K-mers on both strands by sample set."""
+    one = _graph_index(spark, d)
+    rows = graph.edges(graph.coloured_kmers(one), 31)
+    sets = planes.set_columns(one.n_samples)
+    return rows.groupBy(*sets).agg(F.count("*").alias("n_kmers")).select(F.array_join(planes.names_of(F.array(*sets), one.names), ",").alias("samples"), "n_kmers")
+
+
+def graph_entry_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return graph.entry_nodes(graph.nodes(graph.edges(_colours(spark, d), 31), 31)).select(graph.node_text(15).alias("node"))
 
 
 def _left_out(part: str):
     """Variants between the document sources."""
 
     def run(spark: SparkSession, d: str) -> DataFrame:
-        called, calls, found = graph.left_out(built(spark, d, 31), max_missing=0.9)
+        called, calls, found = graph.left_out(_graph_index(spark, d), max_missing=0.9)
         if part == "snps":
             return called.select("gid", "pos", "column")
         if part == "placed":
@@ -166,7 +187,7 @@ QUERIES = {
     "align_ambig_missing": _aligned(filters.NO_CONST, ambig_missing=True),
     "align_ambig_mask": _aligned(filters.NO_CONST, ambig_mask=True),
     "align_min_freq": _aligned(filters.NO_CONST, min_freq=0.9),
-    "align_fasta": lambda s, d: filters.alignment(filters.apply_filters(built(s, d), filters.NO_CONST, 0.25)),
+    "align_fasta": lambda s, d: filters.alignment(filters.apply_filters(kept(s, d), filters.NO_CONST, 0.25)),
     "weed": lambda s, d: _digest(index.weed(built(s, d), reference_contigs(s, d))),
     "weed_reverse": lambda s, d: _rows(index.weed(built(s, d), reference_contigs(s, d), reverse=True)),
     "weed_min_freq_floor": lambda s, d: filters.columns(filters.apply_filters(index.weed(built(s, d), reference_contigs(s, d)), filters.NO_FILTER, 0.13, floor=True)),
@@ -181,9 +202,9 @@ QUERIES = {
     "distance_default": _distance(),
     "distance_ambig": _distance(allow_ambiguous=True),
     "distance_min_freq": _distance(min_freq=0.2),
-    "snp_matrix_exact": lambda s, d: distance.snp_matrix(built(s, d)),
-    "phylip_matrix": lambda s, d: distance.phylip(distance.distances(i := built(s, d)), i.names),
-    "distance_lines": lambda s, d: distance.distance_lines(distance.distances(built(s, d))),
+    "snp_matrix_exact": lambda s, d: distance.snp_matrix(kept(s, d)),
+    "phylip_matrix": lambda s, d: distance.phylip(distance.distances(i := kept(s, d)), i.names),
+    "distance_lines": lambda s, d: distance.distance_lines(distance.distances(kept(s, d))),
     "single_linkage": single_linkage,
     "ref_index": lambda s, d: _reference_windows(s, d).drop("start", "palindrome"),
     "ref_repeats": lambda s, d: refmap.repeats(refmap.reference(reference_contigs(s, d), 9)).select(key_digits(9).alias("key"), "n"),
@@ -200,7 +221,7 @@ QUERIES = {
     "cov_cutoff": lambda s, d: s.createDataFrame([astuple(coverage.min_count(contigs(s, d), 9))], "errors double, coverage double, cutoff int"),
     "graph_edges": graph_edges,
     "graph_colours": graph_colours,
-    "graph_entry_nodes": lambda s, d: graph.entry_nodes(graph.edges(_colours(s, d))),
+    "graph_entry_nodes": graph_entry_nodes,
     "graph_groups": _left_out("groups"),
     "indel_calls": _left_out("indels"),
     "left_out_snps": _left_out("snps"),

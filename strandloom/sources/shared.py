@@ -42,6 +42,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df``, dealt to all cores if it is read from fewer files than there are cores.
+
+    A file of one row group is one task, whatever is computed from it.  A table of many files is
+    left as it lies, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def write_bytes(path: str, data: bytes) -> None:
     """Write a file from a task: whole under another name first, then renamed."""
     store, name = pafs.FileSystem.from_uri(path)
