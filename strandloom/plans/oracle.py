@@ -29,11 +29,14 @@ _REFERENCE = f"SELECT item_id AS sample, item_id AS contig, {_text('text', _DIGI
 
 def _kmers(source: str, k: int, rc: bool = True, middle: bool = False) -> str:
     """All gapped k-mers of a source: sample, contig, start, key, mask, is_rc, palindrome."""
-    h = (k - 1) // 2
-    low = f"AND ascii(substr(q, p + {h}, 1)) - 33 > 20" if middle else ""
-    windows = f"""SELECT sample, contig, (p - 1)::INTEGER AS start, substr(s, p, {h}) || substr(s, p + {h + 1}, {h}) AS f, substr(s, p + {h}, 1) AS m
-      FROM (SELECT *, unnest(range(1, length(s) - {k} + 2)) AS p FROM ({source}) WHERE length(s) >= {k})
-      WHERE NOT contains(substr(s, p, {k}), 'N') {low} AND NOT (p - 1 = length(s) - {k} AND (p = 1 OR substr(s, p - 1, 1) = 'N'))"""
+    h, size = (k - 1) // 2, 256
+    low = f"AND ascii(substr(quals, o + {h}, 1)) - 33 > 20" if middle else ""
+    # sequences are cut into pieces with a base before (N at the start), since a place in a long string is found by counting
+    pieces = f"""SELECT sample, contig, n, c, CASE WHEN c > 1 THEN substr(s, c - 1, {size + k}) ELSE 'N' || substr(s, 1, {size + k - 1}) END AS piece, substr(q, c, {size + k - 1}) AS quals
+      FROM (SELECT *, length(s) AS n, unnest(range(1, length(s) - {k} + 2, {size})) AS c FROM ({source}) WHERE length(s) >= {k})"""
+    windows = f"""SELECT sample, contig, (c + o - 2)::INTEGER AS start, substr(piece, o + 1, {h}) || substr(piece, o + {h + 2}, {h}) AS f, substr(piece, o + 1 + {h}, 1) AS m
+      FROM (SELECT *, unnest(range(1, least({size}, n - {k} + 2 - c) + 1)) AS o FROM ({pieces}))
+      WHERE NOT contains(substr(piece, o + 1, {k}), 'N') {low} AND NOT (c + o - 2 = n - {k} AND substr(piece, o, 1) = 'N')"""
     both = f"SELECT *, translate(reverse(f), '0123', '2301') AS r FROM ({windows})"
     flip = "f > r" if rc else "false"
     same = "f = r" if rc else "false"

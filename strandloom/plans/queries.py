@@ -147,7 +147,7 @@ def graph_colours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_entry_nodes(spark: SparkSession, d: str) -> DataFrame:
-    return graph.entry_nodes(graph.nodes(graph.edges(_colours(spark, d), 31), 31)).select(graph.node_text(15).alias("node"))
+    return graph.entry_nodes(materialize(graph.nodes(graph.edges(_colours(spark, d), 31), 31), "nodes")).select(graph.node_text(15).alias("node"))
 
 
 def _left_out(part: str):
