@@ -21,6 +21,7 @@ from strandloom.functions.bases import UNKNOWN
 from strandloom.operators.components import connected_components
 from strandloom.operators.filters import key_stats, least_count
 from strandloom.operators.index import Index
+from strandloom.operators.samples import row_of, with_number
 from strandloom.sources.shared import materialize
 
 #: Samples in a tile of a task's matrices, and keys in one product.
@@ -117,8 +118,7 @@ def _numbered(index: Index) -> DataFrame:
 
 def _keys(index: Index) -> DataFrame:
     """Every key with its statistics and ``cells`` (a list of at most one entry a sample)."""
-    order = F.create_map(*[x for i, n in enumerate(index.names) for x in (F.lit(n), F.lit(i))])
-    return key_stats(index, F.collect_list(F.struct(F.element_at(order, F.col("sample")).alias("i"), "mask")).alias("cells"))
+    return key_stats(index.with_kmers(with_number(index.kmers, index.names, "i")), F.collect_list(F.struct("i", "mask")).alias("cells"))
 
 
 def distances(index: Index, allow_ambiguous: bool = False, min_freq: float = 0.0) -> DataFrame:
@@ -175,8 +175,8 @@ def phylip(found: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """``sample`` and ``row``: the sample's distances to all samples in order, tab separated with 6 decimals."""
     both = found.select("sample1", "sample2", "distance").unionByName(found.select(F.col("sample2").alias("sample1"), F.col("sample1").alias("sample2"), "distance"))
     both = both.unionByName(found.sparkSession.createDataFrame([(n, n, 0.0) for n in names], "sample1 string, sample2 string, distance double"))
-    wide = both.groupBy("sample1").agg(F.map_from_entries(F.collect_list(F.struct("sample2", "distance"))).alias("d"))
-    cells = F.transform(F.array(*[F.lit(n) for n in names]), lambda n: F.format_string("%.6f", F.try_element_at(F.col("d"), n)))
+    wide = with_number(both.withColumnRenamed("sample2", "sample"), names).groupBy("sample1").agg(F.array_sort(F.collect_list(F.struct("no", "distance"))).alias("d"))
+    cells = row_of(F.col("d"), lambda e: F.format_string("%.6f", e["distance"]), len(names), F.lit("null"))
     return wide.select(F.col("sample1").alias("sample"), F.array_join(cells, "\t").alias("row"))
 
 

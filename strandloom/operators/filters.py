@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.bases import UNKNOWN, key_digits, mask_code
 from strandloom.operators.index import KEY, Index
+from strandloom.operators.samples import row_of, with_number
 from strandloom.sources.shared import materialize, partitions
 
 NO_FILTER, NO_CONST, NO_AMBIG, NO_AMBIG_OR_CONST = "no-filter", "no-const", "no-ambig", "no-ambig-or-const"
@@ -59,9 +60,8 @@ def apply_filters(index: Index, kind: str = NO_CONST, min_freq: float = 0.9, amb
 
 def _wide(index: Index) -> DataFrame:
     """The key and ``bases`` (one code for each sample in order, gaps as ``-``) of every key."""
-    masks = F.map_from_entries(F.collect_list(F.struct("sample", "mask")))
-    wide = index.kmers.groupBy(*KEY).agg(masks.alias("m"))
-    codes = F.transform(F.array(*[F.lit(n) for n in index.names]), lambda n: mask_code(F.try_element_at(F.col("m"), n)))
+    wide = with_number(index.kmers, index.names).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("no", "mask"))).alias("m"))
+    codes = row_of(F.col("m"), lambda e: mask_code(e["mask"]), index.n_samples, F.lit("-"))
     return wide.select(*KEY, F.array_join(codes, "").alias("bases"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.bases import check_k, key_digits, mask_code
 from strandloom.functions.kmers import gapped_kmers
+from strandloom.operators.samples import row_of, with_number
 from strandloom.sources.shared import partitions, shared_dir
 
 KEY = ["key_hi", "key_lo"]
@@ -176,9 +177,8 @@ def full_info(index: Index) -> DataFrame:
 
     The list of a key is bounded by the number of samples.
     """
-    masks = F.map_from_entries(F.collect_list(F.struct("sample", "mask")))
-    wide = index.kmers.groupBy(*KEY).agg(masks.alias("m"))
-    codes = F.transform(F.array(*[F.lit(n) for n in index.names]), lambda n: mask_code(F.try_element_at(F.col("m"), n)))
+    wide = with_number(index.kmers, index.names).groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("no", "mask"))).alias("m"))
+    codes = row_of(F.col("m"), lambda e: mask_code(e["mask"]), index.n_samples, F.lit("-"))
     return wide.select(key_digits(index.k).alias("key"), F.array_join(codes, ",").alias("bases"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from strandloom.functions.bases import complement_mask, is_ambiguous, mask_code
 from strandloom.functions.kmers import gapped_kmers
 from strandloom.operators.index import KEY, Index
+from strandloom.operators.samples import row_of, with_number
 
 #: Positions in a slice of a contig; slices are independent tasks of the cover.
 SLICE = 1 << 16
@@ -165,11 +166,12 @@ def vcf(index: Index, ref: Reference, ambig_mask: bool = False, repeat_mask: boo
     them; ``gt`` has a number for each sample in order (0 reference, ``.`` gap).
     """
     n = index.n_samples
-    number = F.create_map(*[x for i, name in enumerate(index.names) for x in (F.lit(name), F.lit(i))])
-    rows = cells(index, ref, ambig_mask, repeat_mask).select(number[F.col("sample")].alias("i"), "chrom", "pos", "code", "ref")
-    site = rows.groupBy("chrom", "pos").agg(F.count("*").alias("n"), F.max((F.col("code") != F.col("ref")).cast("int")).alias("differs"), F.map_from_entries(F.collect_list(F.struct("i", "code"))).alias("codes"))
+    rows = with_number(cells(index, ref, ambig_mask, repeat_mask), index.names).select("no", "chrom", "pos", "code", "ref")
+    site = rows.groupBy("chrom", "pos").agg(F.count("*").alias("n"), F.max((F.col("code") != F.col("ref")).cast("int")).alias("differs"), F.array_sort(F.collect_list(F.struct("no", "code"))).alias("codes"))
     sites = reference_bases(ref).join(site, ["chrom", "pos"], "left").where(F.coalesce(F.col("n") < n, F.lit(True)) | (F.col("differs") == 1))
-    own = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.try_element_at(F.coalesce("codes", F.create_map().cast("map<int,string>")), i))
+    none = F.array().cast("array<struct<no:int,code:string>>")
+    sites = sites.withColumn("codes", F.coalesce("codes", none))
+    own = row_of(F.col("codes"), lambda e: e["code"], n, F.lit(None).cast("string"))
     base = _plain(F.col("base"))
     sites = sites.withColumn("shown", F.transform(own, lambda x: F.when(x.isNotNull(), _plain(x))))
     sites = sites.withColumn("alts", F.array_except(F.array_distinct(F.filter("shown", lambda x: x.isNotNull())), F.array(base)))
