@@ -29,7 +29,9 @@ from strandloom.llm.tokens import in_blocks
 
 WIDTH, STRIDE = 96, 48
 #: Labelled windows and training rounds of the tagger.
-TRAIN_WINDOWS, TRAIN_ROUNDS = 3000, 240
+TRAIN_WINDOWS, TRAIN_ROUNDS = 5000, 480
+#: Share of the training windows that end early, as short texts and the last windows of long ones do.
+SHORT = 0.4
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -89,7 +91,7 @@ def _generator(rng: np.random.Generator):
     plain = lambda: re.sub("[^a-z]", "x", word())
 
     def email() -> str:
-        return pick([f"{plain()}.{num(2)}", plain(), f"{plain()}_{plain()}", f"{plain()}+{num(1)}", f"{plain()}{num(3)}"]) + pick(["@", "@", "@", " @ "]) + pick([f"mail{num(1)}.", "", f"{plain()}-"]) + plain() + pick([".com", ".org", ".co.uk", ".de"])
+        return pick([f"{plain()}.{num(2)}", f"{plain()}.{plain()}", plain(), f"{plain()}_{plain()}", f"{plain()}+{num(1)}", f"{plain()}{num(3)}"]) + pick(["@", "@", " @ ", " @ "]) + pick([f"mail{num(1)}.", "", f"{plain()}-"]) + plain() + pick([".com", ".org", ".co.uk", ".de"])
 
     def ip() -> str:
         return ".".join(str(int(rng.integers(0, 256))) for _ in range(4))
@@ -116,6 +118,7 @@ def _generator(rng: np.random.Generator):
         return pick([
             year, num(int(rng.integers(1, 7))), f"{num(1)}.{num(1)}.", f"{num(1)}.{num(1)}", f"{num(1)}.{num(2)}.{num(1)}", f"{day}:{num(2)}", f"{year}-{day}-{num(2)}", f"{day}/{num(2)}/{year}",
             f"{num(2)}%", f"${num(3)}.{num(2)}", hashlib.sha1(num(9).encode()).hexdigest(), f'"{hashlib.sha1(num(9).encode()).hexdigest()}"', f"v{num(1)}.{num(1)}", f"@{plain()}", f"{word()}{num(2)}",
+            f"{pick(['order', 'ref', 'invoice', 'no.', 'id', 'case'])}{pick([' ', ' ', ': ', ' #'])}{num(int(rng.integers(8, 16)))}", f"ISBN {pick(['978', '979'])}-{num(1)}-{num(3)}-{num(5)}-{num(1)}", f"{year}-{day}-{num(2)}T{num(2)}:{num(2)}:{num(2)}",
             f"{num(3)} {num(3)}", f"{num(2)}, {num(2)} {word()} {num(3)}", f"{num(9)}", f"{num(1)},{num(3)},{num(3)}", f"{num(2)}-{num(2)}", f"({num(1)})", f"[{num(2)}]",
         ])
 
@@ -140,12 +143,27 @@ def _generator(rng: np.random.Generator):
     return window
 
 
+def _cut(text: str, spans: list[Span], rng: np.random.Generator) -> tuple[str, list[Span]]:
+    """A short text or the end of one: what lies around one span, often nothing behind it."""
+    whole = [s for s in spans if s[0] >= 0 and s[2] <= WIDTH]
+    if not whole:
+        end = int(rng.integers(1, WIDTH))
+        return text[:end], [(a, k, min(b, end)) for a, k, b in spans if a < end]
+    a, _, b = whole[int(rng.integers(0, len(whole)))]
+    begin = 0 if rng.random() < 0.5 else max(0, a - int(rng.integers(0, 40)))
+    quote = b < WIDTH and text[b : b + 1] in "\"'"
+    end = min(WIDTH, b + quote + (0 if rng.random() < 0.5 else int(rng.integers(0, 30))))
+    return text[begin:end], [(x - begin, k, min(y, end) - begin) for x, k, y in spans if y > begin and x < end]
+
+
 def labelled_windows(n: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and tags of ``n`` invented windows."""
     make = _generator(np.random.default_rng(seed))
-    texts, tags = [], np.zeros((n, WIDTH), np.int64)
+    rng, texts, tags = np.random.default_rng(seed + 1), [], np.zeros((n, WIDTH), np.int64)
     for i in range(n):
         text, spans = make()
+        if rng.random() < SHORT:
+            text, spans = _cut(text, spans, rng)
         texts.append(text)
         for a, kind, b in spans:
             if b > 0 and a < WIDTH:
