@@ -25,6 +25,8 @@ MIN_SUPPORT, MIN_CONFIDENCE = 0.002, 0.6
 MIN_PAGES = 5
 #: Rows of the index that are broadcast at most; a larger one is joined by key.
 BROADCAST_ROWS = 100_000
+#: Parts that the rows of one url are dealt to.
+SPREAD = 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _UNWANTED = "label=unwanted"
 
@@ -86,32 +88,78 @@ def _tokens_by_item(baskets: DataFrame, least: int) -> DataFrame:
     return counted.join(counted.groupBy(*same).agg(F.min("token").alias("item")), same).select("token", "item", "pages", "bad")
 
 
+def _broadcast_if_small(table: DataFrame) -> DataFrame:
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
+def _pairs(pages: DataFrame, least: int, min_confidence: float) -> tuple[DataFrame, DataFrame]:
+    """Sets of two items: (rules, pairs worth growing).
+
+    ``pages`` has ``basket``, ``unwanted`` and ``found`` (sorted items, two or more).  A
+    pair on as many of the wanted ones as one of its items isn't worth growing: a larger
+    set with it has the same wanted pages, and no fewer unwanted ones, without the other.
+    """
+    tails = F.transform("found", lambda a, i: F.struct(a.alias("a"), F.slice("found", i + 2, F.size("found")).alias("tail")))
+    each = pages.select("unwanted", F.explode(tails).alias("x")).select("unwanted", "x.a", F.explode("x.tail").alias("b"))
+    counted = materialize(each.groupBy("a", "b").agg(F.count("*").alias("pages"), F.count_if("unwanted").alias("bad")).where(F.col("bad") >= least), "item-pairs")
+    rules = counted.where(F.col("bad") / F.col("pages") >= min_confidence)
+    items = materialize(pages.where(~F.col("unwanted")).select(F.explode("found").alias("item")).groupBy("item").agg(F.count("*").alias("good")), "wanted-items")
+    own = lambda side: _broadcast_if_small(items.select(F.col("item").alias(side), F.col("good").alias(f"good_{side}")))
+    rest = counted.where(F.col("bad") / F.col("pages") < min_confidence).join(own("a"), "a").join(own("b"), "b").where("pages - bad < least(good_a, good_b)")
+    return rules, materialize(rest.select("a", "b"), "open-pairs")
+
+
+def _longer(pages: DataFrame, pairs: DataFrame, least: int, min_confidence: float) -> DataFrame:
+    """``items``, ``pages``, ``bad`` of rules of three items or more, by FP-growth.
+
+    Every page gives a basket for each of its items, of the later items that pair with
+    it; an element is named by both, so that one run mines each item's baskets apart
+    and no set with a settled pair is grown.
+    """
+    tails = F.transform("found", lambda a, i: F.struct(a.alias("a"), F.slice("found", i + 2, F.size("found")).alias("tail")))
+    each = pages.select("basket", "unwanted", F.explode(tails).alias("x")).select("basket", "unwanted", "x.a", F.explode("x.tail").alias("b"))
+    kept = each.join(_broadcast_if_small(pairs), ["a", "b"]).groupBy("basket", "a").agg(F.first("unwanted").alias("unwanted"), F.collect_set(F.concat_ws(" ", "a", "b")).alias("found")).where("size(found) > 1")
+    label = F.when(F.col("unwanted"), F.array(F.lit(_UNWANTED))).otherwise(F.array().cast("array<string>"))
+    rows = materialize(kept.select(F.concat("found", label).alias("items")), "item-baskets")
+    n = rows.count()
+    if not n:
+        return pages.sparkSession.createDataFrame([], "items array<string>, pages long, bad long")
+    sets = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n)).fit(rows).freqItemsets
+    plain = F.array_sort(F.filter("items", lambda i: i != _UNWANTED))
+    counts = sets.select(plain.alias("found"), "freq", F.array_contains("items", _UNWANTED).alias("label")).where("size(found) > 1").groupBy("found").agg(F.max(F.when(~F.col("label"), F.col("freq"))).alias("pages"), F.max(F.when(F.col("label"), F.col("freq"))).alias("bad"))
+    parts = F.transform("found", lambda i: F.split(i, " "))
+    return counts.where(F.col("bad") / F.col("pages") >= min_confidence).select(F.concat(F.array(parts[0][0]), F.transform(parts, lambda x: x[1])).alias("items"), "pages", "bad")
+
+
 def mine_rules(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> tuple[DataFrame, DataFrame]:
     """Sets of URL tokens that go with unwanted pages: (rules, tokens).
 
     Rules: ``rule_id``, ``items``, ``confidence``, ``support``.  Tokens: ``token``,
     ``item``; a rule fits a URL that has a token of each of its items.  A page is
     unwanted if a row of ``labels`` with its id (``doc_id``) has toxic = 1; all
-    labelled pages count.  A rule needs ``min_support`` of these and ``min_pages``, and
-    is dropped if a part of its items is a rule of at least its confidence.  Nothing
-    is at least as confident as a part that is always unwanted, so items of
-    confidence 1 are rules by themselves and stay out of the mining of longer sets.
-    Without labelled pages there are no rules.
+    labelled pages count.  A rule needs ``min_support`` of these and ``min_pages``.
+    Where a rule fits, so do the rules among its parts, so sets that hold a rule of one
+    item or two aren't grown, and neither is a set with an item that excludes no wanted
+    page; both leave what some rule fits as it is.  A rule is dropped if it is one
+    without one of its items as well.  Without labelled pages there are no rules.
     """
     baskets = materialize(_baskets(pages, labels), "baskets")
-    n = baskets.count()
+    n, wanted = baskets.agg(F.count("*"), F.count_if(~F.col("unwanted"))).first()
     least = max(1, min_pages, math.ceil(min_support * n - 1e-9))
     tokens = materialize(_tokens_by_item(baskets, least), "url-items")
-    single = tokens.groupBy("item").agg(F.first("pages").alias("pages"), F.first("bad").alias("bad")).select(F.array("item").alias("items"), (F.col("bad") / F.col("pages")).alias("confidence"), (F.col("bad") / F.lit(n)).alias("support"))
-    found = single.where(F.col("confidence") >= min_confidence)
-    open_ = tokens.where("bad < pages").select("token", "item")
+    single = tokens.groupBy("item").agg(F.first("pages").alias("pages"), F.first("bad").alias("bad"))
+    confident = F.col("bad") / F.col("pages") >= min_confidence
+    found = single.where(confident).select(F.array("item").alias("items"), "pages", "bad")
+    open_ = materialize(single.where(~confident & (F.col("pages") - F.col("bad") < wanted)).select("item"), "open-items")
     if open_.limit(1).count():
-        items = baskets.select("basket", F.explode("items").alias("token")).join(open_, "token").groupBy("basket").agg(F.collect_set("item").alias("found"))
-        rows = baskets.select("basket", "unwanted").join(items, "basket", "left").select(F.concat(F.coalesce("found", F.array().cast("array<string>")), F.when(F.col("unwanted"), F.array(F.lit(_UNWANTED))).otherwise(F.array().cast("array<string>"))).alias("items"))
-        mined = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / n, minConfidence=min_confidence).fit(materialize(rows, "item-baskets")).associationRules
-        longer = mined.where(F.array_contains("consequent", _UNWANTED) & (F.size("antecedent") > 1)).select(F.array_sort("antecedent").alias("items"), "confidence", "support")
-        found = found.unionByName(longer)
-    rules = materialize(found.select(F.xxhash64("items").alias("rule_id"), "items", "confidence", "support"), "association-rules")
+        names = _broadcast_if_small(materialize(tokens.select("token", "item").join(open_, "item"), "open-tokens"))
+        items = baskets.select("basket", "unwanted", F.explode("items").alias("token")).join(names, "token").groupBy("basket", "unwanted").agg(F.array_sort(F.collect_set("item")).alias("found"))
+        rows = materialize(items.where("size(found) > 1"), "open-baskets")
+        two, grown = _pairs(rows, least, min_confidence)
+        found = found.unionByName(two.select(F.array("a", "b").alias("items"), "pages", "bad"))
+        if grown.limit(1).count():
+            found = found.unionByName(_longer(rows, grown, least, min_confidence))
+    rules = materialize(found.select(F.xxhash64("items").alias("rule_id"), "items", (F.col("bad") / F.col("pages")).alias("confidence"), (F.col("bad") / F.lit(n)).alias("support")), "association-rules")
     return _without_redundant(rules), tokens.select("token", "item")
 
 
@@ -120,10 +168,10 @@ def _index(rules: DataFrame) -> DataFrame:
 
 
 def _without_redundant(rules: DataFrame) -> DataFrame:
-    """Rules of which no smaller part is a rule of the same confidence or more (found by the inverted index)."""
-    own = rules.select(F.col("rule_id").alias("whole"), F.size("items").alias("size"), F.col("confidence").alias("whole_confidence"), F.explode("items").alias("item"))
-    part = own.join(_index(rules), "item").where("needed < size and confidence >= whole_confidence").groupBy("whole", "rule_id", "needed").count().where("count = needed")
-    return rules.join(part.select(F.col("whole").alias("rule_id")).distinct(), "rule_id", "left_anti")
+    """Rules that are no rule any more without any one of their items (each part is looked up by its own key)."""
+    parts = rules.where("size(items) > 1").select("rule_id", F.explode(F.transform("items", lambda _, i: F.filter("items", lambda _, j: i != j))).alias("part"))
+    held = parts.join(rules.select(F.col("items").alias("part")), "part").select("rule_id").distinct()
+    return rules.join(held, "rule_id", "left_anti")
 
 
 def match_rules(urls: DataFrame, rules: DataFrame, items: DataFrame) -> DataFrame:
@@ -147,7 +195,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str, str]]
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumn("best", rule_for(F.col("host"), F.col("path"), rules))
     if mined.limit(1).count():
-        rows = rows.join(match_rules(pages, mined, items), "url", "left")
+        spread = F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt")  # a frequent url meets its match in several tasks
+        rows = rows.withColumn("salt", (F.monotonically_increasing_id() % SPREAD).cast("int")).join(match_rules(pages, mined, items).select("*", spread), ["url", "salt"], "left")
     else:
         rows = rows.withColumn("confidence", F.lit(None).cast("double"))
     verdict = F.when(F.col("best").isNotNull(), F.col("best.verdict")).when(F.col("confidence").isNotNull(), "block").otherwise("allow")

@@ -3,8 +3,10 @@ nulls, empty and long texts, ties, repeated rows, extra columns with clashing na
 and empty tables."""
 
 import hashlib
+import itertools
 import random
 import re
+import time
 import unicodedata
 import zlib
 
@@ -664,6 +666,39 @@ def test_long_repeated_urls_are_mined_at_once(spark):
     assert got == dict.fromkeys([*range(10), 50, 51], "block") | {52: "block", 53: "allow"}  # 11 of 12 pages with x are unwanted
 
 
+@pytest.mark.parametrize("bad", [lambda i: True, lambda i: i % 2 == 0, lambda i: i % 5 < 2])
+def test_nearly_equal_tokens_are_mined_soon(spark, bad):
+    """Each of 100 pages lacks one of 20 tokens; the sets of frequent tokens are nearly all sets."""
+    names = [f"token{j:02}" for j in range(20)]
+    urls = {i: frozenset(t for j, t in enumerate(names) if j != i % 20) for i in range(100)} | {i: frozenset([names[i % 20]]) for i in range(100, 160)}
+    toxic = {i: int(i < 100 and bad(i)) for i in urls}
+    pages = spark.createDataFrame([(i, "/".join(sorted(u))) for i, u in urls.items()], "page_id long, url string")
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    began = time.time()
+    rules, items = url_filter.mine_rules(pages, labels)
+    found = [frozenset(r["items"]) for r in rules.collect()]
+    took = time.time() - began
+    tokens = {}
+    for r in items.collect():
+        tokens.setdefault(r["item"], []).append(r.token)
+    assert all(len(t) == 1 for t in tokens.values())  # no two tokens stand in the same pages
+
+    def counts(s):
+        on = [toxic[i] for i, u in urls.items() if s <= u]
+        return sum(on), len(on)
+
+    for s in random.Random(8).sample(found, min(50, len(found))):
+        hits, all_ = counts(s)
+        assert hits >= 5 and hits >= 0.6 * all_
+    # the sets of three or fewer of which none smaller is a rule are all there
+    small = [frozenset(c) for k in (1, 2, 3) for c in itertools.combinations(names, k)]
+    for s in small:
+        hits, all_ = counts(s)
+        if hits >= 5 and hits >= 0.6 * all_:
+            assert any(f <= s for f in found)
+    assert took < 60
+
+
 # the pipeline
 
 
