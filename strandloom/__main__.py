@@ -51,10 +51,12 @@ def parser() -> argparse.ArgumentParser:
     build.add_argument("--min-qual", type=int, default=20)
     build.add_argument("--qual-filter", choices=["no-filter", "middle", "strict"], default="strict")
     build.add_argument("--proportion-reads", type=_share)
-    filtered(command("align", "variable columns as FASTA"))
+    align = command("align", "variable columns as FASTA")
+    align.add_argument("--format", choices=["fasta", "json"], default="fasta", help="json: tree, names and alignment")
+    filtered(align)
     mapped = command("map", "map samples to a reference")
     mapped.add_argument("--reference", required=True)
-    mapped.add_argument("--format", choices=["aln", "vcf"], default="aln")
+    mapped.add_argument("--format", choices=["aln", "vcf", "json", "ref"], default="aln", help="json: an object for each sample; ref: the reference as it is read")
     mapped.add_argument("--ambig-mask", action="store_true")
     mapped.add_argument("--repeat-mask", action="store_true")
     dist = command("distance", "pairwise distances")
@@ -63,6 +65,8 @@ def parser() -> argparse.ArgumentParser:
     dist.add_argument("--clusters", help="write single-linkage clusters as CSV")
     dist.add_argument("--max-snps", type=float, default=10)
     dist.add_argument("--max-mismatches", type=float, default=1.0)
+    dist.add_argument("--dot", help="write the pairs within --max-snps as a graph")
+    dist.add_argument("--phylip", help="write the matrix of distances")
     dist.add_argument("--tree", help="write a midpoint-rooted neighbour-joining tree")
     command("merge", "join indexes")
     delete = command("delete", "drop samples")
@@ -88,8 +92,8 @@ def main(args: list[str] | None = None) -> int:
     from pyspark.sql import SparkSession
     from pyspark.sql import functions as F
 
-    from strandloom.operators import coverage, distance, filters, index, refmap
-    from strandloom.sources import sequences, sinks
+    from strandloom.operators import coverage, distance, filters, index, refmap, results
+    from strandloom.sources import inputs, sequences, sinks
     from strandloom.sources.shared import materialize
 
     a = parser().parse_args(args)
@@ -100,8 +104,7 @@ def main(args: list[str] | None = None) -> int:
     listed = sequences.file_list(spark, a.file_list) if a.file_list and a.command != "delete" else files(spark, a.inputs)
 
     def one() -> index.Index:
-        """A saved index, or one built with the defaults from several files."""
-        return index.load(spark, a.inputs[0]) if len(a.inputs) == 1 and not a.file_list else index.build(sequences.read(listed), quality="strict", min_count=5)
+        return inputs.open_index(spark, a.inputs, a.file_list if a.command != "delete" else None)
 
     if a.command == "build":
         reads = sequences.read(listed)
@@ -119,15 +122,24 @@ def main(args: list[str] | None = None) -> int:
         if a.command == "weed" and a.weed_file:
             own = index.weed(own, sequences.read(sequences.files(spark, [a.weed_file])), a.reverse)
         kept = filters.apply_filters(own, a.filter, a.min_freq, a.filter_ambig_as_missing, a.ambig_mask, a.no_gap_only_sites, floor=a.command == "weed")
-        index.save(kept, a.output) if a.command == "weed" else emit(sinks.fasta_lines(filters.alignment(kept)))
+        if a.command == "weed":
+            index.save(kept, a.output)
+        elif a.format == "json":
+            emit(sinks.json_lines(results.alignment_json(index.stored(kept)).select(F.lit("").alias("sample"), "json")))
+        else:
+            emit(sinks.fasta_lines(filters.alignment(kept)))
     elif a.command == "map":
         own = one()
         ref = refmap.reference(sequences.reference_contigs(spark, a.reference), own.k, own.rc)
         refmap.check(own, ref)
         if a.format == "aln":
             emit(sinks.fasta_lines(refmap.pseudoalignment(own, ref, a.ambig_mask, a.repeat_mask)))
+        elif a.format == "json":
+            emit(sinks.json_lines(results.mapping_json(own, ref)))
+        elif a.format == "ref":
+            emit(sinks.reference_lines(ref.contigs))
         else:
-            sites = refmap.vcf(own, ref, a.ambig_mask, a.repeat_mask).join(F.broadcast(ref.contigs.select("chrom", "name")), "chrom")  # one row a contig
+            sites = refmap.vcf(own, ref, a.ambig_mask, a.repeat_mask).join(ref.contigs.select("chrom", "name"), "chrom")
             emit(sinks.vcf_lines(sites, own.names, F.col("name")))
     elif a.command == "distance":
         own = one()
@@ -135,6 +147,10 @@ def main(args: list[str] | None = None) -> int:
         emit(sinks.distance_table(found))
         if a.clusters:
             sinks.write(sinks.cluster_table(distance.single_linkage(found, own.names, a.max_snps, a.max_mismatches)), a.clusters)
+        if a.dot:
+            sinks.write(sinks.dot_graph(found, a.max_snps), a.dot)
+        if a.phylip:
+            sinks.write(sinks.phylip_lines(distance.phylip(found, own.names), own.n_samples), a.phylip)
         if a.tree:
             sinks.write(sinks.one_line(spark, distance.tree(found, own.names, rooted=True)), a.tree)
     elif a.command == "nk":

@@ -250,10 +250,10 @@ def neighbour_joining(matrix: np.ndarray, names: list[str], rooted: bool = False
     return newick(joined_edges(matrix) if len(names) > 1 else [], list(names), rooted)
 
 
-def tree(found: DataFrame, names: tuple[str, ...], value: str = "distance", rooted: bool = False) -> str:
-    """The neighbour-joining tree of all pairs (one number for each pair of samples comes to the driver)."""
+def tree(found: DataFrame, names: tuple[str, ...], value: str = "distance", rooted: bool = False, shown: tuple[str, ...] | None = None) -> str:
+    """The neighbour-joining tree of all pairs (one number for each pair of samples comes to the driver), its leaves named ``shown`` or else ``names``."""
     at = {n: i for i, n in enumerate(names)}
     matrix = np.zeros((len(names), len(names)))
     for a, b, v in found.select("sample1", "sample2", value).collect():
         matrix[at[a], at[b]] = matrix[at[b], at[a]] = v
-    return neighbour_joining(matrix, list(names), rooted)
+    return neighbour_joining(matrix, list(shown or names), rooted)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +51,12 @@ def passes(kind: str, n_samples: int, least: int, ambig_missing: bool = False, i
 
 
 def apply_filters(index: Index, kind: str = NO_CONST, min_freq: float = 0.9, ambig_missing: bool = False, ambig_mask: bool = False, ignore_const_gaps: bool = False, floor: bool = False) -> Index:
-    """The keys that pass; with ``ambig_mask`` their ambiguous bases as N."""
+    """The keys that pass; with ``ambig_mask`` their ambiguous bases as N.
+
+    A filter that keeps constant sites keeps those with gaps too: a warning says so.
+    """
+    if ignore_const_gaps and kind in (NO_FILTER, NO_AMBIG):
+        warnings.warn(f"gap-only sites can only be left out with a filter of constant sites, not with {kind}", stacklevel=2)
     keys = key_stats(index).where(passes(kind, index.n_samples, least_count(index, min_freq, floor), ambig_missing, ignore_const_gaps)).select(*KEY)
     kept = index.kmers.join(keys, KEY, "left_semi")
     if ambig_mask:

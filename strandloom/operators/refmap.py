@@ -127,8 +127,8 @@ def _line(rows: DataFrame, by: list[str]) -> DataFrame:
     return gathered.select(*by, F.concat(F.array_join(pieces, ""), F.repeat(F.lit("-"), (F.col("length") - end(last)).cast("int"))).alias("seq"))
 
 
-def pseudoalignment(index: Index, ref: Reference, ambig_mask: bool = False, repeat_mask: bool = False) -> DataFrame:
-    """``sample``, ``seq``: each sample over all contigs in order, gaps as ``-``.
+def by_contig(index: Index, ref: Reference, ambig_mask: bool = False, repeat_mask: bool = False) -> DataFrame:
+    """``sample``, ``chrom``, ``seq``: each sample over each contig, gaps as ``-``.
 
     Consecutive covered positions are joined to stretches before they are gathered.
     """
@@ -141,7 +141,12 @@ def pseudoalignment(index: Index, ref: Reference, ambig_mask: bool = False, repe
     lengths = ref.contigs.select("chrom", F.length("seq").cast("int").alias("length"))
     mapped = _line(pieces.join(lengths, "chrom"), ["sample", "chrom"])
     names = spark.createDataFrame([(n,) for n in index.names], "sample string")
-    grid = names.crossJoin(lengths).join(mapped, ["sample", "chrom"], "left").select("sample", "chrom", F.coalesce("seq", F.repeat(F.lit("-"), F.col("length"))).alias("seq"))
+    return names.crossJoin(lengths).join(mapped, ["sample", "chrom"], "left").select("sample", "chrom", F.coalesce("seq", F.repeat(F.lit("-"), F.col("length"))).alias("seq"))
+
+
+def pseudoalignment(index: Index, ref: Reference, ambig_mask: bool = False, repeat_mask: bool = False) -> DataFrame:
+    """``sample``, ``seq``: each sample over all contigs in order, gaps as ``-``."""
+    grid = by_contig(index, ref, ambig_mask, repeat_mask)
     return grid.groupBy("sample").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chrom", "seq"))), lambda x: x["seq"]), "").alias("seq"))
 
 

@@ -195,6 +195,9 @@ SQL = {
     "map_hits": _mapped() + " SELECT * FROM hit",
     "pseudoalign": _pseudo(),
     "pseudoalign_ambig_mask": _pseudo(mask=True, repeats=True),
+    "map_results": _mapped() + """, told AS (SELECT n.sample, base.chrom, string_agg(coalesce(code, '-'), '' ORDER BY base.pos) AS seq FROM n CROSS JOIN base LEFT JOIN cell ON cell.sample = n.sample AND cell.chrom = base.chrom AND cell.pos = base.pos GROUP BY n.sample, base.chrom),
+      full_ AS (SELECT n.sample, seqs.chrom, coalesce(told.seq, '') AS seq FROM n CROSS JOIN seqs LEFT JOIN told ON told.sample = n.sample AND told.chrom = seqs.chrom)
+      SELECT f.sample, string_agg(seq, '|' ORDER BY chrom) AS sequences, (SELECT count(*) FROM (SELECT DISTINCT chrom, pos FROM hit WHERE hit.sample = f.sample)) AS variants, round(sum(length(replace(seq, '-', ''))) / sum(length(seq))::DOUBLE, 9) AS coverage FROM full_ f GROUP BY f.sample""",
     "map_coverage": _mapped() + " SELECT n.sample, count(cell.pos) AS covered, round(count(cell.pos) / (SELECT count(*) FROM base)::DOUBLE, 9) AS coverage FROM n LEFT JOIN cell ON cell.sample = n.sample GROUP BY n.sample",
     "vcf_sites": _vcf("chrom, pos, ref, alt"),
     "vcf_genotypes": _vcf("*", repeats=True),

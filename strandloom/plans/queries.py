@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.bases import complement_mask, is_ambiguous, key_digits, mask_code, overlap, revcomp, sample_name, text_bases, text_quality
 from strandloom.functions.kmers import gapped_kmers
-from strandloom.operators import coverage, distance, filters, graph, index, planes, refmap
+from strandloom.operators import coverage, distance, filters, graph, index, planes, refmap, results
 from strandloom.operators.index import Index
 from strandloom.sources.shared import materialize, spread
 
@@ -212,6 +212,7 @@ QUERIES = {
     "map_hits": lambda s, d: refmap.hits(*_mapped(s, d)),
     "pseudoalign": _pseudo(),
     "pseudoalign_ambig_mask": _pseudo(ambig_mask=True, repeat_mask=True),
+    "map_results": lambda s, d: results.mapping(*_mapped(s, d)).select("sample", F.array_join("sequences", "|").alias("sequences"), "variants", F.round("coverage", 9).alias("coverage")),
     "map_coverage": lambda s, d: refmap.map_coverage(*_mapped(s, d)).select("sample", "covered", F.round("coverage", 9).alias("coverage")),
     "vcf_sites": lambda s, d: refmap.vcf(*_mapped(s, d)).select("chrom", "pos", "ref", "alt"),
     "vcf_genotypes": lambda s, d: refmap.vcf(*_mapped(s, d), repeat_mask=True),

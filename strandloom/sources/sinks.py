@@ -19,6 +19,16 @@ def fasta_lines(rows: DataFrame) -> DataFrame:
     return rows.select(F.lit(1).alias("section"), F.col("sample").alias("a"), F.lit("").alias("b"), F.concat(F.lit(">"), "sample", F.lit("\n"), "seq").alias("line"))
 
 
+def reference_lines(contigs: DataFrame) -> DataFrame:
+    """The sequences of ``chrom``, ``seq`` in order, a line each."""
+    return contigs.select(F.lit(1).alias("section"), F.lpad(F.col("chrom").cast("string"), 20, "0").alias("a"), F.lit("").alias("b"), F.col("seq").alias("line"))
+
+
+def json_lines(rows: DataFrame) -> DataFrame:
+    """The ``json`` objects of rows by ``sample``, a line each."""
+    return rows.select(F.lit(1).alias("section"), F.col("sample").alias("a"), F.lit("").alias("b"), F.col("json").alias("line"))
+
+
 def _with_header(rows: DataFrame, header: Sequence[str]) -> DataFrame:
     top = rows.sparkSession.createDataFrame([(0, f"{i:04d}", "", h) for i, h in enumerate(header)], "section int, a string, b string, line string")
     return top.unionByName(rows)

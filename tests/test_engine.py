@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions import bases
 from strandloom.functions.kmers import sliced, windows
-from strandloom.operators import coverage, distance, filters, graph, index, refmap
+from strandloom.operators import coverage, distance, filters, graph, index, refmap, results
 from strandloom.operators.components import connected_components
 from strandloom.sources import sequences, sinks
 
@@ -383,3 +383,90 @@ def test_graph_queries_walk_to_the_default_depth(monkeypatch):
         except LookupError:
             pass
     assert asked == [4] * 4
+
+
+def test_json_results(spark):
+    import json
+
+    one = index.build(seqs(spark, [("a b", BASE), ("c", put(BASE, 150, other(BASE[150]))), ("d", "ACGT" * 3)]), 15)
+    ref = refmap.reference(spark.createDataFrame([(0, BASE[:200]), (1, BASE[200:]), (2, "")], "chrom int, seq string"), 15)
+    got = {r.sample: json.loads(r.json) for r in results.mapping_json(one, ref).collect()}
+    whole = {r.sample: r.seq for r in refmap.pseudoalignment(one, ref).collect()}
+    share = {r.sample: r.coverage for r in refmap.map_coverage(one, ref).collect()}
+    for name in one.names:
+        assert [len(x) for x in got[name]["Mapped sequences"]] == [200, 100, 0] and "".join(got[name]["Mapped sequences"]) == whole[name]
+        assert got[name]["Coverage"] == pytest.approx(share[name])
+    # a changed base is a variant of its own; 14 windows around it have other arms
+    keys = ref.kmers.count()
+    assert (got["a b"]["Number of variants"], got["c"]["Number of variants"], got["d"]["Number of variants"]) == (keys, keys - 14, 0)
+    (row,) = results.alignment_json(one).collect()
+    told = json.loads(row.json)
+    rows = {r.sample: r.seq for r in filters.alignment(one).collect()}
+    assert told["names"] == list(one.names) and told["alignment"] == "".join(f">{n}\n{rows[n]}\n" for n in one.names)
+    assert re.sub(r":[0-9.eE+-]+", "", told["newick"]).count(",") == 2 and "a_b" in told["newick"] and told["newick"].endswith(";")
+    with pytest.raises(ValueError, match="not enough sequences"):
+        results.alignment_json(index.build(seqs(spark, [("a", BASE), ("b", BASE)]), 15))
+
+
+def test_warning_of_gaps_that_stay(spark):
+    import warnings
+
+    one = index.build(seqs(spark, [("a", BASE), ("b", BASE)]), 15)
+    for kind in (filters.NO_FILTER, filters.NO_AMBIG):
+        with pytest.warns(UserWarning, match="gap-only"):
+            filters.apply_filters(one, kind, ignore_const_gaps=True)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        filters.apply_filters(one, filters.NO_CONST, ignore_const_gaps=True)
+        filters.apply_filters(one, filters.NO_FILTER)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from strandloom.__main__ import main
+
+    texts = {"a": BASE, "b": put(BASE, 150, other(BASE[150])), "c": put(put(BASE, 150, other(BASE[150])), 40, other(BASE[40]))}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.fa").write_text(f">x\n{text}\n")
+    (tmp_path / "ref.fa").write_text(f">one\n{BASE[:180]}\n>two\n{BASE[180:]}\n")
+    (tmp_path / "drop.fa").write_text(f">x\n{BASE[:100]}\n")
+    at = lambda name: f"{tmp_path}/{name}"
+    text = lambda name: spark.read.text(at(name)).orderBy(F.input_file_name(), F.monotonically_increasing_id()).toPandas()["value"].tolist()
+    run = lambda *args: (main([*args]), capsys.readouterr().out)
+    assert run("build", "-k", "15", "-o", at("abc"), at("a.fa"), at("b.fa"), at("c.fa"))[0] == 0
+    run("build", "-k", "15", "-o", at("ab"), at("a.fa"), at("b.fa"))
+    run("build", "-k", "15", "-o", at("only"), at("c.fa"))
+    run("merge", at("ab"), at("only"), "-o", at("joined"))
+    both = [index.load(spark, at(x)) for x in ("abc", "joined")]
+    assert [sorted(x.names) for x in both] == [["a", "b", "c"]] * 2 and len({frozenset(map(tuple, x.kmers.select("sample", "key_hi", "key_lo", "mask").collect())) for x in both}) == 1
+    run("delete", at("abc"), "-n", "c", "-o", at("less"))
+    assert index.load(spark, at("less")).names == ("a", "b")
+    run("weed", at("abc"), "--weed-file", at("drop.fa"), "--filter", "no-filter", "-m", "0", "-o", at("weeded"))
+    assert 0 < index.load(spark, at("weeded")).kmers.count() < both[0].kmers.count()
+    out = run("align", at("abc"), "-m", "0.6")[1].split()
+    assert out[::2] == [">a", ">b", ">c"] and len({len(x) for x in out[1::2]}) == 1 and len(out[1]) > 0
+    told = json.loads(run("align", at("abc"), "-m", "0.6", "--format", "json")[1])
+    assert told["alignment"].split() == out and told["names"] == ["a", "b", "c"]
+    run("map", at("abc"), "--reference", at("ref.fa"), "-o", at("aln"))
+    mapped = text("aln")
+    assert mapped[0] == ">a" and mapped[1] == BASE
+    objects = [json.loads(x) for x in run("map", at("abc"), "--reference", at("ref.fa"), "--format", "json")[1].splitlines()]
+    assert objects[0]["Mapped sequences"] == [BASE[:180], BASE[180:]] and objects[0]["Coverage"] == 1
+    assert run("map", at("abc"), "--reference", at("ref.fa"), "--format", "ref")[1].split() == [BASE[:180], BASE[180:]]
+    sites = [x.split("\t") for x in run("map", at("abc"), "--reference", at("ref.fa"), "--format", "vcf")[1].splitlines() if not x.startswith("#")]
+    assert [(x[0], x[1], x[3], x[4], x[9:]) for x in sites] == [("one", "41", BASE[40], other(BASE[40]), ["0", "0", "1"]), ("one", "151", BASE[150], other(BASE[150]), ["0", "1", "1"])]
+    out = run("distance", at("abc"), "--clusters", at("clusters"), "--dot", at("dot"), "--phylip", at("phylip"), "--tree", at("tree"), "--max-snps", "1.5")[1].splitlines()
+    assert [x.split("\t")[:3] for x in out[1:]] == [["a", "b", "1.00"], ["a", "c", "2.00"], ["b", "c", "1.00"]]
+    assert text("clusters") == ["id,Cluster", "a,1", "b,1", "c,1"]
+    assert text("dot") == ["graph distances {", '  "a" -- "b" [label=1.00];', '  "b" -- "c" [label=1.00];', "}"]
+    assert [x.split("\t")[:2] for x in text("phylip")] == [["3"], ["a", "0.000000"], ["b", "1.000000"], ["c", "2.000000"]]
+    assert text("tree")[0].endswith(";")
+    shown = run("nk", at("abc"), "--full-info")[1]
+    assert sum(len(x.split("\t")) == 2 for x in shown.splitlines()) == both[0].kmers.select("key_hi", "key_lo").distinct().count()
+    with pytest.raises(ValueError, match="single record"):
+        main(["lo", at("abc"), "-o", at("out"), "-r", at("ref.fa")])
+    run("lo", at("abc"), "-m", "0.7", "-o", at("out"), "-r", at("a.fa"))
+    assert {p.name for p in tmp_path.iterdir() if p.name.startswith("out")} >= {"out_snps", "out_indels", "out_snps_vcf", "out_genomes"}
+    with pytest.raises(SystemExit):
+        main(["build", "-k", "14", "-o", at("x"), at("a.fa")])
