@@ -32,6 +32,8 @@ MAGIC = b"WVMX0002"
 END_ID = 2
 #: Ids in a shard; a longer document is a shard of its own.
 SHARD_TOKENS = 1 << 20
+#: Parts that equal rows may be dealt to.
+SPREAD = 64
 #: Bits of a plane between two entries of its directory.
 BLOCK_BITS = 512
 
@@ -215,14 +217,16 @@ def write_shards(docs: DataFrame, out: str | None = None, end_id: int = END_ID,
 
     Returns the manifest, one row per file.  Null texts count as empty, null
     ``doc_id`` sort first, repeated rows are kept, an empty table writes no file.
-    Range partitions keep the order without gathering rows anywhere; a shard closes
+    Range partitions keep the order without gathering rows anywhere: rows of one id are
+    dealt by a hash of their text, and equal rows by ``SPREAD`` numbers.  A shard closes
     at the first block that brings it to ``shard_tokens``.
     """
     spark = docs.sparkSession
     out = out or shared_dir(spark, "token-shards")
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = rows.repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.mapInArrow(_write(out, tokenizer or default_tokenizer(), end_id, shard_tokens), _MANIFEST), "token-manifest")
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("*", F.xxhash64("text").alias("print"), (F.monotonically_increasing_id() % SPREAD).alias("salt"))
+    by = ["doc_id", "print", "salt"]
+    ordered = rows.repartitionByRange(partitions(spark), *by).sortWithinPartitions(*by)
+    return materialize(ordered.select("doc_id", "text").mapInArrow(_write(out, tokenizer or default_tokenizer(), end_id, shard_tokens), _MANIFEST), "token-manifest")
 
 
 def _open(path: str) -> bytes:

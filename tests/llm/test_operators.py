@@ -281,6 +281,78 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(table.limit(3), None).collect()} == {"und"}
 
 
+def test_language_by_brute_force(spark, tmp_path):
+    """``lang_pred``, ``score`` and ``held_out`` of the query from their definitions, a letter and a word at a time."""
+    from collections import Counter
+    from math import log
+
+    rng, texts = random.Random(15), {}
+    for i in range(150):
+        own = ["en", "de", "ru"][i % 3]
+        words_ = [rng.choice(LANGUAGES[own].split()) for _ in range(rng.randint(1, 60))]
+        if i % 5 == 0:
+            words_ += [rng.choice(LANGUAGES[rng.choice(["en", "de", "ru"])].split()) for _ in range(rng.randint(1, 40))]
+        texts[i] = (rng.choice([" ", ", ", " 12 ", "-"]).join(words_).capitalize(), own if i % 11 else None)
+    texts |= {200: (None, "en"), 201: ("", "de"), 202: ("12 \u0301 !!", "ru"), 203: ("\u65e5\u672c\u8a9e", None), 204: ("the \u0438 and", None), 205: ("x" * 5000 + " " + "der " * 3000, "de")}
+    spark.createDataFrame([(i, t, lang, "s", 0.5) for i, (t, lang) in texts.items()], "doc_id long, text string, lang string, source string, score double").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def words_of(text):
+        low, out, at = (text or "").lower(), [], 0
+        kinds = [unicodedata.category(c)[0] for c in low]
+        while at < len(low):
+            end = at
+            while end < len(low) and kinds[end] in "LM":
+                end += 1
+            if "L" in kinds[at:end]:
+                out.append(low[at:end])
+            at = max(end, at + 1)
+        return out
+
+    script = lambda c: next(name for first, name in reversed(language.SCRIPTS) if ord(c) >= first)
+
+    def features(word):
+        codes = [0, *map(ord, word), 0]
+        code = [(a * 0x9E3779B1 + b * 0x85EBCA77C2B2AE63 + c * 0xC2B2AE3D27D4EB4F) % 2**64 for a, b, c in zip(codes, codes[1:], codes[2:])]
+        return (language.mix(np.array(code, np.uint64)) & np.uint64(language.FEATURES - 1)).tolist()
+
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in texts}
+    names = sorted({lang for i, (t, lang) in texts.items() if lang and t is not None and not held[i]})
+    grams, letters = {x: Counter() for x in names}, {x: Counter() for x in names}
+    for i, (t, lang) in texts.items():
+        if lang and t is not None and not held[i]:
+            for w in words_of(t):
+                grams[lang].update(features(w))
+                letters[lang][script(w[0])] += len(w)
+    chance = lambda x, f: log((grams[x][f] + 0.5) / (grams[x].total() + 0.5 * language.FEATURES))
+    allowed = {x: {s for s, n in letters[x].items() if n >= language.SCRIPT_SHARE * letters[x].total()} for x in names}
+
+    def predict(text):
+        found = words_of(text)
+        if not found:
+            return "und", 0.0
+        best, back = dict.fromkeys(names, 0.0), []
+        for n, w in enumerate(found):
+            fits = [x for x in names if script(w[0]) in allowed[x]] or names
+            own = {x: sum(chance(x, f) for f in features(w)) if x in fits else -1e6 for x in names}
+            top = max(names, key=lambda x: (best[x], -names.index(x)))
+            stay = {x: not n or best[x] >= best[top] - language.SWITCH_PENALTY for x in names}
+            back.append({x: x if stay[x] else top for x in names})
+            best = {x: own[x] - max(own.values()) + (best[x] if stay[x] else best[top] - language.SWITCH_PENALTY) for x in names}
+        at, share = max(names, key=lambda x: (best[x], -names.index(x))), Counter()
+        for w, before in zip(reversed(found), reversed(back)):
+            share[at] += len(w)
+            at = before[at]
+        top = max(names, key=lambda x: (share[x], -names.index(x)))
+        return top, share[top] / share.total()
+
+    got = {r.doc_id: r for r in language.op5_language_id(spark, str(tmp_path)).collect()}
+    assert set(got) == set(texts) and {i: r.held_out for i, r in got.items()} == held
+    for i, (t, _) in texts.items():
+        name, score = predict(t)
+        assert (got[i].lang_pred, got[i].score) == (name, pytest.approx(score)), i
+    assert len({r.score for r in got.values()}) > 5
+
+
 def test_marks_alone_are_no_language():
     model = language.Model(["a", "b"], np.zeros((language.FEATURES, 2), np.float32), np.ones((len(language.SCRIPT_NAMES), 2), bool))
     texts = ["\u0301", "\u0301\u0302 \u0301", "e\u0301", None, "\U0003ffff", "\u0301 x", "", "\U000323ae", "12 \u0301 !"]
@@ -385,6 +457,19 @@ def test_token_files(docs, empty):
     assert wavelet.read_documents(wavelet.write_shards(empty)).count() == 0
 
 
+def test_token_files_of_one_frequent_id(spark):
+    """Rows of one id, equal texts included, are dealt to several files and keep the order of ids."""
+    texts = [(None, prose(20, 50 + i % 40)) for i in range(300)] + [(5, "same text")] * 300 + [(i, prose(3, i)) for i in range(6, 30)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(6)
+    manifest = wavelet.write_shards(docs, shard_tokens=300)
+    got = sorted(wavelet.read_documents(manifest).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [i for i, _ in texts]
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+    want = lambda key: sorted((crc(ids_of(t) + [2]) for i, t in texts if i == key))
+    assert all(sorted(r.ids_crc32 for r in got if r.doc_id == key) == want(key) for key in (None, 5, 7))
+    assert manifest.groupBy("part").sum("n_tokens").count() == wavelet.partitions(spark) > 1
+
+
 @pytest.mark.parametrize("n", [1, 63, 511, 512, 513, 1024, 5000])
 def test_wavelet_ranks(n):
     rng = np.random.default_rng(n)
