@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.bases import DIGIT_MASKS, check_k
 
-_COLUMNS = "start int, pos int, key_hi long, key_lo long, mask int, is_rc boolean, palindrome boolean"
+_COLUMNS = "start int, pos int, key_hi long, key_lo long, mask int, is_rc boolean, palindrome boolean, letter int"
 _MASK = np.array(DIGIT_MASKS, np.int32)
 _PAIR = np.array([9, 6, 9, 6], np.int32)  # A or T: W; C or G: S
 
@@ -67,7 +67,7 @@ def windows(seqs: list[bytes], quals: list[bytes | None] | None, k: int, rc: boo
         same = flip = np.zeros(len(at), bool)
         mask = _MASK[middle]
     start = (at - begins[seq]).astype(np.int32)
-    return {"seq": seq, "start": start, "pos": start + np.int32(h), "key_hi": up, "key_lo": low, "mask": mask, "is_rc": flip, "palindrome": same}
+    return {"seq": seq, "start": start, "pos": start + np.int32(h), "key_hi": up, "key_lo": low, "mask": mask, "is_rc": flip, "palindrome": same, "letter": raw[at + h].astype(np.int32)}
 
 
 def sliced(seqs: list[bytes], quals: list[bytes | None] | None, k: int, rc: bool, quality: str, min_qual: int, size: int) -> Iterator[dict[str, np.ndarray]]:
@@ -106,7 +106,7 @@ def _joined(w: dict[str, np.ndarray], row: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def gapped_kmers(
-    seqs: DataFrame, k: int, rc: bool = True, quality: str = "none", min_qual: int = 20, keep: list[str | Column] | None = None, max_bytes: int = 2 << 20, joined: bool = False
+    seqs: DataFrame, k: int, rc: bool = True, quality: str = "none", min_qual: int = 20, keep: list[str | Column] | None = None, max_bytes: int = 2 << 20, joined: bool = False, letter: bool = False
 ) -> DataFrame:
     """Every gapped k-mer of every sequence, with the ``keep`` columns of its row.
 
@@ -116,13 +116,14 @@ def gapped_kmers(
     of quality ``min_qual`` or less, ``middle`` asks it of the middle base only, ``none``
     of none.  Null and short sequences give no rows.  ``joined``: a block of sequences
     gives a key once for each value of ``keep``, with its masks joined, and the columns
-    after ``mask`` and places are left out; a hot key is then a row a block.
+    after ``mask`` and places are left out; a hot key is then a row a block.  ``letter``
+    adds the middle as it is written, a character's number.
     """
     check_k(k)
     if quality not in ("none", "middle", "strict"):
         raise ValueError("quality is none, middle or strict")
     reads = "qual" in seqs.columns and quality != "none"
-    names = ["key_hi", "key_lo", "mask"] if joined else ["start", "pos", "key_hi", "key_lo", "mask", "is_rc", "palindrome"]
+    names = ["key_hi", "key_lo", "mask"] if joined else ["start", "pos", "key_hi", "key_lo", "mask", "is_rc", "palindrome"] + ["letter"] * letter
     rows = seqs.select(F.struct(*(keep or ["sample"])).alias("row"), F.col("seq").cast("binary").alias("seq"), *([F.col("qual").cast("binary").alias("qual")] if reads else [])).where("seq is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
