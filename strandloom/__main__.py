@@ -107,7 +107,7 @@ def main(args: list[str] | None = None) -> int:
         return inputs.open_index(spark, a.inputs, a.file_list if a.command != "delete" else None)
 
     if a.command == "build":
-        reads = sequences.read(listed)
+        reads = sequences.read_for_index(listed, a.k)
         paired = [r[0] for r in listed.where(sequences.is_paired()).select("sample").collect()]
         least = coverage.choose_min_count(a.min_count, reads, paired, a.k, not a.single_strand)
         names = [r[0] for r in listed.select("sample").collect()]
@@ -120,7 +120,7 @@ def main(args: list[str] | None = None) -> int:
     elif a.command in ("align", "weed"):
         own = one()
         if a.command == "weed" and a.weed_file:
-            own = index.weed(own, sequences.read(sequences.files(spark, [a.weed_file])), a.reverse)
+            own = index.weed(own, sequences.read_for_index(sequences.files(spark, [a.weed_file]), own.k), a.reverse)
         kept = filters.apply_filters(own, a.filter, a.min_freq, a.filter_ambig_as_missing, a.ambig_mask, a.no_gap_only_sites, floor=a.command == "weed")
         if a.command == "weed":
             index.save(kept, a.output)

@@ -13,4 +13,4 @@ def open_index(spark: SparkSession, paths: list[str], file_list: str | None = No
     if len(paths) == 1 and not file_list:
         return index.load(spark, paths[0])
     listed = sequences.file_list(spark, file_list) if file_list else sequences.files(spark, paths)
-    return index.build(sequences.read(listed), quality="strict", min_count=5)
+    return index.build(sequences.read_for_index(listed, 31), quality="strict", min_count=5)

@@ -1,7 +1,7 @@
 """Sequence files: lists of files, and FASTA or FASTQ records.
 
-A compressed file can't be split, so a file is read by one task, record by record; many
-files are read by many tasks.  The format follows from the first record's sign and
+A compressed file can't be split, so it is read by one task, record by record; many
+files are read by many tasks, and a long plain FASTA file by many (:mod:`ranges`).  The format follows from the first record's sign and
 compression from the first two bytes, never from the name.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.functions.bases import sample_name
+from strandloom.sources import ranges
 
 _RECORDS = "sample string, file_no int, rec_no long, contig string, seq string, qual string"
 
@@ -97,9 +98,23 @@ def records(lines: Iterator[bytes]) -> Iterator[tuple[str, str, str | None]]:
         raise ValueError("neither FASTA nor FASTQ")
 
 
+def _each(listed: DataFrame) -> DataFrame:
+    return listed.select("sample", F.posexplode(F.filter(F.array("path1", "path2"), lambda p: p.isNotNull())).alias("file_no", "path"))
+
+
+def read_for_index(listed: DataFrame, k: int) -> DataFrame:
+    """:func:`read`, but long plain FASTA files in overlapping pieces of contigs that hold every k-mer."""
+    each = ranges.with_length(_each(listed).repartition("path"))
+    long = F.coalesce(F.col("length") > ranges.RANGE, F.lit(False))
+    return _whole(each.where(~long).drop("length")).unionByName(ranges.pieces(each.where(long), k))
+
+
 def read(listed: DataFrame) -> DataFrame:
     """``sample file_no rec_no contig seq qual`` of a file list; ``rec_no`` starts at 0 in each file."""
-    each = listed.select("sample", F.posexplode(F.filter(F.array("path1", "path2"), lambda p: p.isNotNull())).alias("file_no", "path"))
+    return _whole(_each(listed))
+
+
+def _whole(each: DataFrame) -> DataFrame:
     n = max(1, min(each.count(), 10_000))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
