@@ -92,10 +92,14 @@ def repeat_positions(ref: Reference) -> DataFrame:
 
 
 def _met(index: Index, ref: Reference) -> DataFrame:
-    """``sample chrom pos mask letter``: the samples' bases and the reference's letters."""
+    """``sample chrom pos mask letter``: the samples' bases and the reference's letters.
+
+    The index is first cut to the reference's keys: Spark moves that semi-join below a build's aggregation
+    and shuffle, so that k-mers which aren't in the reference go no further than the task that cut them.
+    """
     if (index.k, index.rc) != (ref.k, ref.rc):
         raise ValueError("index and reference differ in k or in strandedness")
-    joined = ref.kmers.select("chrom", "pos", *KEY, "is_rc", "letter").join(index.kmers, KEY)
+    joined = ref.kmers.select("chrom", "pos", *KEY, "is_rc", "letter").join(index.kmers.join(ref.kmers.select(*KEY), KEY, "left_semi"), KEY)
     return joined.select("sample", "chrom", "pos", F.when(F.col("is_rc"), complement_mask(F.col("mask"))).otherwise(F.col("mask")).cast("int").alias("mask"), "letter")
 
 
