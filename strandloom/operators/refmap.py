@@ -24,6 +24,8 @@ from strandloom.sources.shared import materialize
 
 #: Positions in a slice of a contig; what is gathered of a contig is gathered by slice.
 SLICE = 1 << 12
+#: Bases of a reference whose keys may be broadcast; longer ones are joined by sort and merge.
+BROADCAST_BASES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -99,7 +101,10 @@ def _met(index: Index, ref: Reference) -> DataFrame:
     """
     if (index.k, index.rc) != (ref.k, ref.rc):
         raise ValueError("index and reference differ in k or in strandedness")
-    joined = ref.kmers.select("chrom", "pos", *KEY, "is_rc", "letter").join(index.kmers.join(ref.kmers.select(*KEY), KEY, "left_semi"), KEY)
+    # the size of cut k-mers is unknown to Spark, which would go by the size of the reference's file
+    size = ref.contigs.agg(F.sum(F.length("seq"))).first()[0] or 0
+    own = ref.kmers if size <= BROADCAST_BASES else ref.kmers.hint("merge")
+    joined = own.select("chrom", "pos", *KEY, "is_rc", "letter").join(index.kmers.join(own.select(*KEY), KEY, "left_semi"), KEY)
     return joined.select("sample", "chrom", "pos", F.when(F.col("is_rc"), complement_mask(F.col("mask"))).otherwise(F.col("mask")).cast("int").alias("mask"), "letter")
 
 

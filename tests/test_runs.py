@@ -128,3 +128,14 @@ def test_no_hits_and_lower_case(spark):
     assert got["b", 1] == "-" * 15 and got["a", 0] == "-" * 17 and got["a", 1].upper() == "ACGTTGCAACGGTCA"
     empty = refmap.reference(spark.createDataFrame([], "chrom int, seq string"), 7)
     assert refmap.vcf(one, empty).count() == 0 and refmap.by_contig(one, empty).count() == 0
+
+
+def test_long_references_are_not_broadcast(spark, monkeypatch):
+    samples, contigs = case(1)
+    one = index.build(spark.createDataFrame([(n, i, s) for n, seqs in samples.items() for i, s in enumerate(seqs)], "sample string, rec_no long, seq string"), 11)
+    ref = refmap.reference(spark.createDataFrame(contigs, "chrom int, seq string"), 11)
+    small = sorted(map(tuple, refmap.hits(one, ref).collect()))
+    monkeypatch.setattr(refmap, "BROADCAST_BASES", 0)
+    rows = refmap.hits(one, ref)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Broadcast" not in plan and sorted(map(tuple, rows.collect())) == small
