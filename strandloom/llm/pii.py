@@ -39,6 +39,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]")
+#: Numbers of the kinds that have a base pattern.
+BASE_KINDS = range(4)
 
 Span = tuple[int, int, int]  # start, number of the kind, end
 
@@ -270,7 +272,9 @@ def _told(spans: list[Span]) -> str:
 def detect(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     """``doc_id``, counts by kind, ``base_sha256``, ``spans`` and ``n_spans`` (of all kinds) of every row of ``docs``.
 
-    Spans are ``kind:start:end`` in code points, by start and then kind.  Null and
+    Spans are ``kind:start:end`` in code points, by start and then kind.  ``n_email`` to
+    ``n_phone`` count the base patterns' spans, as ``base_sha256`` does; ``n_secret`` has no
+    pattern and counts the tagger's, and ``n_spans`` counts all of ``spans``.  Null and
     empty texts have none; repeated rows come back once each; other columns play no
     part; an empty table gives no rows.
     """
@@ -279,7 +283,7 @@ def detect(docs: DataFrame, tagger: Tagger | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_blocks(batches):
             found = find_spans([t or "" for t in batch["text"].to_pylist()], tagger)
-            counts = np.array([np.bincount([k for _, k, _ in own], minlength=len(KINDS)) for _, own in found], np.int64).reshape(-1, len(KINDS))
+            counts = np.array([np.bincount([k for _, k, _ in base] + [k for _, k, _ in own if k not in BASE_KINDS], minlength=len(KINDS)) for base, own in found], np.int64).reshape(-1, len(KINDS))
             columns = [pa.array(counts[:, k].copy()) for k in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], *columns, pa.array([hashlib.sha256(_told(b).encode()).hexdigest() for b, _ in found]), pa.array([_told(own) for _, own in found]), pa.array([len(own) for _, own in found], pa.int64())],

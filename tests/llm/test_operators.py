@@ -239,6 +239,16 @@ def test_added_spans_by_brute_force(spark):
     assert sum(r.n_secret for r in got.values()) > 0
 
 
+def test_counts_are_of_base_spans(spark):
+    """Spans that only the tagger adds are in ``spans`` and ``n_spans``, not in the counts of the base patterns."""
+    texts = ["call 017 555-7713 or 9807915762804490 now", "mail a @ b.de or an.12@mail.example.com, 10.2.33.4", "4242 4242 4242 4242 and +1 (017) 555-7713"]
+    got = {r.doc_id: r for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        kinds = [k for _, k, _ in pii.base_spans(t)]
+        assert [got[i][f"n_{name}"] for name in ("email", "ip", "card", "phone")] == [kinds.count(k) for k in range(4)]
+    assert got[0].n_spans > 0 and got[0].n_card == got[0].n_phone == 0
+
+
 def test_spans_that_windows_cut():
     assert pii.joined([(10, 0, 96, False, True), (48, 0, 120, True, False)]) == [(10, 0, 120)]
     assert pii.joined([(10, 4, 96, False, True), (48, 4, 144, True, True), (96, 4, 150, True, False), (5, 1, 9, False, False)]) == [(5, 1, 9), (10, 4, 150)]
