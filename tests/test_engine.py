@@ -307,6 +307,7 @@ def test_coverage(spark):
     assert abs(found.coverage - 30) < 1 and 4 <= found.cutoff <= 12
     with pytest.raises(ValueError):
         coverage.fit([0, 0])
+
     reads = seqs(spark, [("r", BASE[:40])] * 3 + [("r", BASE[100:120])])
     bins = {r["count"]: r.n_kmers for r in coverage.histogram(coverage.kmer_counts(reads, 15), 1).collect()}
     assert bins == {1: 6, 2: 0, 3: 26}
@@ -315,6 +316,13 @@ def test_coverage(spark):
         coverage.choose_min_count(-1, reads, [], 15)
 
 
+def test_coverage_without_bins(spark):
+    """Every k-mer occurs more than 1000 times, or there are none: the fit stays at its start and nothing is cut."""
+    deep = seqs(spark, [("r", BASE[:60])]).crossJoin(spark.range(1001)).select("sample", "seq")
+    for reads in (deep, deep.limit(0)):
+        assert coverage.min_count(reads, 9) == coverage.Fit(0.8, 20.0, 1)
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (200, None)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(chain, "x long, y long")).collect()}
