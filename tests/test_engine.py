@@ -307,7 +307,6 @@ def test_coverage(spark):
     assert abs(found.coverage - 30) < 1 and 4 <= found.cutoff <= 12
     with pytest.raises(ValueError):
         coverage.fit([0, 0])
-
     reads = seqs(spark, [("r", BASE[:40])] * 3 + [("r", BASE[100:120])])
     bins = {r["count"]: r.n_kmers for r in coverage.histogram(coverage.kmer_counts(reads, 15), 1).collect()}
     assert bins == {1: 6, 2: 0, 3: 26}
