@@ -1,11 +1,14 @@
 """Blocks of packed k-mers tell the same as the index's rows, after one shuffle."""
 
 import random
+from hashlib import md5
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import bases
+from strandloom.functions.md5 import leading_bits
 from strandloom.operators import blocks, distance, filters, graph, index
 from tests.test_engine import seqs
 
@@ -66,3 +69,11 @@ def test_letters_of_texts(spark):
     plain = [None if t is None else "".join(c for c in t if c.isascii() and c.isalpha()).lower() for t in texts]
     for name, to in (("b", "ACGTACGTACGTACGTNCGTACGTAC"), ("q", bases.LETTER_QUALITIES)):
         assert [r[name] for r in got] == [None if t is None else "".join(to[ord(c) - 97] for c in t) for t in plain]
+
+
+def test_leading_bits_of_many_texts():
+    rng = np.random.default_rng(4)
+    for wide, n in ((0, 3), (14, 5000), (30, 4097), (55, 10), (56, 10), (62, 100), (64, 10), (130, 10)):
+        texts = rng.integers(48, 52, (n, wide)).astype(np.uint8)
+        assert leading_bits(texts).tolist() == [int(md5(t.tobytes()).hexdigest()[:9], 16) for t in texts]
+    assert leading_bits(np.empty((0, 30), np.uint8)).tolist() == []
