@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import bases
+from strandloom.functions.kmers import sliced
 from strandloom.functions.md5 import leading_bits
 from strandloom.operators import blocks, distance, filters, graph, index
 from tests.test_engine import seqs
@@ -77,3 +78,26 @@ def test_leading_bits_of_many_texts():
         texts = rng.integers(48, 52, (n, wide)).astype(np.uint8)
         assert leading_bits(texts).tolist() == [int(md5(t.tobytes()).hexdigest()[:9], 16) for t in texts]
     assert leading_bits(np.empty((0, 30), np.uint8)).tolist() == []
+
+
+@pytest.mark.parametrize("k", [5, 7, 9, 15, 17, 31])
+@pytest.mark.parametrize("rc", [True, False])
+def test_texts_are_cut_in_steps_and_parts(k, rc, monkeypatch):
+    monkeypatch.setattr(blocks, "STEP", 40)
+    rng, h = random.Random(k), (k - 1) // 2
+    seqs_ = ["".join(rng.choice("ACGTacgtN" if i % 3 else "ACGT") for _ in range(n)).encode() for i, n in enumerate([0, k - 1, k, k, k + 1, 90, 200, 300, 35, 400])]
+    quals = [None if i % 4 == 0 else bytes(rng.choice(b"!5?I") for _ in s) for i, s in enumerate(seqs_)]
+    for quality in ("none", "middle", "strict"):
+        want = {}
+        for w in sliced(seqs_, quals, k, rc, quality, 20, 1 << 20):
+            for i, hi, lo, mask in zip(*(w[c].tolist() for c in ("seq", "key_hi", "key_lo", "mask")), strict=True):
+                want[i % 3, hi, lo] = want.get((i % 3, hi, lo), 0) | mask
+        texts = [blocks.Text(i % 3, s, q) for i, (s, q) in enumerate(zip(seqs_, quals, strict=True))]
+        for parts in (texts, [p for t in texts for p in t.parts(60, k)]):
+            (bucket, runs, words) = next(blocks._block(parts, k, rc, quality, 20))
+            own = np.repeat(runs[:, 0], runs[:, 1])
+            keys = blocks._keys(words, own, h)
+            assert {(n, keys.hi[j], keys.lo[j]): m for j, n, m in zip(keys.key, keys.no, keys.mask, strict=True)} == want
+            assert len(words) == len(want) and (np.diff(bucket) >= 0).all()
+            shift = max(4 * h + 4 - blocks.BUCKET_BITS, 4)
+            assert (words >> words.dtype.type(shift) == np.repeat(bucket, runs[:, 1])).all()
