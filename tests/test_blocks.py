@@ -101,3 +101,10 @@ def test_texts_are_cut_in_steps_and_parts(k, rc, monkeypatch):
             assert len(words) == len(want) and (np.diff(bucket) >= 0).all()
             shift = max(4 * h + 4 - blocks.BUCKET_BITS, 4)
             assert (words >> words.dtype.type(shift) == np.repeat(bucket, runs[:, 1])).all()
+
+
+def test_sums_of_plain_and_ambiguous_keys_of_many_samples(spark):
+    one = index.build(seqs(spark, [(f"s{i:02}", mutated(3 + i % 9)) for i in range(70)] + [("s00", mutated(40)), ("s07", mutated(40))]).repartition(3), 9)
+    rows = one.with_kmers(one.kmers)
+    for f in (distance.snp_matrix, distance.distances, lambda i: distance.distances(i, allow_ambiguous=True).withColumn("distance", F.round("distance", 9))):
+        assert told(f(one)) == told(f(rows))
