@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.functions import bases
-from strandloom.operators import graph, index, planes, strands
+from strandloom.functions.kmers import sliced
+from strandloom.operators import blocks, graph, index, planes, strands
 from tests.test_engine import rc, seqs
 
 RNG = random.Random(11)
@@ -69,3 +71,19 @@ def test_graph_of_sequences_needs_one_shuffle_of_texts(spark):
     own = index.build(samples(spark), 31).strands()
     plan = own.entry_nodes()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "hashpartitioning(bucket" in plan
+
+
+def test_stretches_are_the_runs_of_kmers():
+    rng, k = random.Random(3), 9
+    for own in ("", "ACGTACGT", "ACGTACGTA", "ACGTACGTAC", *("".join(rng.choice("ACGTACGTACGTACGTACGTN") for _ in range(n)) for n in (50, 200, 333))):
+        want = {w["start"][i] for w in sliced([own.encode()], None, k, True, "none", 20, 1 << 20) for i in range(len(w["start"]))}
+        for size in (1000, 40):
+            got, at = set(), 0
+            for text in blocks.Text(0, own.encode(), None).parts(size, k):
+                kept = blocks.starts([text], k, "none", 20)[1]
+                got |= {at + int(i) - text.skip for i in kept.nonzero()[0]}
+                at += size
+            assert got == want
+    for n in range(9):
+        digits = np.array([rng.randrange(4) for _ in range(n)], np.uint8)
+        assert strands._unpacked(strands._packed(digits))[:n].tolist() == digits.tolist() and len(strands._packed(digits)) == -(-n // 4)
