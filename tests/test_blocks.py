@@ -108,3 +108,35 @@ def test_sums_of_plain_and_ambiguous_keys_of_many_samples(spark):
     rows = one.with_kmers(one.kmers)
     for f in (distance.snp_matrix, distance.distances, lambda i: distance.distances(i, allow_ambiguous=True).withColumn("distance", F.round("distance", 9))):
         assert told(f(one)) == told(f(rows))
+
+
+@pytest.mark.parametrize("rc", [True, False])
+@pytest.mark.parametrize("k", [33, 63])
+def test_texts_in_place_of_long_kmers(k, rc):
+    """Every key of both ways of cutting once, all its entries in one bucket, and a text that comes again only once."""
+    h, rng = (k - 1) // 2, random.Random(k)
+    long = "".join(rng.choice("ACGT") for _ in range(3000))
+    turned = long[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    half = long[:h]
+    palindrome = half + "A" + half[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    own = [(0, long), (1, turned), (0, long), (2, put_n(long, 500)), (1, "AC" * 60), (2, palindrome + "CA"), (0, ""), (3, long[:k]), (3, "N" + long[:k])]
+    texts = [blocks.Text(no, s.encode(), None) for no, s in own]
+    want, got, where, size = {}, {}, {}, 0
+    for w in sliced([t.seq for t in texts], None, k, rc, "none", 20, 1 << 20):
+        for i, hi, lo, mask in zip(*(w[c].tolist() for c in ("seq", "key_hi", "key_lo", "mask")), strict=True):
+            want[own[i][0], hi, lo] = want.get((own[i][0], hi, lo), 0) | mask
+    for bucket, runs, raw, places in blocks._wide_block(texts, k, rc, "none", 20):
+        size += len(raw) + runs.nbytes
+        keys = blocks._keys(blocks._wide_words(runs, raw, k, rc), runs[:, 0].astype(np.int64), h, runs[:, 1])
+        for key, no, mask in zip(keys.key.tolist(), keys.no.tolist(), keys.mask.tolist(), strict=True):
+            got[no, int(keys.hi[key]), int(keys.lo[key])] = mask
+        for b, (no, n), a, z in zip(bucket.tolist(), runs, places[:-1], places[1:], strict=True):
+            words = blocks._wide_words(np.array([[no, n]]), raw[a:z], k, rc)
+            for hi, lo in (words >> np.uint64(2)).tolist():
+                assert where.setdefault((hi, lo), b) == b
+    assert got == want
+    assert size < 16 * len(want) / 2
+
+
+def put_n(text, at):
+    return text[:at] + "N" + text[at + 1 :]
