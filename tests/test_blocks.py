@@ -110,6 +110,19 @@ def test_sums_of_plain_and_ambiguous_keys_of_many_samples(spark):
         assert told(f(one)) == told(f(rows))
 
 
+def test_added_indexes_of_different_samples_stay_blocks(spark):
+    """Samples of one name are one, wherever they stand in each index's list."""
+    every, half = samples(spark), []
+    for own in (["a", "b"], ["b", "c", "d"]):
+        half.append(index.build(every.where(F.col("sample").isin(own)), 15))
+    both = index.add([half[1], half[0]])
+    assert both.names == ("b", "c", "d", "a") and both.blocks is not None
+    row = lambda i: told(i.rows().select("sample", *index.KEY, "mask"))
+    assert row(both) == told(both.kmers.select("sample", *index.KEY, "mask"))
+    more = index.add([both, index.build(seqs(spark, [("e", BASE)]), 15)])
+    assert row(more) == told(more.kmers.select("sample", *index.KEY, "mask"))
+
+
 @pytest.mark.parametrize("rc", [True, False])
 @pytest.mark.parametrize("k", [33, 63])
 def test_texts_in_place_of_long_kmers(k, rc):
